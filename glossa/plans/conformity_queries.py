@@ -61,17 +61,19 @@ def concept_rank(spark, sf):
 @query(
     "amplification",
     f"""with {_SCORES},
+        o as (select s.*, d.lang = 'en' as is_model from scored s join documents d on d.doc_id = s.vec_id),
         g as (select label,
-                avg(conformity) filter (vec_id % 2 = 0) as m, count(*) filter (vec_id % 2 = 0) as nm,
-                avg(conformity) filter (vec_id % 2 = 1) as c, count(*) filter (vec_id % 2 = 1) as nc
-              from scored group by label)
+                avg(conformity) filter (is_model) as m, count(*) filter (is_model) as nm,
+                avg(conformity) filter (not is_model) as c, count(*) filter (not is_model) as nc
+              from o group by label)
         select label, round(m, 6) as model_mean, nm as n_model, round(c, 6) as corpus_mean, nc as n_corpus,
                round(m - c, 6) as difference, m > c as amplified from g where nm > 0 and nc > 0""",
 )
 def amplification(spark, sf):
-    # Even ids stand for model output, odd ids for corpus text; both sides are whole.
-    scores = _scores(spark, sf).withColumn("is_model", F.col("vec_id") % 2 == 0)
-    return rounded(ops.amplification(scores.filter("is_model"), scores.filter("not is_model"), "label"))
+    # English documents stand for model output, the others for corpus text.
+    lang = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "lang")
+    scores = _scores(spark, sf).select("vec_id", "label", "conformity").join(lang, "vec_id")
+    return rounded(ops.amplification(scores.filter("lang = 'en'"), scores.filter("lang <> 'en'"), "label"))
 
 
 @query(
