@@ -1,6 +1,6 @@
 """All bound queries, gathered by importing the modules that register them."""
 
-from . import conformity_queries, design_queries, lexical_queries, model_queries, summary_queries  # noqa: F401
+from . import cluster_queries, conformity_queries, design_queries, lexical_queries, model_queries, summary_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
