@@ -1,6 +1,14 @@
 """All bound queries, gathered by importing the modules that register them."""
 
-from . import cluster_queries, conformity_queries, design_queries, lexical_queries, model_queries, summary_queries  # noqa: F401
+from . import (  # noqa: F401
+    cluster_queries,
+    conformity_queries,
+    design_queries,
+    lexical_queries,
+    model_queries,
+    source_queries,
+    summary_queries,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
