@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,11 +99,6 @@ def part_of_speech(synset: str | Column) -> Column:
     return F.when(F.size(parts) >= 2, F.try_element_at(parts, F.lit(-2))).otherwise("n")
 
 
-def type_token_ratio(c: str | Column) -> Column:
-    tokens = words(c)
-    return F.when(F.size(tokens) > 0, F.size(F.array_distinct(tokens)) / F.size(tokens))
-
-
 def sentence_count(c: str | Column) -> Column:
     return F.greatest(F.regexp_count(col(c), F.lit(r"[.!?]+")), F.lit(1))
 
@@ -113,7 +107,9 @@ def syllable_count(c: str | Column) -> Column:
     return F.regexp_count(F.lower(col(c)), F.lit(r"[aeiouyáàâäéèêëíîïóôöúûüœæ]+"))
 
 
-def flesch_kincaid(c: str | Column) -> Column:
-    n = F.size(words(c))
-    grade = F.lit(FK_SENTENCE) * n / sentence_count(c) + F.lit(FK_SYLLABLE) * syllable_count(c) / n
-    return F.when(n > 0, grade - F.lit(FK_OFFSET))
+def flesch_kincaid(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
+    return (
+        F.lit(FK_SENTENCE) * F.try_divide(n_words, n_sentences)
+        + F.lit(FK_SYLLABLE) * F.try_divide(n_syllables, n_words)
+        - F.lit(FK_OFFSET)
+    )

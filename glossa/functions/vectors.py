@@ -27,20 +27,12 @@ def norm(a: str | Column) -> Column:
 def cosine(a: str | Column, b: str | Column, norm_a: str | Column | None = None, norm_b: str | Column | None = None) -> Column:
     """Cosine similarity; null if either vector has length zero."""
     scale = (norm(a) if norm_a is None else col(norm_a)) * (norm(b) if norm_b is None else col(norm_b))
-    return F.when(scale > 0, dot(a, b) / scale)
+    return F.try_divide(dot(a, b), scale)
 
 
 def l2_normalize(a: str | Column) -> Column:
-    length = norm(a)
-    return F.when(length > 0, F.transform(col(a), lambda v: v.cast("double") / length))
-
-
-def signed_projection(a: str | Column, seed: int, component: int) -> Column:
-    """Dot product with a vector of ±1 signs drawn by hashing (seed, component, position)."""
-    signed = F.transform(
-        col(a),
-        lambda v, i: F.when(
-            F.pmod(F.xxhash64(F.lit(seed), F.lit(component), i), F.lit(2)) == 0, v.cast("double")
-        ).otherwise(-v.cast("double")),
+    # The length is bound once, as the element of an array; inside the inner lambda it would be taken per element.
+    scaled = F.transform(
+        F.array(norm(a)), lambda length: F.when(length > 0, F.transform(col(a), lambda v: v.cast("double") / length))
     )
-    return _total(signed)
+    return scaled[0]

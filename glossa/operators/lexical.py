@@ -7,7 +7,16 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ENCYCLOPEDIC, col, part_of_speech, strip, words
+from ..functions.text import (
+    ENCYCLOPEDIC,
+    col,
+    flesch_kincaid,
+    part_of_speech,
+    sentence_count,
+    strip,
+    syllable_count,
+    words,
+)
 
 # Fewest tagged occurrences for the corpus to decide the dominant sense,
 # and the labels recorded for where that sense came from.
@@ -74,6 +83,10 @@ def dominant_sense(items: DataFrame, counts: DataFrame, inventory: DataFrame, wo
     of speech; else the first inventory sense of that part of speech, else of any;
     else unknown. Equal counts are settled by synset name.
     """
+    # Only the items' words matter; a semi-join on a grouping key is planned below the grouping.
+    wanted = items.select(F.col(word).alias("lemma")).distinct()
+    counts = counts.join(wanted, "lemma", "left_semi")
+    inventory = inventory.join(wanted, "lemma", "left_semi")
     first = F.min(F.struct((-F.col("n")).alias("neg"), F.col("synset").alias("synset")))
     corpus = (
         counts.withColumn("_pos", part_of_speech("synset"))
@@ -250,6 +263,24 @@ def dictionary_baseline(items: DataFrame, enc: str = "enc_synset", dominant: str
     )
 
 
+def readability(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """Type-token ratio and Flesch-Kincaid grade per text; null for a text without words.
+
+    Each count is made once, as a column, before the ratios use it.
+    """
+    counted = df.select(
+        *keep,
+        words(text).alias("_w"),
+        sentence_count(text).alias("_sentences"),
+        syllable_count(text).alias("_syllables"),
+    ).select(*keep, F.size("_w").alias("_n"), F.size(F.array_distinct("_w")).alias("_distinct"), "_sentences", "_syllables")
+    return counted.select(
+        *keep,
+        F.try_divide("_distinct", "_n").alias("ttr"),
+        flesch_kincaid(F.col("_n"), F.col("_sentences"), F.col("_syllables")).alias("grade"),
+    )
+
+
 def marker_counts(corpus: DataFrame, lexicon: DataFrame, text: str, *keep: str) -> DataFrame:
     """Occurrences of lexicon words per category, and documents holding at least one."""
     hits = tokens(corpus, text, *keep).groupBy(*keep, "token").agg(F.count(F.lit(1)).alias("n"))

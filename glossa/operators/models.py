@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tails import normal_two_sided, t_pvalue, t_two_sided
+from ..session import shared_dir
 from .ranks import average_ranks
 
 INTERCEPT = "Intercept"
@@ -51,17 +52,88 @@ def _pairs(names: Sequence[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(names) for b in names[i:]]
 
 
-def _moments(df: DataFrame, y: str, terms: Mapping[str, Column], keys: Sequence[str]) -> DataFrame:
-    """Count, means and covariances: Spark's merging covariance needs no second pass to centre."""
+# Covariances that still fit one generated aggregate; more are spread over rows.
+_DIRECT_PAIRS = 15
+
+
+def _cells(df: DataFrame, y: str, keys: Sequence[str], cells: Sequence[str]) -> DataFrame:
+    """One row per combination of the cell columns: rows, mean and sum of squares of ``y``."""
+    value = F.col(y).cast("double")
+    return (
+        df.na.drop(subset=[y, *cells])
+        .groupBy(*keys, *cells)
+        .agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_mean"), (F.var_pop(value) * F.count(F.lit(1))).alias("_within"))
+    )
+
+
+def _moments(
+    df: DataFrame, y: str, terms: Mapping[str, Column], keys: Sequence[str], cells: Sequence[str] = ()
+) -> DataFrame:
+    """Rows, means and covariances of the terms and ``y`` (last) per key, the covariances over ``_pairs``.
+
+    Spark's merging covariance needs no second pass to centre. Few columns are
+    aggregated side by side; with many, each row becomes one row per pair, which
+    keeps the aggregation inside generated code. With ``cells``, the columns the
+    terms are made of, rows are first counted into cells.
+    """
+    if cells:
+        return _cell_moments(_cells(df, y, keys, cells), terms, keys)
     design, names = _design(df, y, terms, keys)
-    return design.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(c) for c in names]).alias("means"),
-        F.array(*[F.covar_pop(a, b) for a, b in _pairs(names)]).alias("sxx"),
-        F.array(*[F.covar_pop(c, "_y") for c in names]).alias("sxy"),
-        F.avg("_y").alias("ymean"),
-        F.var_pop("_y").alias("syy"),
+    columns = [*names, "_y"]
+    pairs = _pairs(columns)
+    if len(pairs) <= _DIRECT_PAIRS:
+        return design.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.array(*[F.avg(c) for c in columns]).alias("means"),
+            F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("cov"),
+        )
+    sums = _long_pairs(design, columns, keys).groupBy(*keys, "_i").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_a").alias("_m"), F.covar_pop("_a", "_b").alias("_c")
+    )
+    return _packed(sums, columns, keys)
+
+
+def _long_pairs(rows: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    entries = [
+        F.struct(F.lit(i).alias("_i"), F.col(a).alias("_a"), F.col(b).alias("_b")) for i, (a, b) in enumerate(_pairs(columns))
+    ]
+    return rows.select(*keep, F.inline(F.array(*entries)))
+
+
+def _packed(sums: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """One row per key from one row per pair (mean of its first column, covariance)."""
+    diagonal = [i for i, (a, b) in enumerate(_pairs(columns)) if a == b]
+    ordered = F.array_sort(F.collect_list(F.struct("_i", "_m", "_c")))
+    packed = sums.groupBy(*keys).agg(F.max("n").alias("n"), ordered.alias("_p"))
+    return packed.select(
+        *keys,
+        "n",
+        F.array(*[F.col("_p")[i]["_m"] for i in diagonal]).alias("means"),
+        F.transform("_p", lambda e: e["_c"]).alias("cov"),
+    )
+
+
+def _cell_moments(cells: DataFrame, terms: Mapping[str, Column], keys: Sequence[str]) -> DataFrame:
+    """The same moments from cells. ``y`` is shifted by its overall mean against cancellation."""
+    shift = cells.agg(F.sum(F.col("_n") * F.col("_mean")) / F.sum("_n")).scalar()
+    names = [f"_x{i}" for i in range(len(terms))]
+    columns = [*names, "_y"]
+    rows = cells.select(
+        *keys,
+        "_n",
+        "_within",
+        *[c.cast("double").alias(n) for n, c in zip(names, terms.values())],
+        (F.col("_mean") - shift).alias("_y"),
+    )
+    last = len(_pairs(columns)) - 1
+    n = F.sum("_n")
+    mean_a, mean_b = F.sum(F.col("_n") * F.col("_a")) / n, F.sum(F.col("_n") * F.col("_b")) / n
+    product = F.sum(F.col("_n") * F.col("_a") * F.col("_b") + F.when(F.col("_i") == last, F.col("_within")).otherwise(0.0)) / n
+    sums = _long_pairs(rows, columns, [*keys, "_n", "_within"]).groupBy(*keys, "_i").agg(
+        n.alias("n"), mean_a.alias("_m"), (product - mean_a * mean_b).alias("_c")
     )
+    unshifted = F.when(F.col("_i") == last, F.col("_m") + shift).otherwise(F.col("_m"))
+    return _packed(sums.withColumn("_m", unshifted), columns, keys)
 
 
 def _symmetric(values: Sequence[float], size: int) -> np.ndarray:
@@ -90,11 +162,14 @@ def _finite(value: float) -> float | None:
     return float(value) if math.isfinite(value) else None
 
 
-def ols(df: DataFrame, y: str, terms: Mapping[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+def ols(
+    df: DataFrame, y: str, terms: Mapping[str, Column], keys: Sequence[str] = (), cells: Sequence[str] = ()
+) -> DataFrame:
     """Ordinary least squares with intercept, one fit per key: a row per term with its test, and the fit's AIC.
 
     ``AIC = n (ln 2π + ln(SSR/n) + 1) + 2k`` with k coefficients, the intercept included.
-    Collinear terms share their effect as under the pseudo-inverse.
+    Collinear terms share their effect as under the pseudo-inverse. ``cells`` names
+    the columns the terms are made of where these take few values.
     """
     keys, labels = list(keys), [INTERCEPT, *terms]
     size = len(terms)
@@ -105,15 +180,17 @@ def ols(df: DataFrame, y: str, terms: Mapping[str, Column], keys: Sequence[str]
             out = []
             for row in batch.to_dict("records"):
                 n = int(row["n"])
-                means, sxy = np.array(row["means"], float), np.array(row["sxy"], float)
-                inverse = np.linalg.pinv(_symmetric(row["sxx"], size), hermitian=True) if size else np.zeros((0, 0))
+                means, cov = np.array(row["means"], float), _symmetric(row["cov"], size + 1)
+                sxy, syy = cov[:-1, -1], float(cov[-1, -1])
+                inverse = np.linalg.pinv(cov[:-1, :-1], hermitian=True)
                 slopes = inverse @ sxy
                 explained = float(slopes @ sxy)
-                residual = max(row["syy"] - explained, 0.0) * n
-                rank = int(np.linalg.matrix_rank(inverse, hermitian=True)) if size else 0
+                residual = max(syy - explained, 0.0) * n
+                rank = int(np.linalg.matrix_rank(inverse, hermitian=True))
                 dof = n - rank - 1
                 sigma2 = residual / dof if dof > 0 else math.nan
-                coefs = np.concatenate([[row["ymean"] - means @ slopes], slopes])
+                means, ymean = means[:-1], means[-1]
+                coefs = np.concatenate([[ymean - means @ slopes], slopes])
                 variance = np.concatenate([[1.0 + means @ inverse @ means], np.diag(inverse)]) * sigma2 / n
                 likelihood = n * (math.log(2 * math.pi) + math.log(residual / n) + 1) if residual > 0 else math.nan
                 for label, coef, var in zip(labels, coefs, variance):
@@ -122,12 +199,12 @@ def ols(df: DataFrame, y: str, terms: Mapping[str, Column], keys: Sequence[str]
                     out.append(
                         [row[k] for k in keys]
                         + [label, float(coef), _finite(se), _finite(t), _finite(t_two_sided(t, dof)), n]
-                        + [_finite(explained / row["syy"]) if row["syy"] > 0 else None, _finite(sigma2)]
+                        + [_finite(explained / syy) if syy > 0 else None, _finite(sigma2)]
                         + [_finite(likelihood + 2 * (rank + 1)), _finite(likelihood + math.log(n) * (rank + 1))]
                     )
             yield pd.DataFrame(out, columns=schema.names)
 
-    return _moments(df, y, terms, keys).mapInPandas(solve, schema)
+    return _moments(df, y, terms, keys, cells).mapInPandas(solve, schema)
 
 
 def coefficient_ranking(coefficients: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -312,76 +389,58 @@ def _gls(row: Mapping[str, object], size: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def lmm(
-    df: DataFrame, y: str, terms: Mapping[str, Column], group: str, refinements: int = 4, points: int = 24
+    df: DataFrame, y: str, terms: Mapping[str, Column], group: str, refinements: int = 3, points: int = 64
 ) -> DataFrame:
     """Linear mixed model with one random intercept, by maximum likelihood.
 
     θ = σ²ᵤ/σ² is found on a logarithmic grid (zero included) that narrows around the
-    best point; each round is one aggregation of the group-size table, and the next
-    round reads the best θ as a scalar subquery. One row per fixed effect, with the
-    variance components and −2 log-likelihood of the fit.
+    best point. Fitting runs jobs when called: the rows are read once, into the
+    group-size table, which is stored in the shared folder; each round aggregates
+    that table and brings back one row of cross products per grid point. One row per
+    fixed effect, with the variance components and −2 log-likelihood of the fit.
     """
-    size, labels = len(terms), [INTERCEPT, *terms]
+    spark, size, labels = df.sparkSession, len(terms), [INTERCEPT, *terms]
     n_pairs = (size + 2) * (size + 3) // 2
-    sizes = lmm_size_table(df, y, terms, group)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = batch.to_dict("records")
-            yield pd.DataFrame(
-                {"theta": [r["theta"] for r in rows], "deviance": [_gls(r, size)[3] for r in rows]}
-            ).astype("float64")
+    path = shared_dir(spark, "group-sizes")
+    lmm_size_table(df, y, terms, group).write.parquet(path)
+    sizes = spark.read.parquet(path)
 
-    def best(thetas: Column) -> Column:
-        scored = lmm_profile(sizes, thetas, n_pairs).mapInPandas(score, "theta double, deviance double")
-        return scored.agg(F.min(F.struct("deviance", "theta"))["theta"]).scalar()
+    def profile(thetas: Sequence[float]) -> list[tuple[float, dict]]:
+        rows = lmm_profile(sizes, F.array(*[F.lit(float(t)) for t in thetas]), n_pairs).collect()
+        return sorted(((_gls(r.asDict(), size)[3], r.asDict()) for r in rows), key=lambda e: (e[0], e[1]["theta"]))
 
     # e^-14 … e^14 covers any ratio a double-precision fit can tell from zero or infinity.
     step = 28.0 / points
-    theta = best(F.array(F.lit(0.0), *[F.lit(math.exp(-14.0 + step * i)) for i in range(points + 1)]))
-    for _ in range(refinements):
+    found = profile([0.0, *[math.exp(-14.0 + step * i) for i in range(points + 1)]])
+    if not found:
+        raise ValueError("no complete rows to fit")
+    deviance, best = found[0]
+    for _ in range(refinements if best["theta"] > 0 else 0):
         fine = 2 * step / points
-        around = F.transform(
-            F.sequence(F.lit(0), F.lit(points)), lambda i: F.col("_best") * F.exp(F.lit(fine) * i - F.lit(step))
-        )
-        theta, step = _nested(best, theta, around, sizes, n_pairs, score), fine
-
+        around = [best["theta"] * math.exp(fine * i - step) for i in range(points + 1)]
+        (deviance, best), step = profile(around)[0], fine
+
+    beta, inverse, sigma2, _ = _gls(best, size)
+    centre = np.array(list(best["centre"]), float)
+    # Back to the uncentred columns: only the intercept changes.
+    shift = np.concatenate([[1.0], -centre[:-1]])
+    variances = np.diag(inverse).copy()
+    variances[0] = shift @ inverse @ shift
+    coefs = beta.copy()
+    coefs[0] = shift @ beta + centre[-1]
+    out = []
+    for label, coef, var in zip(labels, coefs, variances * sigma2):
+        se = math.sqrt(var) if var >= 0 else math.nan
+        z = coef / se if se > 0 else math.nan
+        tests = (_finite(se), _finite(z), _finite(normal_two_sided(z)))
+        parts = (float(best["theta"]), sigma2, float(best["theta"] * sigma2), _finite(deviance), int(best["n_rows"]))
+        out.append((label, float(coef), *tests, *parts))
     schema = T.StructType(
         [*_COEFFICIENTS]
         + [T.StructField(n, T.DoubleType()) for n in ("theta", "sigma2", "sigma2_group", "deviance")]
         + [T.StructField("n", T.LongType())]
     )
-
-    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                beta, inverse, sigma2, deviance = _gls(row, size)
-                centre = row["centre"]
-                centre = np.array(list(centre.values() if isinstance(centre, dict) else centre), float)
-                # Back to the uncentred columns: only the intercept changes.
-                shift = np.concatenate([[1.0], -centre[:-1]])
-                variances = np.diag(inverse).copy()
-                variances[0] = shift @ inverse @ shift
-                coefs = beta.copy()
-                coefs[0] = shift @ beta + centre[-1]
-                for label, coef, var in zip(labels, coefs, variances * sigma2):
-                    se = math.sqrt(var) if var >= 0 else math.nan
-                    z = coef / se if se > 0 else math.nan
-                    out.append(
-                        [label, float(coef), _finite(se), _finite(z), _finite(normal_two_sided(z)) if se > 0 else None]
-                        + [row["theta"], sigma2, row["theta"] * sigma2, _finite(deviance), int(row["n_rows"])]
-                    )
-            yield pd.DataFrame(out, columns=schema.names)
-
-    return lmm_profile(sizes, F.array(theta), n_pairs).mapInPandas(report, schema)
-
-
-def _nested(best, theta: Column, around: Column, sizes: DataFrame, n_pairs: int, score) -> Column:
-    """One refinement round: the grid is built from the scalar of the round before."""
-    seeded = sizes.withColumn("_best", theta)
-    scored = lmm_profile(seeded, around, n_pairs).mapInPandas(score, "theta double, deviance double")
-    return scored.agg(F.min(F.struct("deviance", "theta"))["theta"]).scalar()
+    return spark.createDataFrame(out, schema)
 
 
 # --- binomial model ---------------------------------------------------------

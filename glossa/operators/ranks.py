@@ -13,7 +13,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+# Bounds on the number of buckets; in between it follows the shuffle partitions.
+MIN_BUCKETS, MAX_BUCKETS = 16, 4096
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Power of two near the session's shuffle partitions, so that a bucket is about a task's share."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1 << max(MIN_BUCKETS, min(MAX_BUCKETS, wanted)).bit_length() - 1
+
+
+def _bucket(cuts: str, value: str, buckets: int) -> Column:
+    """Number of sorted cut points below the value, by halving steps."""
+    steps = F.array(*[F.lit(buckets >> i) for i in range(1, buckets.bit_length())])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(F.element_at(F.col(cuts), at + step) < F.col(value), at + step).otherwise(at),
+    )
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -21,20 +38,20 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def cumulative(counts: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+def cumulative(counts: DataFrame, keys: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
     """Add ``before`` (rows with a smaller value under the same key) and ``total`` (rows under the key).
 
     No window holds more than one bucket of distinct values, or the ``buckets``
     totals of one key.
     """
     keys = list(keys)
-    probabilities = [i / buckets for i in range(1, buckets)]
-    cut = F.percentile_approx(value, probabilities, 10 * buckets).alias("_cuts")
+    buckets = buckets or bucket_count(counts)
+    cut = F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 4 * buckets).alias("_cuts")
     if keys:
         placed = counts.join(counts.groupBy(*keys).agg(cut), keys)
     else:
         placed = counts.withColumn("_cuts", counts.agg(cut).scalar())
-    placed = placed.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    placed = placed.withColumn("_bucket", _bucket("_cuts", value, buckets)).drop("_cuts")
 
     sums = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_rows"))
     by_key = Window.partitionBy(*keys)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import l2_normalize
 from ..operators import clusters, conformity
 from ..operators import silhouette as ops
-from .registry import query, rounded, table
+from .registry import query, rounded, table, texts
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}]+')"
 _DOCS = """base as (select e.vec_id, e.embedding::double[] as v, e.label, d.lang, d.source,
@@ -139,7 +139,7 @@ def kmeans_topics(spark, sf):
     f"select token, count(*) as df from (select doc_id, unnest(list_distinct({_WORDS})) as token from documents) group by 1",
 )
 def document_frequency(spark, sf):
-    return ops.document_frequency(table(spark, sf, "documents"), "text")
+    return ops.document_frequency(texts(spark, sf), "text")
 
 
 _TFIDF = f"""tf as (select doc_id, lang, token, count(*) as tf from (select doc_id, lang, unnest({_WORDS}) as token from documents) group by all),
@@ -150,7 +150,7 @@ _TFIDF = f"""tf as (select doc_id, lang, token, count(*) as tf from (select doc_
 
 @query("tfidf", f"with {_TFIDF} select doc_id, token, round(w, 6) as w from u")
 def tfidf(spark, sf):
-    return rounded(ops.tfidf(table(spark, sf, "documents"), "doc_id", "text"))
+    return rounded(ops.tfidf(texts(spark, sf), "doc_id", "text"))
 
 
 @query(
@@ -164,4 +164,4 @@ def tfidf(spark, sf):
           count(*) as n, count(distinct lang) as n_labels from s""",
 )
 def tfidf_silhouette(spark, sf):
-    return rounded(ops.tfidf_silhouette(table(spark, sf, "documents"), "doc_id", "text", "lang"))
+    return rounded(ops.tfidf_silhouette(texts(spark, sf), "doc_id", "text", "lang"))

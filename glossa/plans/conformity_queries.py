@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 from ..functions.vectors import l2_normalize, norm
 from ..operators import conformity as ops
-from .registry import query, rounded, table
+from .registry import query, rounded, table, texts
 
 _CENTROIDS = """
     long as (select vec_id, label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as pos from embeddings),
@@ -119,7 +119,7 @@ def embedding_mismatch(spark, sf):
         select source, feature, n, rank::int as rank from r where rank <= 10""",
 )
 def top_features(spark, sf):
-    mentions = table(spark, sf, "documents").select("source", F.explode(words("text")).alias("feature"))
+    mentions = texts(spark, sf).select("source", F.explode(words("text")).alias("feature"))
     return ops.top_features(mentions, ["source"], "feature", 10)
 
 

@@ -1,7 +1,7 @@
 """End-to-end analyses, from stored records to result tables.
 
-Each returns named DataFrames and runs nothing by itself, except that the binomial
-model fits when it is built.
+Each returns named DataFrames. Nothing runs until they are used, except that the
+binomial and the mixed model fit when they are built.
 """
 
 from __future__ import annotations
@@ -197,7 +197,7 @@ def quality_analysis(replies: DataFrame, reply: str = "reply") -> dict[str, Data
     means = sm.mean_and_sem(scored, ["domain", "level"], "quality")
     focal = scored.filter(F.col("domain").isin(*design.FOCAL_DOMAINS))
     flags = focal.withColumns({c: design.flag(F.col(c)) for c in design.COMPONENTS})
-    attribution = models.ols(flags, "quality", models.interactions(list(design.COMPONENTS)))
+    attribution = models.ols(flags, "quality", models.interactions(list(design.COMPONENTS)), cells=list(design.COMPONENTS))
     return {
         "scores": scored,
         "quarantine": bad,

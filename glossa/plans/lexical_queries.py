@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import lexical as ops
 from ..operators import ranks
-from .registry import query, rounded, table
+from .registry import query, rounded, table, texts
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}]+')"
 _TOKENS = f"tok as (select doc_id, lang, source, unnest({_WORDS}) as token from documents)"
@@ -37,7 +37,7 @@ _DOMINANT = """top as (select lemma, pos, sum(n) as total, arg_min(synset, (-n,
 
 
 def _tagged(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     pos = (
         F.when(F.col("lang") == "en", "n").when(F.col("lang") == "de", "v").when(F.col("lang") == "fr", "a").otherwise("r")
     )
@@ -74,7 +74,7 @@ def _with_dominant(spark, sf):
 
 
 def _tiers(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     zipf = ops.zipf_table(ops.token_counts(docs, "text"))
     senses = _with_dominant(spark, sf)
     looked_up = ops.with_zipf(ops.with_zipf(senses, zipf, "enc_ctx", "zipf_enc"), zipf, "dict_ctx", "zipf_dict")
@@ -83,7 +83,7 @@ def _tiers(spark, sf):
 
 @query("zipf", f"with {_ZIPF} select token, zipf from zipf")
 def zipf(spark, sf):
-    return ops.zipf_table(ops.token_counts(table(spark, sf, "documents"), "text"))
+    return ops.zipf_table(ops.token_counts(texts(spark, sf), "text"))
 
 
 @query("sense_counts", f"with {_TOKENS}, {_TAGGED} select lemma, synset, n from sc")
@@ -264,7 +264,7 @@ def band_check(spark, sf):
         from c left join zipf on token = lower(contrast_word)""",
 )
 def contrast_check(spark, sf):
-    zipf = ops.zipf_table(ops.token_counts(table(spark, sf, "documents"), "text"))
+    zipf = ops.zipf_table(ops.token_counts(texts(spark, sf), "text"))
     phrases = table(spark, sf, "conversations").filter(tx.non_blank("text"))
     return ops.contrast_check(phrases, zipf, "text").select("conv_id", "turn", "contrast_word", "contrast_zipf", "contrast_low")
 
@@ -278,7 +278,7 @@ def contrast_check(spark, sf):
 )
 def concept_docs(spark, sf):
     concepts = _items(spark, sf).select(F.col("word").alias("concept_id"), F.col("word").alias("lemma")).distinct()
-    return ops.concept_documents(table(spark, sf, "documents"), concepts, "doc_id", "text").select("concept_id", "doc_id", "rank")
+    return ops.concept_documents(texts(spark, sf), concepts, "doc_id", "text").select("concept_id", "doc_id", "rank")
 
 
 _PAIRS = f"""tk as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from (select doc_id, {_WORDS} as w from documents)),
@@ -288,7 +288,7 @@ _PAIRS = f"""tk as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from (se
 
 @query("cooccur", f"with {_PAIRS} select word_a, word_b, n from pairs")
 def cooccur(spark, sf):
-    return ops.cooccurrence(table(spark, sf, "documents"), "text", 2)
+    return ops.cooccurrence(texts(spark, sf), "text", 2)
 
 
 @query(
@@ -300,7 +300,7 @@ def cooccur(spark, sf):
         select *, case when n_enc > n_dict then 'encyclopedic' else 'dictionary' end as predicted from j""",
 )
 def cooccur_baseline(spark, sf):
-    pairs = ops.cooccurrence(table(spark, sf, "documents"), "text", 2)
+    pairs = ops.cooccurrence(texts(spark, sf), "text", 2)
     out = ops.cooccurrence_baseline(_items(spark, sf), pairs, "word", "enc_ctx", "dict_ctx")
     return out.select("item_id", "n_enc", "n_dict", "predicted")
 
@@ -335,7 +335,7 @@ def classify(spark, sf):
 )
 def classify_passages(spark, sf):
     return ops.containing_passages(
-        table(spark, sf, "documents"), table(spark, sf, "benchmark").withColumnRenamed("text", "passage"), "doc_id", "text", "item_id", "passage"
+        texts(spark, sf), table(spark, sf, "benchmark").withColumnRenamed("text", "passage"), "doc_id", "text", "item_id", "passage"
     )
 
 
@@ -347,8 +347,7 @@ def classify_passages(spark, sf):
         select doc_id, round(k / n, 6) as ttr, round(0.39 * n / s + 11.8 * y / n - 15.59, 6) as grade from c where n > 0""",
 )
 def readability(spark, sf):
-    docs = table(spark, sf, "documents")
-    scored = docs.select("doc_id", tx.type_token_ratio("text").alias("ttr"), tx.flesch_kincaid("text").alias("grade"))
+    scored = ops.readability(texts(spark, sf), "text", "doc_id")
     return rounded(scored.filter(F.col("ttr").isNotNull()))
 
 
@@ -362,5 +361,5 @@ def markers(spark, sf):
     lexicon = {"article": ["the", "le", "la", "der"], "gender": ["he", "she", "elle", "er"]}
     rows = [(word, category) for category, listed in lexicon.items() for word in listed]
     return ops.marker_counts(
-        table(spark, sf, "documents"), spark.createDataFrame(rows, "token string, category string"), "text", "source"
+        texts(spark, sf), spark.createDataFrame(rows, "token string, category string"), "text", "source"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import design, models, summaries
-from .registry import query, rounded, table
+from .registry import query, rounded, table, texts
 from .summary_queries import _ENTROPY, _topics
 
 def _gauss(xs: list[str], y: str, source: str) -> str:
@@ -47,7 +47,7 @@ def _factorial(spark, sf):
         "C": F.col("l_discount") > 0.05,
     }
     line = table(spark, sf, "lineitem").select("l_quantity", *[design.flag(c).alias(n) for n, c in factors.items()])
-    return models.ols(line, "l_quantity", models.interactions(list(factors)))
+    return models.ols(line, "l_quantity", models.interactions(list(factors)), cells=list(factors))
 
 
 def _brief(fit):
@@ -68,6 +68,19 @@ def component_ranking(spark, sf):
     return rounded(models.coefficient_ranking(_factorial(spark, sf), ["D", "R", "V", "C"]).select("term", "coef"))
 
 
+@query("factorial_ols_rows", f"with recursive {_ROWS}, {_gauss(_PAIRED, 'y', 'f')} {_report(['Intercept', *_PAIRED_NAMES])}")
+def factorial_ols_rows(spark, sf):
+    # The same fit without cells, as for predictors of many values.
+    line = texts(spark, sf, "lineitem").select(
+        "l_quantity",
+        design.flag(F.col("l_returnflag") == "R").alias("D"),
+        design.flag(F.col("l_linestatus") == "O").alias("R"),
+        design.flag(F.col("l_tax") > 0.04).alias("V"),
+        design.flag(F.col("l_discount") > 0.05).alias("C"),
+    )
+    return _brief(models.ols(line, "l_quantity", models.interactions(["D", "R", "V", "C"])))
+
+
 @query(
     "hinge",
     f"""with recursive h as (select l_extendedprice / 1000 as y, l_quantity as x, greatest(l_quantity - 25, 0.0) as k from lineitem),
@@ -206,6 +219,45 @@ def lmm_profile(spark, sf):
     return rounded(out.withColumn("yy", F.round("yy", 5)))
 
 
+def _lmm_sql(refinements: int = 3, points: int = 64) -> str:
+    """The narrowing θ grid of a one-predictor mixed model, one CTE per round."""
+    step = 28.0 / points
+    grid = f"select 0.0::double as theta union all select exp(-14 + {step!r} * unnest(range({points + 1})))"
+    rounds = []
+    for i in range(refinements + 1):
+        rounds.append(f"""grid{i} as ({grid}),
+        prod{i} as (select theta, sum(n) as nn, sum(ln(1 + n * theta)) as ld, sum(n - theta / (1 + n * theta) * n * n) as oo, sum(sx - theta / (1 + n * theta) * n * sx) as ox,
+            sum(sy - theta / (1 + n * theta) * n * sy) as oy, sum(xx - theta / (1 + n * theta) * sx * sx) as xx, sum(xy - theta / (1 + n * theta) * sx * sy) as xy,
+            sum(yy - theta / (1 + n * theta) * sy * sy) as yy from g, grid{i} group by 1),
+        fit{i} as (select *, (oo * xy - ox * oy) / (oo * xx - ox * ox) as slope, (xx * oy - ox * xy) / (oo * xx - ox * ox) as b0 from prod{i}),
+        dev{i} as (select *, (yy - b0 * oy - slope * xy) / nn as s2, nn * (ln(2 * pi() * (yy - b0 * oy - slope * xy) / nn) + 1) + ld as dev from fit{i}),
+        best{i} as (select * from dev{i} order by dev, theta limit 1)""")
+        fine = 2 * step / points
+        grid = f"select distinct theta * exp({fine!r} * unnest(range({points + 1})) - {step!r}) as theta from best{i}"
+        step = fine
+    last = f"best{refinements}"
+    return f"""with r as (select label, embedding[1] * 10.0::double as y, embedding[2] * 10.0::double as x from embeddings),
+        m as (select avg(y) as my, avg(x) as mx from r),
+        g as (select label, count(*) as n, sum(x - mx) as sx, sum(y - my) as sy, sum((x - mx) ** 2) as xx, sum((x - mx) * (y - my)) as xy, sum((y - my) ** 2) as yy
+              from r, m group by 1), {', '.join(rounds)}
+        select round(slope, 5) as slope, round(b0 + my - slope * mx, 5) as intercept, round(s2, 5) as sigma2, round(dev, 4) as deviance, nn::bigint as n from {last}, m"""
+
+
+@query("lmm_slope", _lmm_sql())
+def lmm_slope(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(
+        "label", (F.col("embedding")[0] * F.lit(10.0)).alias("y"), (F.col("embedding")[1] * F.lit(10.0)).alias("x")
+    )
+    fit = models.lmm(vectors, "y", {"x": F.col("x")}, "label")
+    return fit.agg(
+        F.round(F.max(F.when(F.col("term") == "x", F.col("coef"))), 5).alias("slope"),
+        F.round(F.max(F.when(F.col("term") == "Intercept", F.col("coef"))), 5).alias("intercept"),
+        F.round(F.max("sigma2"), 5).alias("sigma2"),
+        F.round(F.max("deviance"), 4).alias("deviance"),
+        F.max("n").alias("n"),
+    )
+
+
 @query("lmm")
 def lmm(spark, sf):
     orders, terms = _lmm_frame(spark, sf)

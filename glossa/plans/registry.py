@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread_small
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -29,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are about to be taken apart, spread over the cores if it is small."""
+    return spread_small(table(spark, sf_dir, name))
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every double column, so that sums taken in another order still compare equal."""
     return df.select(

@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..session import shared_dir
 from ..sources import files, schemas
 from ..streaming import calls as st
-from .registry import query, rounded, table
+from .registry import query, rounded, table, texts
 
 
 @query(
@@ -74,7 +74,7 @@ def response_slice(spark, sf):
         select doc_id, para_index::int as para_index, md5(paragraph) as digest, length(paragraph)::int as n_chars from k where para_index < 50""",
 )
 def paragraphs(spark, sf):
-    kept = files.paragraphs(table(spark, sf, "documents"), "text", "doc_id")
+    kept = files.paragraphs(texts(spark, sf), "text", "doc_id")
     return kept.select("doc_id", "para_index", F.md5("paragraph").alias("digest"), F.length("paragraph").alias("n_chars"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_base: str | None = None
 
@@ -45,3 +45,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             _local_base = tempfile.mkdtemp(prefix="glossa-")
         base = _local_base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a table smaller than one scan split over the session's cores.
+
+    Such a table is read by a single task, which then does all row-local work. A
+    larger one is cut into splits by the scan and is left alone.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")):
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
+
+
+def _bytes(text: str) -> int:
+    digits = text.lower().rstrip("ib")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    return int(digits[:-1]) * units[digits[-1]] if digits[-1] in units else int(digits)
