@@ -95,16 +95,21 @@ def dominant_sense(items: DataFrame, counts: DataFrame, inventory: DataFrame, wo
         .filter(F.col("_total") >= MIN_OCCURRENCES)
         .select("_lemma", "_pos", F.col("_top.synset").alias("_corpus"), (-F.col("_top.neg")).alias("_n"))
     )
-    ranked = inventory.withColumn("_ipos", part_of_speech("synset"))
-    listed = F.min(F.struct(F.col("sense_rank").alias("rank"), F.col("synset").alias("synset")))["synset"]
-    same_pos = ranked.groupBy(F.col("lemma").alias("_lemma1"), "_ipos").agg(listed.alias("_same"))
-    any_pos = ranked.groupBy(F.col("lemma").alias("_lemma2")).agg(listed.alias("_any"))
-    joined = (
-        items.join(corpus, (F.col(word) == F.col("_lemma")) & (F.col(pos) == F.col("_pos")), "left")
-        .join(same_pos, (F.col(word) == F.col("_lemma1")) & (F.col(pos) == F.col("_ipos")), "left")
-        .join(any_pos, F.col(word) == F.col("_lemma2"), "left")
+    # One row per word: its first sense under each part of speech, a handful of entries.
+    listed = F.min(F.struct(F.col("sense_rank").alias("rank"), F.col("synset").alias("synset")))
+    senses = (
+        inventory.groupBy(F.col("lemma").alias("_word"), part_of_speech("synset").alias("_ipos"))
+        .agg(listed.alias("_first"))
+        .groupBy("_word")
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("_ipos", "_first"))).alias("_by_pos"),
+            F.min("_first").alias("_any"),
+        )
+    )
+    joined = items.join(corpus, (F.col(word) == F.col("_lemma")) & (F.col(pos) == F.col("_pos")), "left").join(
+        senses, F.col(word) == F.col("_word"), "left"
     )
-    fallback = F.coalesce("_same", "_any")
+    fallback = F.coalesce(F.try_element_at("_by_pos", F.col(pos)), F.col("_any"))["synset"]
     return joined.select(
         *items.columns,
         F.coalesce("_corpus", fallback, F.lit(UNKNOWN)).alias("dominant"),
