@@ -56,6 +56,21 @@ def with_zipf(df: DataFrame, zipf: DataFrame, word: str, out: str) -> DataFrame:
     return df.join(side, key == F.col("_token"), "left").withColumn(out, value).drop("_token", "_zipf")
 
 
+def with_phrase_zipf(df: DataFrame, counts: DataFrame, phrase: str, out: str) -> DataFrame:
+    """Zipf frequency of a phrase: its words' frequencies combined as 1 / Σ 1/f.
+
+    0 if a word is unseen, null if the phrase has no word. Each distinct phrase is
+    looked up once.
+    """
+    total = counts.agg(F.sum("n")).scalar()
+    frequency = counts.select("token", (F.col("n") / total).alias("_f"))
+    phrases = df.select(phrase).distinct()
+    parts = phrases.select(phrase, F.explode(words(phrase)).alias("token")).join(frequency, "token", "left")
+    zipf = F.round(F.log10(F.lit(1e9) / F.sum(1 / F.col("_f"))), 2)
+    combined = parts.groupBy(phrase).agg(F.when(F.count_if(F.col("_f").isNull()) == 0, zipf).otherwise(0.0).alias(out))
+    return df.join(combined, phrase, "left")
+
+
 def sense_counts(tagged: DataFrame, inventory: DataFrame | None = None, expand_lemmas: bool = True) -> DataFrame:
     """Occurrences per (lemma, synset) in a sense-tagged corpus of (lemma, synset) rows.
 

@@ -34,9 +34,15 @@ def _prepared(df: DataFrame, groups: Sequence[str], label: str, vector: str, cos
 
 
 def _moments(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
-    mean = centroids(rows, [*groups, "_label"], "_v", "mu")
-    spread = rows.groupBy(*groups, "_label").agg(F.avg("_sq").alias("msq"))
-    return mean.join(spread, [*groups, "_label"])
+    """Size, mean vector and mean squared length per cluster, in one aggregation.
+
+    The squared length rides along as an extra first element of the vector.
+    """
+    longer = rows.select(*groups, "_label", F.concat(F.array("_sq"), F.col("_v").cast("array<double>")).alias("_long"))
+    both = centroids(longer, [*groups, "_label"], "_long", "_mean")
+    return both.select(
+        *groups, "_label", "n", F.slice("_mean", F.lit(2), F.size("_mean") - 1).alias("mu"), F.col("_mean")[0].alias("msq")
+    )
 
 
 def _score(own: Column, other: Column, size: Column) -> Column:
@@ -156,15 +162,29 @@ def context_against_lemma(
 ) -> DataFrame:
     """Silhouettes by lemma and by context per group, by context within paraphrases, and the difference.
 
+    The three labellings are one more group key, so all scores come from one plan.
     A paraphrase subset too small or with one context keeps its row, with a null.
     """
-    by_lemma = silhouette(df, groups, lemma, vector, cosine).withColumnRenamed("silhouette", "sil_lemma")
-    by_context = silhouette(df, groups, context, vector, cosine).select(*groups, F.col("silhouette").alias("sil_ctx"))
-    within = silhouette(df.filter(paraphrase), groups, context, vector, cosine).select(
-        *groups, F.col("silhouette").alias("sil_ctx_paraphrase")
+
+    def labelling(name: str, label: str) -> Column:
+        return F.struct(F.lit(name).alias("_labelling"), F.col(label).cast("string").alias("_value"))
+
+    entries = F.array(
+        labelling("lemma", lemma), labelling("context", context), F.when(paraphrase, labelling("paraphrase", context))
+    )
+    long = df.select(*groups, vector, F.inline(F.filter(entries, lambda e: e.isNotNull())))
+    scores = silhouette(long, [*groups, "_labelling"], "_value", vector, cosine)
+
+    def of(name: str, value: str) -> Column:
+        return F.max(F.when(F.col("_labelling") == name, F.col(value)))
+
+    wide = scores.groupBy(*groups).agg(
+        of("lemma", "silhouette").alias("sil_lemma"),
+        of("lemma", "n").alias("n"),
+        of("context", "silhouette").alias("sil_ctx"),
+        of("paraphrase", "silhouette").alias("sil_ctx_paraphrase"),
     )
-    joined = by_lemma.filter(F.col("n") >= MIN_SUBSET).join(by_context, list(groups)).join(within, list(groups), "left")
-    return joined.withColumn("delta_ctx_lemma", F.col("sil_ctx") - F.col("sil_lemma"))
+    return wide.filter(F.col("n") >= MIN_SUBSET).withColumn("delta_ctx_lemma", F.col("sil_ctx") - F.col("sil_lemma"))
 
 
 def delta_by_stratum(results: DataFrame, stratum: str) -> DataFrame:

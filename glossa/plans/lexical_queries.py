@@ -86,6 +86,21 @@ def zipf(spark, sf):
     return ops.zipf_table(ops.token_counts(texts(spark, sf), "text"))
 
 
+@query(
+    "phrase_zipf",
+    f"""with {_ZIPF}, p as (select conv_id, turn, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) as phrase from conversations),
+        w as (select phrase, unnest(regexp_extract_all(lower(phrase), '[\\p{{L}}\\p{{M}}]+')) as token from (select distinct phrase from p)),
+        f as (select phrase, case when count(*) filter (n is null) = 0 then round(log10(1e9 / sum(1 / (n / (select sum(n) from cnt)))), 2) else 0 end::double as zipf
+              from w left join cnt using (token) group by 1)
+        select conv_id, turn, phrase, zipf from p left join f using (phrase)""",
+)
+def phrase_zipf(spark, sf):
+    first_two = F.concat_ws(" ", *[F.split_part("text", F.lit(" "), F.lit(i)) for i in (1, 2)])
+    phrases = table(spark, sf, "conversations").select("conv_id", "turn", first_two.alias("phrase"))
+    counts = ops.token_counts(texts(spark, sf), "text")
+    return ops.with_phrase_zipf(phrases, counts, "phrase", "zipf").select("conv_id", "turn", "phrase", "zipf")
+
+
 @query("sense_counts", f"with {_TOKENS}, {_TAGGED} select lemma, synset, n from sc")
 def sense_counts(spark, sf):
     return ops.sense_counts(_tagged(spark, sf), expand_lemmas=False)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import agreement, matching, ranks
+from ..operators import agreement, matching, models, ranks
 from ..operators import summaries as ops
 from .registry import query, rounded, table
 
@@ -273,6 +273,25 @@ def entropy_by_generation(spark, sf):
     return rounded(ops.topic_entropy(df, ["generation", "kind"], "topic"))
 
 
+@query(
+    "entropy_ols",
+    """with c as (select o_custkey as concept, year(o_orderdate) - 1995 as charge, o_orderpriority as topic, count(*) as n from orders group by all),
+        s as (select *, n / sum(n) over (partition by concept, charge) as p from c),
+        e as (select concept, charge, round(sum(-p * log2(p)), 9) as h from s group by 1, 2)
+       select count(*) as n, round(regr_slope(h, charge), 6) as coef, round(regr_r2(h, charge), 6) as r2 from e""",
+)
+def entropy_ols(spark, sf):
+    # The year stands for the charge rating of a concept.
+    topics = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("concept"),
+        (F.year("o_orderdate") - 1995).alias("charge"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("topic"),
+    )
+    entropies = ops.topic_entropy(topics, ["concept", "charge"], "topic")
+    fit = models.ols(entropies, "entropy", {"charge": F.col("charge")})
+    return rounded(fit.filter("term = 'charge'").select("n", "coef", "r2"))
+
+
 # --- effort, boxes ----------------------------------------------------------
 
 

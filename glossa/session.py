@@ -20,16 +20,31 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
-    for key, value in conf.items():
+    for key, value in {**ADAPTIVE, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+# Runtime options the operators rely on: joins on a hot key are split, also where
+# that costs one more shuffle.
+ADAPTIVE = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Set those options on a session that was made elsewhere."""
+    for key, value in ADAPTIVE.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's ``spark.checkpoint.dir``.
 
