@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.tails import normal_two_sided, t_pvalue, t_two_sided
 from ..session import shared_dir
-from .ranks import average_ranks
+from .ranks import average_ranks_of
 
 INTERCEPT = "Intercept"
 # Rank correlation below which presets disagree, the gates of the judge
@@ -262,36 +261,47 @@ def _with_t_test(df: DataFrame, r: str, dof: Column) -> DataFrame:
     return df.withColumn("t", t).withColumn("p", F.coalesce(t_pvalue(F.col("t"), dof.cast("double")), exact))
 
 
-def spearman(df: DataFrame, x: str, y: str, gate: float = RHO_GATE) -> DataFrame:
-    """Spearman's ρ with average ranks, its p-value, and whether it misses the gate.
+def spearman_matrix(df: DataFrame, columns: Sequence[str], gate: float = RHO_GATE) -> DataFrame:
+    """Spearman's ρ of every pair of columns over complete rows: average ranks, p-value, and whether ρ misses the gate.
 
-    Equal (x, y) pairs are counted first, so ranks are joined to counted pairs.
+    Equal rows are counted first; each column is ranked once, from the counted rows,
+    and one aggregation of the ranked rows serves all pairs.
     """
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"))
-    counted = pairs.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("w"))
-    rx = average_ranks(pairs, "_x").select("_x", F.col("rank").alias("rx"))
-    ry = average_ranks(pairs, "_y").select("_y", F.col("rank").alias("ry"))
+    names = [f"_c{i}" for i in range(len(columns))]
+    complete = df.select(*[F.col(c).alias(n) for c, n in zip(columns, names)]).na.drop()
+    counted = complete.groupBy(*names).agg(F.count(F.lit(1)).alias("w"))
+    ranked = counted
+    for i, name in enumerate(names):
+        values = counted.groupBy(name).agg(F.sum("w").alias("n"))
+        ranked = ranked.join(average_ranks_of(values, name).select(name, F.col("rank").alias(f"_r{i}")), name)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     w = F.col("w").cast("double")
-    sums = counted.join(rx, "_x").join(ry, "_y").agg(
+    sums = ranked.agg(
         F.sum("w").alias("n"),
-        F.sum(w * F.col("rx") * F.col("ry")).alias("xy"),
-        F.sum(w * F.col("rx") * F.col("rx")).alias("xx"),
-        F.sum(w * F.col("ry") * F.col("ry")).alias("yy"),
+        *[F.sum(w * F.col(f"_r{i}") * F.col(f"_r{j}")).alias(f"_s{i}_{j}") for i, j in pairs],
+        *[F.sum(w * F.col(f"_r{i}") * F.col(f"_r{i}")).alias(f"_s{i}") for i in range(len(names))],
     )
     middle = F.col("n") * F.pow((F.col("n") + 1) / 2, 2)
-    sx, sy = F.col("xx") - middle, F.col("yy") - middle
-    rho = F.when((sx > 0) & (sy > 0), (F.col("xy") - middle) / F.sqrt(sx * sy))
-    tested = _with_t_test(sums.select("n", rho.alias("rho")), "rho", F.col("n") - 2)
-    return tested.withColumn("unstable", F.col("rho") < gate)
+
+    def rho(i: int, j: int) -> Column:
+        sx, sy = F.col(f"_s{i}") - middle, F.col(f"_s{j}") - middle
+        return F.when((sx > 0) & (sy > 0), (F.col(f"_s{i}_{j}") - middle) / F.sqrt(sx * sy))
+
+    entries = [
+        F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), rho(i, j).alias("rho")) for i, j in pairs
+    ]
+    tested = _with_t_test(sums.select("n", F.inline(F.array(*entries))), "rho", F.col("n") - 2)
+    return tested.select("a", "b", "n", "rho", "t", "p", (F.col("rho") < gate).alias("unstable"))
+
+
+def spearman(df: DataFrame, x: str, y: str, gate: float = RHO_GATE) -> DataFrame:
+    """Spearman's ρ of two columns."""
+    return spearman_matrix(df, [x, y], gate).drop("a", "b")
 
 
 def preset_stability(pivoted: DataFrame, configs: Sequence[str]) -> DataFrame:
     """Spearman's ρ of every pair of presets."""
-    parts = []
-    for i, a in enumerate(configs):
-        for b in configs[i + 1 :]:
-            parts.append(spearman(pivoted, a, b).select(F.lit(a).alias("config_a"), F.lit(b).alias("config_b"), "*"))
-    return reduce(DataFrame.unionByName, parts)
+    return spearman_matrix(pivoted, configs).withColumnsRenamed({"a": "config_a", "b": "config_b"})
 
 
 def partial_correlation(df: DataFrame, x: str, y: str, given: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -47,10 +47,12 @@ def cumulative(counts: DataFrame, keys: Sequence[str], value: str, buckets: int
     keys = list(keys)
     buckets = buckets or bucket_count(counts)
     cut = F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 4 * buckets).alias("_cuts")
+    # Asking for n keeps it in the plan, so that the counting shuffle is made once and reused.
+    present = counts.filter(F.col("n") > 0)
     if keys:
-        placed = counts.join(counts.groupBy(*keys).agg(cut), keys)
+        placed = counts.join(present.groupBy(*keys).agg(cut), keys)
     else:
-        placed = counts.withColumn("_cuts", counts.agg(cut).scalar())
+        placed = counts.withColumn("_cuts", present.agg(cut).scalar())
     placed = placed.withColumn("_bucket", _bucket("_cuts", value, buckets)).drop("_cuts")
 
     sums = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_rows"))
@@ -72,7 +74,11 @@ def cumulative(counts: DataFrame, keys: Sequence[str], value: str, buckets: int
 
 def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Average rank of each distinct value (ties share the mean of their positions)."""
-    ranked = cumulative(value_counts(df, keys, value), keys, value)
+    return average_ranks_of(value_counts(df, keys, value), value, keys)
+
+
+def average_ranks_of(counts: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    ranked = cumulative(counts, keys, value)
     return ranked.select(*keys, value, "n", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
 
 

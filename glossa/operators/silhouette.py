@@ -204,7 +204,8 @@ def tfidf(corpus: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Unit-length TF-IDF weights, one row per document and word: ``tf · ln((N+1)/(df+1))``."""
     tf = corpus.select(doc_id, F.explode(words(text)).alias("token")).groupBy(doc_id, "token").agg(F.count(F.lit(1)).alias("tf"))
     total = corpus.agg(F.count(F.lit(1))).scalar()
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.ln((total + 1) / (F.col("df") + 1)))
+    # Asking for tf lets both uses of the counted table share its shuffle.
+    df = tf.filter(F.col("tf") > 0).groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.ln((total + 1) / (F.col("df") + 1)))
     weighted = tf.join(df, "token").select(doc_id, "token", (F.col("tf") * F.col("idf")).alias("w"))
     # A document's words are its own; no window grows beyond one text's vocabulary.
     from pyspark.sql import Window
