@@ -1,4 +1,7 @@
-"""Time the headline queries and print one JSON line."""
+"""Time the headline queries and print one JSON line.
+
+Each query runs once untimed, to load and compile its code, and is then timed.
+"""
 
 from __future__ import annotations
 
@@ -58,14 +61,15 @@ def main() -> None:
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count().collect()
     times = {}
     for name in names:
-        start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
+        for _ in range(2):
+            start = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - start, 3)
         print(f"{name:28s} {times[name]:8.3f}", file=sys.stderr)
     print(
         json.dumps(
             {
-                "metric": "headline queries, wall time",
+                "metric": "headline queries, wall time of the second run",
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,

@@ -161,17 +161,18 @@ def row_mean(*columns: str | Column) -> Column:
     return F.when(present > 0, total / present)
 
 
-def route_judges(responses: DataFrame, routes: Mapping[str, str], generator: str = "model") -> DataFrame:
-    """Add the judge of each response; a model never judges its own output.
+def route_judges(responses: DataFrame, routes: Mapping[str, str | Sequence[str]], generator: str = "model") -> DataFrame:
+    """One row per response and judge; a model never judges its own output.
 
-    ``routes`` maps generator to judge and is a short literal map, so routing is a
-    column expression. A route onto the generator itself is refused.
+    ``routes`` maps a generator to its judge or judges and is a short literal map, so
+    routing is a column expression. A route onto the generator itself is refused.
+    Responses of an unrouted generator get no row; see ``coverage_gap``.
     """
-    own = sorted(g for g, judge in routes.items() if g == judge)
+    judges = {g: [j] if isinstance(j, str) else list(j) for g, j in routes.items()}
+    own = sorted(g for g, listed in judges.items() if g in listed)
     if own:
         raise ValueError(f"models routed to judge themselves: {', '.join(own)}")
-    judged = responses.withColumn("judge_model", mapped(generator, dict(routes)))
-    return judged.filter(F.col("judge_model").isNotNull())
+    return responses.withColumn("judge_model", F.explode(mapped(generator, judges)))
 
 
 def pending(design: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

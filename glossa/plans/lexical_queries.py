@@ -359,11 +359,10 @@ def classify_passages(spark, sf):
     rf"""with w as (select doc_id, text, {_WORDS} as w from documents),
         c as (select doc_id, len(w) as n, len(list_distinct(w)) as k, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) as s,
                 len(regexp_extract_all(lower(text), '[aeiouyáàâäéèêëíîïóôöúûüœæ]+')) as y from w)
-        select doc_id, round(k / n, 6) as ttr, round(0.39 * n / s + 11.8 * y / n - 15.59, 6) as grade from c where n > 0""",
+        select doc_id, case when n > 0 then round(k / n, 6) end as ttr, case when n > 0 then round(0.39 * n / s + 11.8 * y / n - 15.59, 6) end as grade from c""",
 )
 def readability(spark, sf):
-    scored = ops.readability(texts(spark, sf), "text", "doc_id")
-    return rounded(scored.filter(F.col("ttr").isNotNull()))
+    return rounded(ops.readability(texts(spark, sf), "text", "doc_id"))
 
 
 @query(

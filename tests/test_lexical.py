@@ -94,6 +94,14 @@ def test_zipf(spark):
     assert [r[2] for r in rows(ops.with_zipf(asked, zipf, "w", "z"), "i")] == [8.88, 0.0, None, None]
 
 
+def test_phrase_zipf(spark):
+    counts = spark.createDataFrame([("lock", 1), ("in", 3), ("rest", 996)], "token string, n bigint")
+    asked = spark.createDataFrame([(1, "Lock-in"), (2, "in"), (3, "lock zz"), (4, ""), (5, "Lock-in")], "i int, w string")
+    got = [r["z"] for r in ops.with_phrase_zipf(asked, counts, "w", "z").orderBy("i").collect()]
+    both = round(math.log10(1e9 / (1000 / 1 + 1000 / 3)), 2)
+    assert got == [both, round(math.log10(3e6), 2), 0.0, None, both]
+
+
 def brute_pairs(text, window):
     w = text.split()
     out = {}

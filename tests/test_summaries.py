@@ -55,6 +55,7 @@ def test_judges_never_judge_themselves(spark):
     got = design.route_judges(df, {"gpt4o": "mistral", "llama": "gpt4o"})
     assert rows(got) == [("gpt4o", "mistral"), ("llama", "gpt4o")]
     assert got.filter("model = judge_model").count() == 0
+    assert rows(design.route_judges(df, {"gpt4o": ["sonnet", "mistral"]})) == [("gpt4o", "mistral"), ("gpt4o", "sonnet")]
     with pytest.raises(ValueError, match="llama"):
         design.route_judges(df, {"llama": "llama"})
 
