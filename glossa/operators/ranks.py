@@ -24,13 +24,20 @@ def bucket_count(df: DataFrame) -> int:
 
 
 def _bucket(cuts: str, value: str, buckets: int) -> Column:
-    """Number of sorted cut points below the value, by halving steps."""
+    """Number of sorted cut points below the value, by halving steps.
+
+    The value enters as an argument, not through the closure of the inner function:
+    with only a scalar subquery beside it, Spark would take the expression to use
+    no column and move it to the wrong side of a join.
+    """
     steps = F.array(*[F.lit(buckets >> i) for i in range(1, buckets.bit_length())])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.element_at(F.col(cuts), at + step) < F.col(value), at + step).otherwise(at),
-    )
+
+    def search(v: Column) -> Column:
+        return F.aggregate(
+            steps, F.lit(0), lambda at, step: F.when(F.element_at(F.col(cuts), at + step) < v, at + step).otherwise(at)
+        )
+
+    return F.transform(F.array(value), search)[0]
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

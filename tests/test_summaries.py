@@ -183,3 +183,13 @@ def test_empty_input(spark):
     assert ranks.quantiles(empty, ["k"], "v", {"q": 0.5}).count() == 0
     assert ranks.average_ranks(empty, "v").count() == 0
     assert ops.effort_to_quality(empty, ["v", "t"], "v").count() == 0
+
+
+def test_cumulative_over_a_scanned_column(spark, sf):
+    # A scalar subquery beside a captured column once sent the bucket to the wrong side of the join.
+    line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    ranked = ranks.cumulative(ranks.value_counts(line, [], "l_extendedprice"), [], "l_extendedprice", 64)
+    got = ranked.orderBy("l_extendedprice").collect()
+    assert got[0]["before"] == 0
+    assert all(b["before"] == a["before"] + a["n"] for a, b in zip(got, got[1:]))
+    assert got[-1]["before"] + got[-1]["n"] == got[-1]["total"] == line.count()
