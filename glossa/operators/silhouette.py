@@ -200,19 +200,25 @@ def union_embedders(results: dict[str, DataFrame]) -> DataFrame:
 # --- TF-IDF baseline --------------------------------------------------------
 
 
-def tfidf(corpus: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Unit-length TF-IDF weights, one row per document and word: ``tf · ln((N+1)/(df+1))``."""
-    tf = corpus.select(doc_id, F.explode(words(text)).alias("token")).groupBy(doc_id, "token").agg(F.count(F.lit(1)).alias("tf"))
+def tfidf(corpus: DataFrame, doc_id: str, text: str, *keep: str) -> DataFrame:
+    """Unit-length TF-IDF weights, one row per document and word: ``tf · ln((N+1)/(df+1))``.
+
+    ``keep`` names further columns of a document to carry along.
+    """
+    from pyspark.sql import Window
+
+    keys = [doc_id, *keep]
+    tf = corpus.select(*keys, F.explode(words(text)).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
     total = corpus.agg(F.count(F.lit(1))).scalar()
     # Asking for tf lets both uses of the counted table share its shuffle.
-    df = tf.filter(F.col("tf") > 0).groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.ln((total + 1) / (F.col("df") + 1)))
-    weighted = tf.join(df, "token").select(doc_id, "token", (F.col("tf") * F.col("idf")).alias("w"))
+    df = tf.filter(F.col("tf") > 0).groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn(
+        "idf", F.ln((total + 1) / (F.col("df") + 1))
+    )
+    weighted = tf.join(df, "token").select(*keys, "token", (F.col("tf") * F.col("idf")).alias("w"))
     # A document's words are its own; no window grows beyond one text's vocabulary.
-    from pyspark.sql import Window
-
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc_id)))
     return weighted.withColumn("_length", length).filter(F.col("_length") > 0).select(
-        doc_id, "token", (F.col("w") / F.col("_length")).alias("w")
+        *keys, "token", (F.col("w") / F.col("_length")).alias("w")
     )
 
 
@@ -228,10 +234,9 @@ def tfidf_silhouette(corpus: DataFrame, doc_id: str, text: str, label: str) -> D
     A document meets a cluster through the words they share, joined on the word
     with the cluster's mean weights, so vectors stay sparse throughout.
     """
-    weights = tfidf(corpus, doc_id, text)
     labels = corpus.select(doc_id, F.col(label).alias("_label"))
     sizes = labels.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
-    tagged = weights.join(labels, doc_id)
+    tagged = tfidf(corpus.withColumn("_label", F.col(label)), doc_id, text, "_label")
     means = tagged.groupBy("_label", "token").agg(F.sum("w").alias("_sum")).join(sizes, "_label").select(
         F.col("_label").alias("_cluster"), "token", (F.col("_sum") / F.col("_n")).alias("mu")
     )
