@@ -24,7 +24,7 @@ from .common import slices, stored
 
 SEED = 42
 # Fingerprints that a shard owns on average; the number of shards follows the input.
-SHARD_ROWS = 8192
+SHARD_ROWS = 32768
 # Rows the vantage points of the shard tree are chosen from.
 SAMPLE = 16384
 # Fingerprints that a leaf compares directly, and those compared with it at once.
