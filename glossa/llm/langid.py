@@ -244,14 +244,18 @@ def train(rows: list[tuple[str, str]], rounds: int = 6, rate: float = 0.3, decay
 def training_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The bounded sample: of each language the documents with the smallest hash of key, ``SAMPLE_WORDS`` words of each.
 
-    The words start at a place that the hash decides. Rows without text, language or key are no training rows.
+    Documents are drawn by their keys alone; texts are read for the drawn ones, whose number is bounded. The words start at a
+    place that the hash decides. Rows without text, language or key are no training rows; of a repeated key one text counts.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("k is not null and t is not null and l is not null")
-    order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k", F.xxhash64("t"))
-    drawn = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANGUAGE)
+    order = Window.partitionBy("l").orderBy("h", "k")
+    keys = rows.select("l", "k", F.xxhash64("k").alias("h"))
+    drawn = keys.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANGUAGE).select("l", "k").distinct()
     words = F.split("t", r"[\x20\x09-\x0D]+")
     room = F.greatest(F.size("w") - SAMPLE_WORDS, F.lit(0)) + 1
-    return drawn.select("l", "k", words.alias("w")).select(F.array_join(F.slice("w", F.pmod(F.xxhash64("k"), room).cast("int") + 1, SAMPLE_WORDS), " ").alias("text"), F.col("l").alias("lang"))
+    cut = F.array_join(F.slice("w", F.pmod(F.xxhash64("k"), room).cast("int") + 1, SAMPLE_WORDS), " ")
+    found = rows.join(F.broadcast(drawn), ["l", "k"]).select("l", "k", words.alias("w")).select("l", "k", cut.alias("text"))
+    return found.groupBy("l", "k").agg(F.min("text").alias("text")).select("text", F.col("l").alias("lang"))
 
 
 def held_out(key: str = "doc_id") -> Column:
