@@ -50,7 +50,8 @@ def captures(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     rows = stored(rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", base32_sha1(F.col("html"))), "captures")
     some = F.when(F.col("key").isNotNull(), F.struct("key", "capture"))
     equal = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min(some).alias("first"), F.count("*").alias("n"))
-    shared = equal.where((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
+    # Stored before the join: with its size known, payloads are shuffled only if shared digests are too many to send.
+    shared = stored(equal.where((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first"), "shared")
     found = rows.join(shared, "digest", "left")
     other = F.col("first").isNotNull() & (F.col("bytes") >= least) & ~F.col("key").eqNullSafe(F.col("first.key"))
     return found.withColumn("first", F.when(other, F.col("first")))
