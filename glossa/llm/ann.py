@@ -19,11 +19,26 @@ from pyspark.sql import functions as F
 
 PROJECTIONS = 64
 # Collisions, of the projections, from which a vector is verified.
-THRESHOLD = 34
+THRESHOLD = 37
 # Factor by which the radius grows, and the first radius (distance of unit vectors).
-GROWTH, FIRST = 1.2, 0.2
+GROWTH, FIRST = 1.2, 0.4
 # Vectors of a shard and queries of a block, on average.
-SHARD_ROWS, BLOCK_ROWS = 16384, 8192
+SHARD_ROWS, BLOCK_ROWS = 8192, 8192
+# Queries whose windows are laid out at once.
+STRIP = 256
+# More than single precision can be off by in a cosine.
+SLACK = 1e-4
+
+
+def radii() -> np.ndarray:
+    """Radii up to the largest distance of unit vectors, and one that covers the arrays."""
+    steps = [FIRST]
+    while steps[-1] < 2:
+        steps.append(steps[-1] * GROWTH)
+    return np.array([*steps, np.inf])
+
+
+RADII = radii()
 
 
 def directions(dims: int, seed: int = 11) -> np.ndarray:
@@ -41,38 +56,48 @@ class Index:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
         self.axes = directions(rows.shape[1])
-        unit = rows / np.sqrt((rows * rows).sum(1))[:, None]
-        places = self.axes @ unit.T
-        self.order = np.argsort(places, axis=1, kind="stable").astype(np.int32)
+        self.unit = rows / np.sqrt((rows * rows).sum(1))[:, None]
+        places = self.axes @ self.unit.T
+        self.order = np.argsort(places, axis=1, kind="stable")
         self.places = np.take_along_axis(places, self.order, 1)
-
-    def nearest(self, ident: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        at = self.axes @ (query / np.sqrt((query * query).sum()))
+        self.unit = self.unit.astype(np.float32)
+
+    def windows(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of each query's windows in every array, by radius: (query, radius, projection)."""
+        at = (queries / np.sqrt((queries * queries).sum(1))[:, None]) @ self.axes.T
+        shape = (len(queries), len(RADII), PROJECTIONS)
+        low, high = np.empty(shape, np.int32), np.empty(shape, np.int32)
+        for j, row in enumerate(self.places):
+            low[:, :, j] = np.searchsorted(row, at[:, j, None] - RADII)
+            high[:, :, j] = np.searchsorted(row, at[:, j, None] + RADII, "right")
+        return low, high
+
+    def nearest(self, ident: int, query: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best ``k`` of this shard; ``low`` and ``high`` are the query's windows, (radius, projection)."""
         n = len(self.ids)
-        low = np.array([np.searchsorted(p, x) for p, x in zip(self.places, at)])
-        high = low.copy()
-        hits = np.zeros(n, np.int16)
-        checked = np.zeros(n, bool)
+        hits = np.zeros(n, np.int64)
+        checked = self.ids == ident
         ids, scores = np.empty(0, self.ids.dtype), np.empty(0)
-        radius = FIRST
-        while True:
-            for j in range(PROJECTIONS):
-                row = self.places[j]
-                a, b = np.searchsorted(row, at[j] - radius), np.searchsorted(row, at[j] + radius, "right")
-                hits[self.order[j, a : low[j]]] += 1
-                hits[self.order[j, high[j] : b]] += 1
-                low[j], high[j] = min(a, low[j]), max(b, high[j])
+        near = (query / np.sqrt((query * query).sum())).astype(np.float32)
+        left = right = (low[0] + high[0]) // 2
+        for radius, a, b in zip(RADII.tolist(), low, high):
+            ends = zip(self.order, a.tolist(), left.tolist(), right.tolist(), b.tolist())
+            hits += np.bincount(np.concatenate([x for o, a_, l_, r_, b_ in ends for x in (o[a_:l_], o[r_:b_])]), minlength=n)
+            left, right = a, b
             fresh = np.flatnonzero((hits >= THRESHOLD) & ~checked)
             checked[fresh] = True
-            fresh = fresh[self.ids[fresh] != ident]
+            rough = self.unit[fresh] @ near
+            if len(ids) + len(fresh) > k:
+                # Exact cosines for all that single precision cannot rule out.
+                both = np.concatenate([rough, scores])
+                fresh = fresh[rough >= np.partition(both, len(both) - k)[len(both) - k] - SLACK]
             ids = np.concatenate([ids, self.ids[fresh]])
             scores = np.concatenate([scores, cosines(self.rows[fresh], query)])
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
-            done = len(ids) == k and 2 - 2 * scores[-1] <= radius * radius
-            if done or (low == 0).all() and (high == n).all():
-                return ids, scores
-            radius *= GROWTH
+            if len(ids) == k and 2 - 2 * scores[-1] <= radius * radius:
+                break
+        return ids, scores
 
 
 def usable(c: str) -> Column:
@@ -105,12 +130,17 @@ def search(vectors: DataFrame, asking: Column, k: int = 5, key: str = "vec_id",
             return pd.DataFrame(columns=columns).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         index = Index(part["id"].to_numpy(), np.stack(part["v"].tolist()).astype(np.float64))
         out = []
-        for ident, v in zip(queries["id"].tolist(), queries["v"]):
-            ids, scores = index.nearest(ident, np.asarray(v, np.float64), k)
-            out.append(pd.DataFrame({"query_id": ident, "vec_id": ids, "score": scores}))
+        for start in range(0, len(queries), STRIP):
+            idents = queries["id"].to_numpy()[start : start + STRIP]
+            asked = np.stack(queries["v"].tolist()[start : start + STRIP]).astype(np.float64)
+            for ident, v, low, high in zip(idents.tolist(), asked, *index.windows(asked)):
+                ids, scores = index.nearest(ident, v, low, high, k)
+                out.append(pd.DataFrame({"query_id": ident, "vec_id": ids, "score": scores}))
         return pd.concat(out, ignore_index=True)
 
     keys = ["dims", "shard", "block"]
+    # As many partitions as shards: few bytes, but much work in each.
+    held, posed = held.repartition(shards * blocks, *keys), posed.repartition(shards * blocks, *keys)
     found = posed.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
