@@ -57,8 +57,8 @@ def pairwise_kappa(wide: DataFrame, raters: Sequence[str]) -> DataFrame:
 
 
 def fleiss_kappa(ratings: DataFrame, item: str, category: str) -> DataFrame:
-    """Fleiss' κ; items with fewer than two ratings carry no agreement and are left out."""
-    cells = ratings.filter(F.col(category).isNotNull()).groupBy(item, category).agg(F.count(F.lit(1)).alias("n"))
+    """Fleiss' κ; items with fewer than two ratings carry no agreement and are left out, as are ratings of no item."""
+    cells = ratings.filter(F.col(category).isNotNull() & F.col(item).isNotNull()).groupBy(item, category).agg(F.count(F.lit(1)).alias("n"))
     items = cells.groupBy(item).agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("ss")).filter("m >= 2")
     observed = items.agg(
         F.avg((F.col("ss") - F.col("m")) / (F.col("m") * (F.col("m") - 1))).alias("observed"),

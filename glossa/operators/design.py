@@ -7,6 +7,7 @@ arrays on each stimulus row: no join and no shuffle, whatever the table's size.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,6 +131,15 @@ def canonical_levels(df: DataFrame) -> DataFrame:
     )
 
 
+def canonical_level(components: Sequence[str] = tuple(CANONICAL_FROM)) -> Column:
+    """Canonical level of a row's component flags; null for any other combination."""
+    levels = [
+        F.when(reduce(lambda a, b: a & b, [F.col(c) == F.lit(level >= CANONICAL_FROM[c]) for c in components]), level)
+        for level in range(4)
+    ]
+    return F.coalesce(*levels)
+
+
 def mapped(value: str | Column, codes: Mapping[str, object]) -> Column:
     """Literal map lookup; null for a value outside the map."""
     pairs = [F.lit(x) for item in codes.items() for x in item]

@@ -214,6 +214,9 @@ def coefficient_ranking(coefficients: DataFrame, terms: Sequence[str]) -> DataFr
 def linear_or_step(df: DataFrame, x: str, y: str, step_at: float = STEP_LEVEL) -> DataFrame:
     """AIC of the linear and of the step model, and which is lower.
 
+    A perfect fit has no finite AIC (null) and wins; a step that the rows cannot show (all on one side of it) loses. Without rows
+    that show a line there is no preference.
+
     Both are simple regressions, so one aggregation with Spark's own regression
     functions covers them.
     """
@@ -233,7 +236,9 @@ def linear_or_step(df: DataFrame, x: str, y: str, step_at: float = STEP_LEVEL) -
         return F.col("n") * (F.log(F.lit(2 * math.pi)) + F.log(F.col("_v") * (1 - F.col(r2))) + 1) + 4
 
     scored = fits.withColumns({"linear_aic": aic("linear_r2"), "step_aic": aic("step_r2")}).drop("_v")
-    preferred = F.when(F.col("linear_aic") < F.col("step_aic"), "linear").otherwise("threshold (step)")
+    linear = (F.col("linear_r2") >= 1) | F.col("step_r2").isNull() | (F.col("linear_aic") < F.col("step_aic"))
+    step = (F.col("step_r2") >= 1) | (F.col("linear_aic") >= F.col("step_aic"))
+    preferred = F.when(F.col("linear_r2").isNull(), F.lit(None)).when(linear, "linear").when(step, "threshold (step)")
     return scored.withColumn("preferred", preferred)
 
 

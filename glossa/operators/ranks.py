@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import null_safe_join
+
 # Bounds on the number of buckets; in between it follows the shuffle partitions.
 MIN_BUCKETS, MAX_BUCKETS = 16, 4096
 
@@ -57,7 +59,7 @@ def cumulative(counts: DataFrame, keys: Sequence[str], value: str, buckets: int
     # Asking for n keeps it in the plan, so that the counting shuffle is made once and reused.
     present = counts.filter(F.col("n") > 0)
     if keys:
-        placed = counts.join(present.groupBy(*keys).agg(cut), keys)
+        placed = null_safe_join(counts, present.groupBy(*keys).agg(cut), keys)
     else:
         placed = counts.withColumn("_cuts", present.agg(cut).scalar())
     placed = placed.withColumn("_bucket", _bucket("_cuts", value, buckets)).drop("_cuts")
@@ -72,11 +74,9 @@ def cumulative(counts: DataFrame, keys: Sequence[str], value: str, buckets: int
         F.sum("_rows").over(by_key).alias("total"),
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        placed.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(offsets, [*keys, "_bucket"])
-        .select(*counts.columns, (F.col("_offset") + F.col("_inside")).alias("before"), "total")
-    )
+    numbered = placed.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    joined = null_safe_join(numbered, offsets, [*keys, "_bucket"])
+    return joined.select(*counts.columns, (F.col("_offset") + F.col("_inside")).alias("before"), "total")
 
 
 def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -119,7 +119,7 @@ def box_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     box = box.withColumnRenamed("n", "n_total")
-    fenced = ranked.select(*keys, value, "n").join(box, list(keys)) if keys else ranked.select(value, "n").withColumns(
+    fenced = null_safe_join(ranked.select(*keys, value, "n"), box, list(keys)) if keys else ranked.select(value, "n").withColumns(
         {c: box.select(c).scalar() for c in ("q1", "median", "q3", "n_total")}
     )
     return fenced.groupBy(*keys, "q1", "median", "q3", F.col("n_total").alias("n")).agg(
@@ -130,13 +130,19 @@ def box_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def item_ids(df: DataFrame, stratum_order: Column, order: str, prefix: str, digits: int = 3) -> DataFrame:
-    """Number rows by stratum and then by the unique numeric column ``order``: ``prefix_001``, ``prefix_002``, …"""
+    """Number rows by stratum and then by the numeric column ``order``: ``prefix_001``, ``prefix_002``, …
+
+    One row out per row in. A null stratum comes first, as a stratum of its own; rows of one stratum and order are numbered by
+    a hash of the row; a row without order gets no id and takes no number.
+    """
     keyed = df.withColumn("_stratum", stratum_order)
     numbered = cumulative(value_counts(keyed, ["_stratum"], order), ["_stratum"], order)
-    sizes = keyed.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = keyed.groupBy("_stratum").agg(F.count(order).alias("_size"))
     earlier = Window.orderBy("_stratum").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_stratum", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
     position = (F.col("_start") + F.col("before") + 1).alias("_position")
-    ids = numbered.join(starts, "_stratum").select(order, position)
+    ids = null_safe_join(numbered, starts, ["_stratum"]).select("_stratum", order, position)
+    tied = Window.partitionBy("_stratum", order).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     label = F.concat(F.lit(f"{prefix}_"), F.lpad(F.col("_position").cast("string"), F.greatest(F.lit(digits), F.length(F.col("_position").cast("string"))), F.lit("0")))
-    return keyed.join(ids, order).withColumn("item_id", label).drop("_stratum", "_position")
+    placed = null_safe_join(keyed, ids, ["_stratum", order], "left").withColumn("_position", F.col("_position") + F.row_number().over(tied) - 1)
+    return placed.withColumn("item_id", label).drop("_stratum", "_position")

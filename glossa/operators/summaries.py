@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.keys import null_safe_join
 from ..functions.text import ENCYCLOPEDIC, reading_label
 
 # Smallest topic of each topic-model preset, the outlier topic, and
@@ -137,7 +138,8 @@ def drop_small_topics(df: DataFrame, keys: Sequence[str], topic: str, minimum: i
     """Give rows of topics smaller than ``minimum`` within their slice the outlier topic."""
     sizes = df.groupBy(*keys, topic).agg(count_rows("_size"))
     small = F.col("_size") < minimum
-    return df.join(sizes, [*keys, topic]).withColumn(topic, F.when(small, F.lit(OUTLIER)).otherwise(F.col(topic))).drop("_size")
+    sized = null_safe_join(df, sizes, [*keys, topic])
+    return sized.withColumn(topic, F.when(small, F.lit(OUTLIER)).otherwise(F.col(topic))).drop("_size")
 
 
 def topic_counts(df: DataFrame, keys: Sequence[str], topic: str, presets: Mapping[str, int] = TOPIC_PRESETS) -> DataFrame:
@@ -207,14 +209,16 @@ def adjudicate(outcomes: DataFrame, keys: Sequence[str], experiment: str = "expe
     Thesis 1: the mechanistic test (E4) takes precedence over the distributional (E1).
     Thesis 2: conformity (E2) and trajectory (E5) stand alone; both are needed for the full claim.
     Thesis 3: output side (E3) alone carries the quality claim, the user study (E3U) the inequality claim.
+    A thesis whose verdict turns on an experiment without outcome is undetermined.
     """
     wide = outcomes.groupBy(*keys).pivot(experiment, ["E1", "E2", "E3", "E3U", "E4", "E5"]).agg(F.bool_and(confirmed))
-    e1, e2, e3, e3u, e4, e5 = (F.coalesce(F.col(c), F.lit(False)) for c in ("E1", "E2", "E3", "E3U", "E4", "E5"))
+    e1, e2, e3, e3u, e4, e5 = (F.col(c) for c in ("E1", "E2", "E3", "E3U", "E4", "E5"))
+    open_ = F.lit("undetermined")
     return wide.select(
         *keys,
-        F.when(e4 & e1, "confirmed").when(e4, "restricted").when(e1, "disconfirmed").otherwise("fully disconfirmed").alias("thesis1"),
-        F.when(e2 & e5, "confirmed").when(e2, "synchronic only").when(e5, "diachronic only").otherwise("disconfirmed").alias("thesis2"),
-        F.when(e3 & e3u, "inequality").when(e3, "quality differential").otherwise("disconfirmed").alias("thesis3"),
+        F.when(e4 & e1, "confirmed").when(e4 & ~e1, "restricted").when(~e4 & e1, "disconfirmed").when(~e4 & ~e1, "fully disconfirmed").otherwise(open_).alias("thesis1"),
+        F.when(e2 & e5, "confirmed").when(e2 & ~e5, "synchronic only").when(~e2 & e5, "diachronic only").when(~e2 & ~e5, "disconfirmed").otherwise(open_).alias("thesis2"),
+        F.when(e3 & e3u, "inequality").when(e3 & ~e3u, "quality differential").when(~e3, "disconfirmed").otherwise(open_).alias("thesis3"),
     )
 
 

@@ -52,9 +52,12 @@ def generation_requests(concepts: DataFrame, template: str) -> DataFrame:
 
 
 def domain_requests(domains: DataFrame, models_: Sequence[str]) -> DataFrame:
-    """E3: the 2^4 conditions of focal domains and the four canonical levels of all others."""
+    """E3: the 2^4 conditions of focal domains and the four canonical levels of all others.
+
+    A focal condition that is one of the canonical levels carries it, so that focal domains enter the analyses by level.
+    """
     known = design.with_domain(domains)
-    full = design.factorial_conditions(known.filter("is_focal")).drop("condition").withColumn("level", F.lit(None).cast("int"))
+    full = design.factorial_conditions(known.filter("is_focal")).drop("condition").withColumn("level", design.canonical_level())
     canonical = design.canonical_levels(known.filter("not is_focal"))
     counted = sum((F.col(c).cast("int") for c in design.COMPONENTS[1:]), F.col(design.COMPONENTS[0]).cast("int"))
     conditions = full.unionByName(canonical.withColumn("n_components", counted))

@@ -163,13 +163,13 @@ def replication(spark, sf):
     "adjudication",
     """with o as (select l_suppkey as study, ['E1', 'E2', 'E3', 'E3U', 'E4', 'E5'][(l_linenumber - 1) % 6 + 1] as experiment,
                   avg(l_quantity) > 25.5 as confirmed from lineitem group by all),
-        w as (select study, coalesce(bool_and(confirmed) filter (experiment = 'E1'), false) as e1, coalesce(bool_and(confirmed) filter (experiment = 'E2'), false) as e2,
-                coalesce(bool_and(confirmed) filter (experiment = 'E3'), false) as e3, coalesce(bool_and(confirmed) filter (experiment = 'E3U'), false) as e3u,
-                coalesce(bool_and(confirmed) filter (experiment = 'E4'), false) as e4, coalesce(bool_and(confirmed) filter (experiment = 'E5'), false) as e5
+        w as (select study, bool_and(confirmed) filter (experiment = 'E1') as e1, bool_and(confirmed) filter (experiment = 'E2') as e2,
+                bool_and(confirmed) filter (experiment = 'E3') as e3, bool_and(confirmed) filter (experiment = 'E3U') as e3u,
+                bool_and(confirmed) filter (experiment = 'E4') as e4, bool_and(confirmed) filter (experiment = 'E5') as e5
               from o group by 1)
-       select study, case when e4 and e1 then 'confirmed' when e4 then 'restricted' when e1 then 'disconfirmed' else 'fully disconfirmed' end as thesis1,
-         case when e2 and e5 then 'confirmed' when e2 then 'synchronic only' when e5 then 'diachronic only' else 'disconfirmed' end as thesis2,
-         case when e3 and e3u then 'inequality' when e3 then 'quality differential' else 'disconfirmed' end as thesis3 from w""",
+       select study, case when e4 and e1 then 'confirmed' when e4 and not e1 then 'restricted' when not e4 and e1 then 'disconfirmed' when not e4 and not e1 then 'fully disconfirmed' else 'undetermined' end as thesis1,
+         case when e2 and e5 then 'confirmed' when e2 and not e5 then 'synchronic only' when not e2 and e5 then 'diachronic only' when not e2 and not e5 then 'disconfirmed' else 'undetermined' end as thesis2,
+         case when e3 and e3u then 'inequality' when e3 and not e3u then 'quality differential' when not e3 then 'disconfirmed' else 'undetermined' end as thesis3 from w""",
 )
 def adjudication(spark, sf):
     names = F.array(*[F.lit(e) for e in ("E1", "E2", "E3", "E3U", "E4", "E5")])

@@ -127,7 +127,7 @@ def test_request_counts(spark):
         F.when(F.col("id") < 20, "charged").otherwise("control").alias("concept_type"),
     )
     three = ["gpt4o", "llama", "mistral"]
-    requests = ex.concept_requests(concepts, "Write a short paragraph describing {concept}.", three)
+    requests = ex.concept_requests(concepts, "Tell me about {concept}.", three)
     assert requests.count() == 48_000
     assert requests.select("model", "temperature", "concept_id", "response_index").distinct().count() == 48_000
     later = ex.generation_requests(concepts, "Describe {concept}.")
