@@ -150,7 +150,8 @@ def test_domain_requests(spark):
     got = ex.domain_requests(domains, ["m"])
     assert got.count() == (16 + 4) * 30
     full = got.filter("D and R and V and C and is_focal").first()
-    assert (full["condition_id"], full["n_components"], full["level"]) == ("DRVC", 4, None)
+    assert (full["condition_id"], full["n_components"], full["level"]) == ("DRVC", 4, 3)
+    assert got.filter("R and not D and is_focal").first()["level"] is None
     level = got.filter("domain = 'cover_letter' and level = 2").first()
     assert (level["D"], level["R"], level["V"], level["C"], level["n_components"]) == (True, True, True, False, 3)
 
