@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import null_safe_join
 from ..functions.text import words
 from ..functions.vectors import dot, l2_normalize, squared_norm
 from .conformity import centroids
@@ -23,8 +24,10 @@ from .conformity import centroids
 SEEDS, UNSTABLE_ABOVE = 5, 0.05
 # Fixed value: smallest subset that gets a score of its own.
 MIN_SUBSET = 10
-# Largest moment table of one group that is attached to its points (cells of 8 bytes).
-MAX_ATTACHED_CELLS = 16_000_000
+# Cells (doubles) of cluster means that travel together, on average, and the parts that a group's rows are dealt into.
+BLOCK_CELLS, PARTS = 1 << 15, 16
+# Copies of a row that are written out at once.
+COPIES = 4096
 
 
 def _prepared(df: DataFrame, groups: Sequence[str], label: str, vector: str, cosine: bool, keep: Sequence[str]) -> DataFrame:
@@ -50,26 +53,32 @@ def _score(own: Column, other: Column, size: Column) -> Column:
     return F.when(size == 1, F.lit(0.0)).when(F.greatest(a, other) > 0, (other - a) / F.greatest(a, other)).otherwise(0.0)
 
 
-def silhouette_samples(
-    df: DataFrame, groups: Sequence[str], label: str, vector: str, cosine: bool = False, keep: Sequence[str] = ()
+def _blocks(clusters: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Cut the clusters of each group into lists of bounded size, once for every part of the group's rows."""
+    cells = clusters.groupBy(*groups).agg(F.sum(F.size("mu")).alias("_cells"))
+    block = F.pmod(F.xxhash64("_label"), F.ceil(F.col("_cells") / BLOCK_CELLS)).alias("_block")
+    dealt = null_safe_join(clusters, cells, groups).select(*clusters.columns, block)
+    lists = dealt.groupBy(*groups, "_block").agg(F.collect_list(F.struct("_label", "n", "mu", "msq")).alias("_clusters"))
+    return lists.select(*groups, "_clusters", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+
+
+def _scored(
+    df: DataFrame, groups: Sequence[str], label: str, vector: str, cosine: bool, keep: Sequence[str]
 ) -> DataFrame:
-    """Silhouette of every point within its group; null where the group has a single label.
+    """``keep``, groups, ``_label``, ``silhouette`` and ``_copies``, one row per distinct row.
 
-    The moments of a group's clusters travel to its points as one array. A group
-    whose array would be too large raises; ``silhouette_samples_long`` takes those.
+    A row meets the blocks of its group one by one and keeps its own cluster's distance and the least other. Only those
+    numbers are combined per row, under the row's columns and two hashes of its vector, so rows need no key. Exactly one
+    block holds a row's own cluster, so counting it counts copies.
     """
-    groups = list(groups)
-    rows = _prepared(df, groups, label, vector, cosine, keep)
-    clusters = _moments(rows, groups).groupBy(*groups).agg(
-        F.collect_list(F.struct("_label", "n", "mu", "msq")).alias("_clusters")
-    )
-    cells = F.size("_clusters").cast("bigint") * F.size(F.col("_clusters")[0]["mu"])
-    refuse = F.raise_error(F.lit("too many clusters to attach to a group; use silhouette_samples_long"))
-    clusters = clusters.withColumn("_clusters", F.when(cells <= MAX_ATTACHED_CELLS, F.col("_clusters")).otherwise(refuse))
-    if groups:
-        joined = rows.join(clusters, groups)
-    else:
-        joined = rows.withColumn("_clusters", clusters.select("_clusters").scalar())
+    groups = list(groups) or ["_all"]
+    base = df if groups != ["_all"] else df.withColumn("_all", F.lit(0))
+    rows = _prepared(base, groups, label, vector, cosine, [k for k in keep if k not in groups])
+    blocks = _blocks(_moments(rows, groups), groups)
+    marks = [F.xxhash64(F.lit(i), "_v").alias(f"_mark{i}") for i in range(2)]
+    # Any part is right for a row; the task number spreads equal vectors too.
+    part = F.pmod(F.xxhash64("_mark0", F.spark_partition_id()), F.lit(PARTS)).cast("int")
+    parted = rows.select("*", *marks).withColumn("_part", part)
     distances = F.transform(
         "_clusters",
         lambda c: F.struct(
@@ -78,45 +87,45 @@ def silhouette_samples(
             F.greatest(F.col("_sq") - 2 * dot("_v", c["mu"]) + c["msq"], F.lit(0.0)).alias("d"),
         ),
     )
-    joined = joined.withColumn("_d", distances)
-    own = F.filter("_d", lambda c: c["label"] == F.col("_label"))[0]
+    met = null_safe_join(parted, blocks, [*groups, "_part"]).withColumn("_d", distances)
+    own = F.filter("_d", lambda c: c["label"] == F.col("_label"))
     other = F.array_min(F.transform(F.filter("_d", lambda c: c["label"] != F.col("_label")), lambda c: c["d"]))
-    scored = joined.withColumns({"_own": own, "_other": other})
-    value = F.when(F.col("_other").isNotNull(), _score(F.col("_own.d"), F.col("_other"), F.col("_own.n")))
-    return scored.select(*keep, *groups, F.col("_label").alias(label), value.alias("silhouette"))
+    names = list(dict.fromkeys([*keep, *groups, "_label"]))
+    near = met.select(*names, "_mark0", "_mark1", F.get(own, 0).alias("_own"), other.alias("_other"))
+    best = near.groupBy(*names, "_mark0", "_mark1").agg(
+        F.min("_other").alias("_other"),
+        F.max("_own.d").alias("_own"),
+        F.max("_own.n").alias("_n"),
+        F.count("_own").alias("_copies"),
+    )
+    value = F.when(F.col("_other").isNotNull(), _score(F.col("_own"), F.col("_other"), F.col("_n")))
+    return best.select(*[c for c in names if c != "_all"], value.alias("silhouette"), "_copies")
 
 
-def silhouette_samples_long(
-    df: DataFrame, groups: Sequence[str], label: str, vector: str, key: str, cosine: bool = False
+def silhouette_samples(
+    df: DataFrame, groups: Sequence[str], label: str, vector: str, cosine: bool = False, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """As ``silhouette_samples`` with one row per point and cluster, for any number of clusters."""
-    groups = list(groups) or ["_all"]
-    base = df if groups != ["_all"] else df.withColumn("_all", F.lit(0))
-    rows = _prepared(base, groups, label, vector, cosine, [key])
-    clusters = _moments(rows, groups).withColumnRenamed("_label", "_cluster")
-    d = F.greatest(F.col("_sq") - 2 * dot("_v", "mu") + F.col("msq"), F.lit(0.0))
-    same = F.col("_cluster") == F.col("_label")
-    best = (
-        rows.join(clusters, groups)
-        .withColumn("_d", d)
-        .groupBy(*groups, key, "_label")
-        .agg(
-            F.min(F.when(~same, F.col("_d"))).alias("_other"),
-            F.max(F.when(same, F.col("_d"))).alias("_own"),
-            F.max(F.when(same, F.col("n"))).alias("_n"),
-        )
-    )
-    value = F.when(F.col("_other").isNotNull(), _score(F.col("_own"), F.col("_other"), F.col("_n")))
-    return best.select(key, *[g for g in groups if g != "_all"], F.col("_label").alias(label), value.alias("silhouette"))
+    """Silhouette of every point within its group; null where the group has a single label.
+
+    Any number of clusters and copies. A null group is a group of its own; a row without label or vector takes no part.
+    """
+    scored = _scored(df, groups, label, vector, cosine, keep)
+    names = [c for c in scored.columns if c not in ("_label", "silhouette", "_copies")]
+    full = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_copies") - 1) / COPIES))
+    runs = scored.select(*names, "_label", "silhouette", "_copies", F.explode(full).alias("_run"))
+    left = F.least(F.col("_copies") - F.col("_run") * COPIES, F.lit(COPIES)).cast("int")
+    each = runs.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), left)))
+    return each.select(*names, F.col("_label").alias(label), "silhouette")
 
 
 def silhouette(
     df: DataFrame, groups: Sequence[str], label: str, vector: str, cosine: bool = False, minimum: int = MIN_SUBSET
 ) -> DataFrame:
     """Mean silhouette per group; null below ``minimum`` points or with a single label."""
-    samples = silhouette_samples(df, groups, label, vector, cosine)
-    n = F.count(F.lit(1))
-    return samples.groupBy(*groups).agg(F.when(n >= minimum, F.avg("silhouette")).alias("silhouette"), n.alias("n"))
+    scored = _scored(df, groups, label, vector, cosine, ())
+    n = F.sum("_copies")
+    mean = F.sum(F.col("silhouette") * F.col("_copies")) / F.sum(F.when(F.col("silhouette").isNotNull(), F.col("_copies")))
+    return scored.groupBy(*groups).agg(F.when(n >= minimum, mean).alias("silhouette"), F.coalesce(n, F.lit(0)).alias("n"))
 
 
 def sign_vector(seed: int, component: int, dim: int) -> list[float]:
@@ -232,9 +241,10 @@ def tfidf_silhouette(corpus: DataFrame, doc_id: str, text: str, label: str) -> D
     """Mean cosine silhouette of documents under a labelling, on TF-IDF weights.
 
     A document meets a cluster through the words they share, joined on the word
-    with the cluster's mean weights, so vectors stay sparse throughout.
+    with the cluster's mean weights, so vectors stay sparse throughout. A document
+    without label takes no part in clusters or in the mean.
     """
-    labels = corpus.select(doc_id, F.col(label).alias("_label"))
+    labels = corpus.filter(F.col(label).isNotNull()).select(doc_id, F.col(label).alias("_label"))
     sizes = labels.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
     tagged = tfidf(corpus.withColumn("_label", F.col(label)), doc_id, text, "_label")
     means = tagged.groupBy("_label", "token").agg(F.sum("w").alias("_sum")).join(sizes, "_label").select(

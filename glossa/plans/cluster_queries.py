@@ -55,7 +55,24 @@ def silhouette_samples(spark, sf):
     f"with {_DOCS}, i as (select *, lang as g from base), {_sql('t', 'label', 'i', True)} select vec_id, g as lang, l as label, round(s, 6) as silhouette from t_s",
 )
 def silhouette_long(spark, sf):
-    return rounded(ops.silhouette_samples_long(_points(spark, sf), ["lang"], "label", "embedding", "vec_id", cosine=True))
+    return rounded(ops.silhouette_samples(_points(spark, sf), ["lang"], "label", "embedding", cosine=True, keep=["vec_id"]))
+
+
+@query(
+    "silhouette_many_clusters",
+    f"""with {_DOCS}, k as (select vec_id, v, case when vec_id % 7 <> 0 then lang end as lang,
+                label || '/' || source || '/' || vec_id % 40 as label from base),
+        i as (select *, coalesce(lang, '-') as g from k), {_sql('t', 'label', 'i')}
+        select vec_id, nullif(g, '-') as lang, l as label, round(s, 6) as silhouette from t_s""",
+)
+def silhouette_many_clusters(spark, sf):
+    # Hundreds of clusters to a group; every seventh point has no language and stays a group of its own.
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source")
+    points = table(spark, sf, "embeddings").join(docs, "vec_id")
+    label = F.concat_ws("/", "label", "source", F.col("vec_id") % 40)
+    lang = F.when(F.col("vec_id") % 7 != 0, F.col("lang"))
+    points = points.select("vec_id", "embedding", label.alias("label"), lang.alias("lang"))
+    return rounded(ops.silhouette_samples(points, ["lang"], "label", "embedding", keep=["vec_id"]))
 
 
 _DELTA = f"""{_DOCS}, i as (select *, lang as g from base), p as (select * from i where ctx >= 3),

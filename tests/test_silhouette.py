@@ -43,8 +43,6 @@ def test_samples_against_pairs(cloud, cosine):
     want = brute(points, labels, "cosine" if cosine else "sq")
     got = ops.silhouette_samples(df, [], "label", "v", cosine, keep=["id"]).orderBy("id").collect()
     assert [r["silhouette"] for r in got] == pytest.approx(want, abs=1e-10)
-    long = ops.silhouette_samples_long(df, [], "label", "v", "id", cosine).orderBy("id").collect()
-    assert [r["silhouette"] for r in long] == pytest.approx(want, abs=1e-10)
 
 
 @pytest.mark.parametrize("cosine,measure", [(False, "squaredEuclidean"), (True, "cosine")])
@@ -77,11 +75,28 @@ def test_row_order_and_partitions_do_not_matter(cloud):
     assert values == pytest.approx([values[0]] * 3, abs=1e-12)
 
 
-def test_attached_moments_are_bounded(cloud, monkeypatch):
-    df, _, _ = cloud
-    monkeypatch.setattr(ops, "MAX_ATTACHED_CELLS", 3)
-    with pytest.raises(Exception, match="too many clusters"):
-        ops.silhouette_samples(df, [], "label", "v").collect()
+def test_number_of_blocks_does_not_matter(cloud, monkeypatch):
+    df, points, labels = cloud
+    monkeypatch.setattr(ops, "BLOCK_CELLS", 3)
+    got = ops.silhouette_samples(df, [], "label", "v", keep=["id"]).orderBy("id").collect()
+    assert [r["silhouette"] for r in got] == pytest.approx(brute(points, labels, "sq"), abs=1e-10)
+
+
+def test_null_groups_and_copies_stay(cloud, monkeypatch):
+    df, points, labels = cloud
+    monkeypatch.setattr(ops, "COPIES", 2)
+    thrice = df.drop("id").unionByName(df.drop("id")).unionByName(df.drop("id")).withColumn("g", F.lit(None).cast("string"))
+    got = sorted(r["silhouette"] for r in ops.silhouette_samples(thrice, ["g"], "label", "v").collect())
+    want = sorted(brute(np.tile(points, (3, 1)), np.tile(labels, 3), "sq"))
+    assert got == pytest.approx(want, abs=1e-10)
+    assert ops.silhouette(thrice, ["g"], "label", "v").first()["n"] == 135
+
+
+def test_rows_without_label_or_vector_take_no_part(cloud, spark):
+    df, points, labels = cloud
+    more = df.unionByName(spark.createDataFrame([(90, None, [1.0] * 5), (91, 1, None)], df.schema))
+    assert ops.silhouette(more, [], "label", "v").first()["n"] == 45
+    assert ops.silhouette(df.limit(0), [], "label", "v").first().asDict() == {"silhouette": None, "n": 0}
 
 
 def test_stability(cloud):
