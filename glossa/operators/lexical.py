@@ -30,6 +30,8 @@ TIER_AUTO, TIER_SENSE, TIER_MANUAL, TIER_NONE = "T1_auto", "T2_auto", "T3_manual
 DEPTH_THRESHOLDS = {"shallow": 3.5, "medium": 3.2, "deep": 2.8}
 TERM_ZIPF = (3.5, 6.5)
 CONTRAST_ZIPF = 4.0
+# Characters of a word by which a passage without inner words is looked up.
+RUN = 4
 BAND_SYNSETS = {"high": (4, 99), "medium": (2, 3), "near_monosemous": (1, 2)}
 
 
@@ -42,9 +44,17 @@ def token_counts(corpus: DataFrame, text: str) -> DataFrame:
     return tokens(corpus, text).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def zipf_table(counts: DataFrame) -> DataFrame:
-    """Zipf frequency (log10 of occurrences per billion words), two decimals."""
-    total = counts.agg(F.sum("n")).scalar()
+def corpus_size(corpus: DataFrame, text: str) -> DataFrame:
+    """Words in all texts, as one row: sizes are added up, nothing is grouped."""
+    return corpus.agg(F.sum(F.size(words(text))).alias("n"))
+
+
+def zipf_table(counts: DataFrame, total: Column | None = None) -> DataFrame:
+    """Zipf frequency (log10 of occurrences per billion words), two decimals.
+
+    ``counts`` may be a part of the vocabulary if ``total`` gives the words of the whole corpus.
+    """
+    total = counts.agg(F.sum("n")).scalar() if total is None else total
     return counts.select("token", F.round(F.log10(F.col("n") / total * F.lit(1e9)), 2).alias("zipf"))
 
 
@@ -96,12 +106,9 @@ def dominant_sense(items: DataFrame, counts: DataFrame, inventory: DataFrame, wo
 
     The corpus decides when the word has enough tagged occurrences under that part
     of speech; else the first inventory sense of that part of speech, else of any;
-    else unknown. Equal counts are settled by synset name.
+    else unknown. Equal counts are settled by synset name. ``only_words`` keeps both
+    tables to the words that items name.
     """
-    # Only the items' words matter; a semi-join on a grouping key is planned below the grouping.
-    wanted = items.select(F.col(word).alias("lemma")).distinct()
-    counts = counts.join(wanted, "lemma", "left_semi")
-    inventory = inventory.join(wanted, "lemma", "left_semi")
     first = F.min(F.struct((-F.col("n")).alias("neg"), F.col("synset").alias("synset")))
     corpus = (
         counts.withColumn("_pos", part_of_speech("synset"))
@@ -136,6 +143,15 @@ def dominant_sense(items: DataFrame, counts: DataFrame, inventory: DataFrame, wo
     )
 
 
+def only_words(df: DataFrame, key: str, items: DataFrame, *columns: str) -> DataFrame:
+    """Rows whose ``key`` is a word in one of the items' columns, in lower case or as written.
+
+    On a grouping key this is planned below the grouping, so before a corpus is counted.
+    """
+    named = F.array_distinct(F.flatten(F.array(*[F.array(F.col(c), F.lower(c)) for c in columns])))
+    return df.join(items.select(F.explode(named).alias(key)).distinct(), key, "left_semi")
+
+
 def annotate_items(items: DataFrame, meta: DataFrame, key: str, defaults: Mapping[str, str]) -> DataFrame:
     """Left join of annotations; a missing item gets the defaults."""
     joined = items.join(meta.select(key, *defaults), key, "left")
@@ -302,43 +318,57 @@ def readability(df: DataFrame, text: str, *keep: str) -> DataFrame:
 
 
 def marker_counts(corpus: DataFrame, lexicon: DataFrame, text: str, *keep: str) -> DataFrame:
-    """Occurrences of lexicon words per category, and documents holding at least one."""
-    hits = tokens(corpus, text, *keep).groupBy(*keep, "token").agg(F.count(F.lit(1)).alias("n"))
-    return hits.join(lexicon, "token").groupBy(*keep, "category").agg(F.sum("n").alias("n_markers"))
+    """Occurrences of lexicon words per category, and the documents holding at least one.
+
+    Words meet the lexicon before anything is counted, a text's own hits are counted within its row of the corpus.
+    """
+    listed = lexicon.select("token", "category").distinct()
+    marked = corpus.select(*keep, F.monotonically_increasing_id().alias("_row"), words(text).alias("_w"))
+    hits = marked.select(*keep, "_row", F.explode("_w").alias("token")).join(listed, "token")
+    per_text = hits.groupBy(*keep, "category", "_row").agg(F.count(F.lit(1)).alias("_n"))
+    return per_text.groupBy(*keep, "category").agg(F.sum("_n").alias("n_markers"), F.count(F.lit(1)).alias("n_documents"))
 
 
 def containing_passages(
     responses: DataFrame, passages: DataFrame, response_id: str, text: str, passage_id: str, passage: str, anchor: int = 5
 ) -> DataFrame:
-    """Which passages stand in which responses, ignoring case.
+    """Which passages stand in which responses, ignoring case; each pair once per row that has it.
 
-    A passage is looked up by a run of ``anchor`` of its inner words (its first and
-    last word may be cut off by the text around it); a passage too short for that
-    by its longest inner word. Responses offer the hashes of their runs and words to
-    an equi-join, and each hit is verified on the whole texts. A passage of fewer
-    than three words has no inner word and is an error.
+    A passage is looked up by an anchor that any text around it leaves whole: the run of its inner words, ``anchor`` of them
+    at most; if it has none, the first ``RUN`` characters of its longest word; if it has no word, its first character.
+    Responses offer the hashes of the kinds of anchors that occur, which gives pairs of ids; only those meet the texts.
+    A null or empty passage stands in no response.
     """
-    inner = F.slice("_w", F.lit(2), F.size("_w") - 2)
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
-    short = F.raise_error(F.concat(F.lit("passage of fewer than three words: "), F.col(passage_id).cast("string")))
-    key = (
-        F.when(F.size("_w") >= anchor + 2, F.xxhash64(F.slice("_w", 2, anchor)))
-        .when(F.size("_w") >= 3, F.xxhash64(F.array(longest)))
-        .otherwise(short.cast("bigint"))
-    )
-    keyed = passages.select(F.col(passage_id), F.lower(F.col(passage)).alias("_passage"), words(passage).alias("_w")).select(
-        passage_id, "_passage", key.alias("_key")
-    )
-    lowered = responses.select(response_id, F.lower(F.col(text)).alias("_text"), words(text).alias("_w"))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("_w") - (anchor - 1), F.lit(1))),
-        lambda start: F.xxhash64(F.slice("_w", start, F.lit(anchor))),
-    )
-    singles = F.transform("_w", lambda w: F.xxhash64(F.array(w)))
-    offered = lowered.select(response_id, F.explode(F.array_distinct(F.concat(runs, singles))).alias("_key"))
-    candidates = offered.join(keyed, "_key").select(response_id, passage_id, "_passage")
-    return (
-        candidates.join(lowered.select(response_id, "_text"), response_id)
-        .filter(F.contains("_text", "_passage"))
-        .select(response_id, passage_id)
+    longest = F.array_max(F.transform("_w", lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
+    inner, start = F.least(F.size("_w") - 2, F.lit(anchor)), F.least(F.length(longest), F.lit(RUN))
+    lowered = passages.select(F.col(passage_id), F.lower(F.col(passage)).alias("_passage"), words(passage).alias("_w"))
+    keyed = lowered.filter(F.length("_passage") > 0).select(
+        passage_id,
+        "_passage",
+        # Kinds: the number of inner words, less than zero for characters of a word, zero for one that is in no word.
+        F.when(inner > 0, inner).when(F.size("_w") > 0, -start).otherwise(0).alias("_kind"),
+        F.when(inner > 0, F.xxhash64(F.slice("_w", F.lit(2), inner)))
+        .when(F.size("_w") > 0, F.xxhash64(F.array(F.left(longest, start))))
+        .otherwise(F.xxhash64(F.array(F.left("_passage", F.lit(1)))))
+        .alias("_key"),
     )
+    kinds = keyed.agg(F.collect_set("_kind")).scalar()
+
+    def offer(kind: int) -> Column:
+        if kind > 0:
+            starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - (kind - 1), F.lit(1)))
+            marks = F.transform(starts, lambda at: F.xxhash64(F.slice("_w", at, F.lit(kind))))
+        else:
+            # Looking ahead finds runs that overlap.
+            runs = rf"(?=([\p{{L}}\p{{M}}]{{{-kind}}}))" if kind else r"([^\p{L}\p{M}])"
+            found = F.regexp_extract_all("_text", F.lit(runs), F.lit(1))
+            marks = F.transform(F.array_distinct(found), lambda run: F.xxhash64(F.array(run)))
+        return F.when(F.array_contains("_kinds", kind), marks).otherwise(F.array().cast("array<bigint>"))
+
+    whole = responses.select(response_id, F.lower(F.col(text)).alias("_text"))
+    split = whole.select(response_id, "_text", words("_text").alias("_w")).withColumn("_kinds", kinds)
+    offers = F.flatten(F.array(*[offer(kind) for kind in range(-RUN, anchor + 1)]))
+    offered = split.select(response_id, F.explode(F.array_distinct(offers)).alias("_key"))
+    candidates = offered.join(keyed.select(passage_id, "_key"), "_key").select(response_id, passage_id).distinct()
+    verified = candidates.join(whole, response_id).join(keyed.select(passage_id, "_passage"), passage_id)
+    return verified.filter(F.contains("_text", "_passage")).select(response_id, passage_id)

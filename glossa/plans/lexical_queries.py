@@ -1,8 +1,9 @@
 """Lexical queries on the test tables.
 
 The words of ``documents`` stand for a sense-tagged corpus: the language gives
-the part of speech, the source the sense number. The first words of a user prompt
-in ``conversations`` stand for a target word and its two context words.
+the part of speech, the source the sense number. Every word of a user prompt in
+``conversations`` that two more follow stands for a target word, those for its two
+context words.
 """
 
 from __future__ import annotations
@@ -15,25 +16,27 @@ from ..operators import ranks
 from .registry import query, rounded, table, texts
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}]+')"
-_TOKENS = f"tok as (select doc_id, lang, source, unnest({_WORDS}) as token from documents)"
-_ZIPF = f"""{_TOKENS}, cnt as (select token, count(*) as n from tok group by token),
-    zipf as (select token, round(log10(n / (select sum(n) from cnt)::double * 1e9), 2) as zipf from cnt)"""
+_TOKENS = f"tok as materialized (select doc_id, lang, source, unnest({_WORDS}) as token from documents)"
+_ZIPF = f"""{_TOKENS}, cnt as materialized (select token, count(*) as n from tok group by token),
+    zipf as materialized (select token, round(log10(n / (select sum(n) from cnt)::double * 1e9), 2) as zipf from cnt)"""
 _POS = "case lang when 'en' then 'n' when 'de' then 'v' when 'fr' then 'a' else 'r' end"
 _SENSE = "lpad((substr(source, 4)::int % 3 + 1)::varchar, 2, '0')"
 _TAGGED = f"""tagged as (select token as lemma, token || '.' || {_POS} || '.' || {_SENSE} as synset from tok),
-    sc as (select lemma, synset, count(*) as n, split_part(synset, '.', -2) as pos from tagged group by 1, 2),
+    sc as materialized (select lemma, synset, count(*) as n, split_part(synset, '.', -2) as pos from tagged group by 1, 2),
     inv as (select distinct lemma, synset, split_part(synset, '.', -2) as pos, split_part(synset, '.', -1)::int as sense_rank from tagged)"""
 _ITEMS = f"""w as (select conv_id, turn, {_WORDS} as w from conversations where role = 'user'),
-    item as (select conv_id || '-' || turn as item_id, w[1] as word, w[1] || '.n.02' as enc_synset, w[1] || '.n.01' as dict_synset,
-                w[2] as enc_ctx, w[3] as dict_ctx, len(w) % 4 = 0 as in_manual,
-                ['shallow', 'medium', 'deep'][len(w) % 3 + 1] as depth from w where len(w) >= 3)"""
+    placed as (select *, unnest(range(1, len(w) - 1)) as i from w where len(w) >= 3),
+    item as materialized (select conv_id || '-' || turn || '-' || i as item_id, w[i] as word, w[i] || '.n.02' as enc_synset, w[i] || '.n.01' as dict_synset,
+                w[i + 1] as enc_ctx, w[i + 2] as dict_ctx, (len(w) + i) % 4 = 0 as in_manual,
+                ['shallow', 'medium', 'deep'][(len(w) + i) % 3 + 1] as depth from placed)"""
 _DOMINANT = """top as (select lemma, pos, sum(n) as total, arg_min(synset, (-n, synset)) as syn, max(n) as n from sc group by 1, 2),
-    d as (select i.*,
-            coalesce(t.syn, (select arg_min(synset, (sense_rank, synset)) from inv where lemma = i.word and pos = 'n'),
-                     (select arg_min(synset, (sense_rank, synset)) from inv where lemma = i.word), 'UNKNOWN') as dominant,
-            case when t.syn is not null then 'semcor' when exists (from inv where lemma = i.word) then 'wordnet_ordering' else 'none' end as sense_source,
+    noun as (select lemma, arg_min(synset, (sense_rank, synset)) as syn from inv where pos = 'n' group by 1),
+    any_pos as (select lemma, arg_min(synset, (sense_rank, synset)) as syn from inv group by 1),
+    d as (select i.*, coalesce(t.syn, noun.syn, any_pos.syn, 'UNKNOWN') as dominant,
+            case when t.syn is not null then 'semcor' when any_pos.syn is not null then 'wordnet_ordering' else 'none' end as sense_source,
             coalesce(t.n, 0) as sense_n
-          from item i left join top t on t.lemma = i.word and t.pos = 'n' and t.total >= 5)"""
+          from item i left join top t on t.lemma = i.word and t.pos = 'n' and t.total >= 5
+            left join noun on noun.lemma = i.word left join any_pos on any_pos.lemma = i.word)"""
 
 
 def _tagged(spark, sf):
@@ -48,35 +51,51 @@ def _tagged(spark, sf):
 
 
 def _inventory(tagged):
-    return tagged.distinct().withColumn("sense_rank", F.element_at(F.split("synset", r"\."), -1).cast("int"))
+    """Senses with their numbers; of a counted table every row is one."""
+    rows = tagged if "n" in tagged.columns else tagged.distinct()
+    return rows.withColumn("sense_rank", F.element_at(F.split("synset", r"\."), -1).cast("int"))
 
 
 def _items(spark, sf):
     prompts = table(spark, sf, "conversations").filter(F.col("role") == "user")
     w = prompts.select("conv_id", "turn", tx.words("text").alias("w")).filter(F.size("w") >= 3)
-    depth = F.element_at(F.array(F.lit("shallow"), F.lit("medium"), F.lit("deep")), F.size("w") % 3 + 1)
-    return w.select(
-        F.concat_ws("-", "conv_id", "turn").alias("item_id"),
-        F.col("w")[0].alias("word"),
-        F.concat(F.col("w")[0], F.lit(".n.02")).alias("enc_synset"),
-        F.concat(F.col("w")[0], F.lit(".n.01")).alias("dict_synset"),
-        F.col("w")[1].alias("enc_ctx"),
-        F.col("w")[2].alias("dict_ctx"),
-        (F.size("w") % 4 == 0).alias("in_manual"),
+    at = w.select("*", F.explode(F.sequence(F.lit(1), F.size("w") - 2)).alias("i"))
+    number = F.size("w") + F.col("i")
+    depth = F.element_at(F.array(F.lit("shallow"), F.lit("medium"), F.lit("deep")), number % 3 + 1)
+    word = F.element_at("w", F.col("i"))
+    return at.select(
+        F.concat_ws("-", "conv_id", "turn", "i").alias("item_id"),
+        word.alias("word"),
+        F.concat(word, F.lit(".n.02")).alias("enc_synset"),
+        F.concat(word, F.lit(".n.01")).alias("dict_synset"),
+        F.element_at("w", F.col("i") + 1).alias("enc_ctx"),
+        F.element_at("w", F.col("i") + 2).alias("dict_ctx"),
+        (number % 4 == 0).alias("in_manual"),
         depth.alias("depth"),
     )
 
 
+def _counted(spark, sf, items, *columns):
+    """Sense counts of the words that items name; asking for n keeps one shuffle for all uses."""
+    tagged = ops.only_words(_tagged(spark, sf), "lemma", items, *columns)
+    return ops.sense_counts(tagged, expand_lemmas=False).filter(F.col("n") > 0)
+
+
+def _judged(items, counts):
+    return ops.dominant_sense(items, counts, _inventory(counts), "word", "pos")
+
+
 def _with_dominant(spark, sf):
-    tagged = _tagged(spark, sf)
     items = _items(spark, sf).withColumn("pos", tx.part_of_speech("enc_synset"))
-    return ops.dominant_sense(items, ops.sense_counts(tagged, expand_lemmas=False), _inventory(tagged), "word", "pos")
+    return _judged(items, _counted(spark, sf, items, "word"))
 
 
 def _tiers(spark, sf):
-    docs = texts(spark, sf)
-    zipf = ops.zipf_table(ops.token_counts(docs, "text"))
-    senses = _with_dominant(spark, sf)
+    items = _items(spark, sf).withColumn("pos", tx.part_of_speech("enc_synset"))
+    counts = _counted(spark, sf, items, "word", "enc_ctx", "dict_ctx")
+    seen = counts.groupBy(F.col("lemma").alias("token")).agg(F.sum("n").alias("n"))
+    zipf = ops.zipf_table(seen, ops.corpus_size(texts(spark, sf), "text").scalar())
+    senses = _judged(items, counts)
     looked_up = ops.with_zipf(ops.with_zipf(senses, zipf, "enc_ctx", "zipf_enc"), zipf, "dict_ctx", "zipf_dict")
     return ops.critical_tiers(looked_up)
 
@@ -88,15 +107,14 @@ def zipf(spark, sf):
 
 @query(
     "phrase_zipf",
-    f"""with {_ZIPF}, p as (select conv_id, turn, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) as phrase from conversations),
+    f"""with {_ZIPF}, p as (select conv_id, turn, text as phrase from conversations),
         w as (select phrase, unnest(regexp_extract_all(lower(phrase), '[\\p{{L}}\\p{{M}}]+')) as token from (select distinct phrase from p)),
         f as (select phrase, case when count(*) filter (n is null) = 0 then round(log10(1e9 / sum(1 / (n / (select sum(n) from cnt)))), 2) else 0 end::double as zipf
               from w left join cnt using (token) group by 1)
         select conv_id, turn, phrase, zipf from p left join f using (phrase)""",
 )
 def phrase_zipf(spark, sf):
-    first_two = F.concat_ws(" ", *[F.split_part("text", F.lit(" "), F.lit(i)) for i in (1, 2)])
-    phrases = table(spark, sf, "conversations").select("conv_id", "turn", first_two.alias("phrase"))
+    phrases = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("phrase"))
     counts = ops.token_counts(texts(spark, sf), "text")
     return ops.with_phrase_zipf(phrases, counts, "phrase", "zipf").select("conv_id", "turn", "phrase", "zipf")
 
@@ -109,14 +127,14 @@ def sense_counts(spark, sf):
 @query(
     "sense_counts_expanded",
     f"""with {_TOKENS}, {_TAGGED},
-        g as (select split_part(synset, '.', -2) || '.' || left(lemma, 2) as synset, lemma from tagged),
+        g as (select split_part(synset, '.', -2) || '.' || length(lemma) as synset, lemma from tagged),
         m as (select distinct synset, lemma from g), c as (select synset, count(*) as n from g group by 1)
         select lemma, synset, n from m join c using (synset)""",
 )
 def sense_counts_expanded(spark, sf):
-    # Words with the same part of speech and first two letters stand for the lemmas of one synset.
+    # Words with the same part of speech and length stand for the lemmas of one synset.
     coarse = _tagged(spark, sf).select(
-        F.concat_ws(".", tx.part_of_speech("synset"), F.substring("lemma", 1, 2)).alias("synset"), "lemma"
+        F.concat_ws(".", tx.part_of_speech("synset"), F.length("lemma").cast("string")).alias("synset"), "lemma"
     )
     return ops.sense_counts(coarse, coarse)
 
@@ -296,9 +314,11 @@ def concept_docs(spark, sf):
     return ops.concept_documents(texts(spark, sf), concepts, "doc_id", "text").select("concept_id", "doc_id", "rank")
 
 
-_PAIRS = f"""tk as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from (select doc_id, {_WORDS} as w from documents)),
-    pr as (select least(w[i], w[i + g]) as word_a, greatest(w[i], w[i + g]) as word_b from tk, (values (1), (2)) v(g) where i + g <= len(w)),
-    pairs as (select word_a, word_b, count(*) as n from pr group by 1, 2)"""
+_PAIRS = f"""ws as materialized (select {_WORDS} as w from documents),
+    tk as (select unnest(list_zip(w, w[2:], w[3:])) as z from ws),
+    nx as (select z[1] as x, z[2] as y from tk union all select z[1], z[3] from tk),
+    pr as (select least(x, y) as word_a, greatest(x, y) as word_b from nx where x is not null and y is not null),
+    pairs as materialized (select word_a, word_b, count(*) as n from pr group by 1, 2)"""
 
 
 @query("cooccur", f"with {_PAIRS} select word_a, word_b, n from pairs")
@@ -331,17 +351,17 @@ def dictionary_baseline(spark, sf):
 
 @query(
     "classify",
-    """with a as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as prompt, role from conversations),
-        t as (select conv_id, turn, text, split_part(prompt, ' ', 1) as truth from a where role = 'assistant')
-       select conv_id, turn, case when contains(lower(text), lower(truth)) then 'encyclopedic'
-          when text is not null and truth is not null then 'neither' end as label from t where truth is not null""",
+    f"""with a as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as prompt, role from conversations),
+        t as (select distinct conv_id, turn, text, unnest({_WORDS.replace('text', 'prompt')}) as truth from a where role = 'assistant')
+       select conv_id, turn, truth, case when contains(lower(text), truth) then 'encyclopedic' when text is not null then 'neither' end as label from t""",
 )
 def classify(spark, sf):
-    # The ground truth of a response is the first word of the turn before it.
+    # Every word of the turn before a response is a ground truth.
     turns = table(spark, sf, "conversations")
-    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.split_part("text", F.lit(" "), F.lit(1)).alias("truth"))
+    truth = F.explode(F.array_distinct(tx.words("text"))).alias("truth")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), truth)
     answers = turns.filter(F.col("role") == "assistant").join(before, ["conv_id", "turn"])
-    return answers.select("conv_id", "turn", tx.reading_label("text", "truth").alias("label"))
+    return answers.select("conv_id", "turn", "truth", tx.reading_label("text", "truth").alias("label"))
 
 
 @query(
@@ -354,6 +374,22 @@ def classify_passages(spark, sf):
     )
 
 
+@query(
+    "short_passages",
+    r"""with p as (select distinct array_to_string(regexp_extract_all(text, '\S+')[1:1 + item_id % 6], ' ') as passage from benchmark
+                   union select '-' union select '42')
+       select doc_id, passage from documents d, p where contains(lower(d.text), lower(passage))""",
+)
+def short_passages(spark, sf):
+    # Openings of one to six words, a sign and a number: passages that have few inner words, or none.
+    opening = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), F.lit(1), (F.col("item_id") % 6 + 1).cast("int")), " ")
+    signs = spark.createDataFrame([("-",), ("42",)], "passage string")
+    passages = table(spark, sf, "benchmark").select(opening.alias("passage")).union(signs).distinct()
+    passages = passages.withColumn("name", F.col("passage"))
+    found = ops.containing_passages(texts(spark, sf), passages, "doc_id", "text", "name", "passage")
+    return found.select("doc_id", F.col("name").alias("passage"))
+
+
 @query(
     "readability",
     rf"""with w as (select doc_id, text, {_WORDS} as w from documents),
@@ -369,7 +405,7 @@ def readability(spark, sf):
     "markers",
     f"""with {_TOKENS}, lex(token, category) as (values ('the', 'article'), ('le', 'article'), ('la', 'article'), ('der', 'article'),
               ('he', 'gender'), ('she', 'gender'), ('elle', 'gender'), ('er', 'gender'))
-        select source, category, count(*) as n_markers from tok join lex using (token) group by all""",
+        select source, category, count(*) as n_markers, count(distinct doc_id) as n_documents from tok join lex using (token) group by all""",
 )
 def markers(spark, sf):
     lexicon = {"article": ["the", "le", "la", "der"], "gender": ["he", "she", "elle", "er"]}

@@ -130,11 +130,25 @@ def test_passages_cut_out_of_words(spark):
     assert rows(got) == [(1, 10), (1, 11), (1, 12), (2, 11), (3, 11)]
 
 
-def test_short_passage_is_an_error(spark):
-    texts = spark.createDataFrame([(1, "a b c d")], "d int, t string")
-    passages = spark.createDataFrame([(10, "a b")], "p int, s string")
-    with pytest.raises(Exception, match="fewer than three words"):
-        ops.containing_passages(texts, passages, "d", "t", "p", "s").collect()
+def test_passages_with_few_words_or_none(spark):
+    texts = spark.createDataFrame(
+        [(1, "driver BANKS, 42 of them"), (2, "a river bank"), (3, None), (4, ""), (5, "rev-er"), (6, "x" * 50_000 + "river bank")], "d int, t string"
+    )
+    passages = spark.createDataFrame(
+        [(10, "river bank"), (11, "ver"), (12, "42"), (13, "-"), (14, ""), (15, None), (16, "a"), (17, "a river bank"), (18, ", 4")],
+        "p int, s string",
+    )
+    got = ops.containing_passages(texts, passages, "d", "t", "p", "s")
+    want = [(1, 10), (1, 11), (1, 12), (1, 16), (1, 18), (2, 10), (2, 11), (2, 16), (2, 17), (5, 13), (6, 10), (6, 11), (6, 16)]
+    assert rows(got) == want
+    assert rows(ops.containing_passages(texts, passages.limit(0), "d", "t", "p", "s")) == []
+
+
+def test_markers_count_documents(spark):
+    texts = spark.createDataFrame([("s", "the the cat"), ("s", "the"), ("t", None), ("t", "he")], "source string, t string")
+    lexicon = spark.createDataFrame([("the", "article"), ("he", "gender"), ("he", "gender")], "token string, category string")
+    got = ops.marker_counts(texts, lexicon, "t", "source").select("source", "category", "n_markers", "n_documents")
+    assert rows(got) == [("s", "article", 3, 2), ("t", "gender", 1, 1)]
 
 
 def test_concept_documents_limit(spark):
