@@ -35,6 +35,13 @@ FOCAL_DOMAINS = ("landlord_tenant", "rental_review", "financial_instrument")
 # Ordinal codes.
 DEPTH_CODES = {"shallow": 1, "medium": 2, "deep": 3}
 GENERATION_CODES = {"gen1": 1, "gen2": 2, "gen3": 3, "gen4": 4}
+# The model that stands for each generation.
+GENERATION_MODELS = {
+    "gen1": "davinci-002",
+    "gen2": "gpt-3.5-turbo-0125",
+    "gen3": "gpt-4-0613",
+    "gen4": "gpt-4o-2024-08-06",
+}
 # Replicates and temperatures of each design.
 REPLICATES = {"E1": 20, "E2": 100, "E3": 30, "E4": 20, "E5": 50}
 TEMPERATURES = {"E1": (0.7,), "E2": (0.2, 0.5, 0.8, 1.2), "E3": (0.7,), "E4": (0.0, 0.7), "E5": (0.8,)}

@@ -403,13 +403,17 @@ def _gls(row: Mapping[str, object], size: int) -> tuple[np.ndarray, np.ndarray,
     return beta, inverse, sigma2, deviance
 
 
+# Logarithm of θ beyond which group and residual variance no longer tell apart in doubles.
+WIDEST = 98.0
+
+
 def lmm(
     df: DataFrame, y: str, terms: Mapping[str, Column], group: str, refinements: int = 3, points: int = 64
 ) -> DataFrame:
     """Linear mixed model with one random intercept, by maximum likelihood.
 
-    θ = σ²ᵤ/σ² is found on a logarithmic grid (zero included) that narrows around the
-    best point. Fitting runs jobs when called: the rows are read once, into the
+    θ = σ²ᵤ/σ² is found on a logarithmic grid (zero included) that widens until the best
+    point lies inside and then narrows around it. Fitting runs jobs when called: the rows are reduced to the
     group-size table, which is stored in the shared folder; each round aggregates
     that table and brings back one row of cross products per grid point. One row per
     fixed effect, with the variance components and −2 log-likelihood of the fit.
@@ -424,12 +428,17 @@ def lmm(
         rows = lmm_profile(sizes, F.array(*[F.lit(float(t)) for t in thetas]), n_pairs).collect()
         return sorted(((_gls(r.asDict(), size)[3], r.asDict()) for r in rows), key=lambda e: (e[0], e[1]["theta"]))
 
-    # e^-14 … e^14 covers any ratio a double-precision fit can tell from zero or infinity.
-    step = 28.0 / points
-    found = profile([0.0, *[math.exp(-14.0 + step * i) for i in range(points + 1)]])
+    span, step = 14.0, 28.0 / points
+    found = profile([0.0, *[math.exp(-span + step * i) for i in range(points + 1)]])
     if not found:
         raise ValueError("no complete rows to fit")
     deviance, best = found[0]
+    # An optimum on the edge of the grid is no optimum: widen on that side until it lies inside.
+    while best["theta"] > 0 and abs(math.log(best["theta"])) > span - step / 2 and span < WIDEST:
+        side = math.copysign(step, math.log(best["theta"]))
+        wider = profile([math.exp(math.log(best["theta"]) + side * i) for i in range(1, points + 1)])
+        deviance, best = min([(deviance, best), wider[0]], key=lambda e: (e[0], e[1]["theta"]))
+        span += step * points
     for _ in range(refinements if best["theta"] > 0 else 0):
         fine = 2 * step / points
         around = [best["theta"] * math.exp(fine * i - step) for i in range(points + 1)]

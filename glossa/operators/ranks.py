@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import null_safe_join
 
-# Bounds on the number of buckets; in between it follows the shuffle partitions.
-MIN_BUCKETS, MAX_BUCKETS = 16, 4096
+# Fewest buckets; beyond, their number follows the shuffle partitions.
+MIN_BUCKETS = 16
 
 
 def bucket_count(df: DataFrame) -> int:
     """Power of two near the session's shuffle partitions, so that a bucket is about a task's share."""
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return 1 << max(MIN_BUCKETS, min(MAX_BUCKETS, wanted)).bit_length() - 1
+    return 1 << max(MIN_BUCKETS, wanted).bit_length() - 1
 
 
 def _bucket(cuts: str, value: str, buckets: int) -> Column:

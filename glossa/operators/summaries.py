@@ -30,9 +30,14 @@ def count_rows(name: str = "n") -> Column:
 # --- accuracy ---------------------------------------------------------------
 
 
-def scored_responses(responses: DataFrame, response: str = "response", truth: str = "ground_truth") -> DataFrame:
-    """Add ``correct``: 1 if the response holds the ground truth, else 0; null without ground truth."""
-    label = reading_label(response, truth)
+def scored_responses(
+    responses: DataFrame, response: str = "response", truth: str = "ground_truth", rule: Column | None = None
+) -> DataFrame:
+    """Add ``correct``: 1 if the response holds the ground truth, else 0; null without ground truth.
+
+    Another ``rule`` of classification gives the label, or null where it cannot tell.
+    """
+    label = reading_label(response, truth) if rule is None else rule
     return responses.withColumn("correct", (label == ENCYCLOPEDIC).cast("int"))
 
 
@@ -96,14 +101,17 @@ def mean_and_sem(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def cell_counts(df: DataFrame, factors: Mapping[str, Sequence[str]], minimum: int = MIN_GROUP) -> DataFrame:
-    """Rows per cell of a full factor grid, empty cells included; cells under ``minimum`` are flagged."""
-    names = list(factors)
-    counted = group_counts(df, names)
-    spark = df.sparkSession
-    grid = spark.range(1).select()
+    """Rows per cell of a full factor grid, empty cells included; cells under ``minimum`` are flagged.
+
+    A value that is not among its factor's levels, null included, counts under a null level, so cells add up to the rows.
+    """
+    inside = [F.when(F.col(name).isin(list(levels)), F.col(name)).alias(name) for name, levels in factors.items()]
+    counted = group_counts(df.select(*inside), list(factors))
+    grid = df.sparkSession.range(1).select()
     for name, levels in factors.items():
         grid = grid.select("*", F.explode(F.array(*[F.lit(v) for v in levels])).alias(name))
-    cells = grid.join(counted, names, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    both = grid.withColumn("n", F.lit(0).cast("bigint")).unionByName(counted)
+    cells = both.groupBy(*factors).agg(F.sum("n").alias("n"))
     return cells.withColumn("too_small", F.col("n") < minimum)
 
 

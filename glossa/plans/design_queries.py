@@ -182,13 +182,13 @@ def coverage_gap(spark, sf):
 
 @query(
     "nonblank",
-    r"""select doc_id, length(regexp_replace(split_part(text, chr(10), 1), '^[\s\x{0B}\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+|[\s\x{0B}\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+$', '', 'g')) as n_chars
-        from documents where length(trim(split_part(text, chr(10), 1), chr(9) || chr(32) || chr(13) || chr(160))) > 0""",
+    r"""select doc_id, length(s) as n_chars
+        from (select doc_id, regexp_replace(text, '^[\s\x{0B}\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+|[\s\x{0B}\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+$', '', 'g') as s from documents)
+        where length(s) > 0""",
 )
 def nonblank(spark, sf):
-    first_line = F.split_part("text", F.lit("\n"), F.lit(1))
-    docs = table(spark, sf, "documents").select("doc_id", first_line.alias("line"))
-    return docs.filter(tx.non_blank("line")).select("doc_id", F.length(tx.strip("line")).cast("bigint").alias("n_chars"))
+    docs = table(spark, sf, "documents").filter(tx.non_blank("text"))
+    return docs.select("doc_id", F.length(tx.strip("text")).cast("bigint").alias("n_chars"))
 
 
 @query(

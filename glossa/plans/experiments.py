@@ -6,7 +6,7 @@ binomial and the mixed model fit when they are built.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,9 @@ from ..sources import files
 from ..sources.schemas import JUDGE_REPLY, SCORE_FIELDS, TERM_COLUMNS, TERM_PROMPTS
 
 
+# Fixed value: how the prompt library names the texts of a domain.
+DOMAIN_PART = "example_domain_"
+
 # --- request tables ---------------------------------------------------------
 
 
@@ -44,23 +47,46 @@ def pair_requests(pairs: DataFrame, template: str, models_: Sequence[str]) -> Da
     return design.design_grid(prompted, design.REPLICATES["E4"], design.TEMPERATURES["E4"], models_)
 
 
-def generation_requests(concepts: DataFrame, template: str) -> DataFrame:
-    """E5: changing and stable concepts over the model generations."""
+def generation_requests(
+    concepts: DataFrame, template: str, generations: Mapping[str, str] = design.GENERATION_MODELS
+) -> DataFrame:
+    """E5: changing and stable concepts over the model generations, each with the model that stands for it."""
     chosen = design.diachronic_concepts(concepts).withColumn("prompt", tx.render(template, concept="concept"))
-    chosen = chosen.withColumn("generation", F.explode(F.array(*[F.lit(g) for g in design.GENERATION_CODES])))
-    return design.design_grid(chosen, design.REPLICATES["E5"], design.TEMPERATURES["E5"])
+    pairs = F.array(*[F.struct(F.lit(g).alias("generation"), F.lit(m).alias("model")) for g, m in generations.items()])
+    return design.design_grid(chosen.select("*", F.inline(pairs)), design.REPLICATES["E5"], design.TEMPERATURES["E5"])
+
+
+def domain_texts(prompts: DataFrame) -> DataFrame:
+    """(domain, texts) of a prompt library: texts by name, levels ``L0``…``L3`` and components ``D``, ``R``, ``V``, ``C``."""
+    own = prompts.filter((F.col("experiment") == "exp3") & F.startswith("part", F.lit(DOMAIN_PART)))
+    named = own.groupBy(F.substring("part", len(DOMAIN_PART) + 1, 1 << 30).alias("domain"), "name").agg(F.min("text").alias("text"))
+    return named.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("texts"))
+
+
+def domains_without_prompts(domains: DataFrame, prompts: DataFrame) -> DataFrame:
+    return design.coverage_gap(domains, domain_texts(prompts), ["domain"])
 
 
-def domain_requests(domains: DataFrame, models_: Sequence[str]) -> DataFrame:
+def domain_requests(domains: DataFrame, models_: Sequence[str], prompts: DataFrame | None = None) -> DataFrame:
     """E3: the 2^4 conditions of focal domains and the four canonical levels of all others.
 
     A focal condition that is one of the canonical levels carries it, so that focal domains enter the analyses by level.
+    With a prompt library every row has its ``prompt``: the text of its level, else the request of level 0 with the texts
+    of the components present, the role before it. Conditions whose texts are not all in the library are left out;
+    ``domains_without_prompts`` names the domains that have none.
     """
     known = design.with_domain(domains)
     full = design.factorial_conditions(known.filter("is_focal")).drop("condition").withColumn("level", design.canonical_level())
     canonical = design.canonical_levels(known.filter("not is_focal"))
     counted = sum((F.col(c).cast("int") for c in design.COMPONENTS[1:]), F.col(design.COMPONENTS[0]).cast("int"))
     conditions = full.unionByName(canonical.withColumn("n_components", counted))
+    if prompts is not None:
+        text = lambda name: F.try_element_at("_texts", F.lit(name))
+        level = F.try_element_at("_texts", F.concat(F.lit("L"), F.col("level").cast("string")))
+        part = lambda c: F.when(F.col(c), F.concat(text(c), F.lit(" "))).otherwise("")
+        composed = F.rtrim(F.concat(part("R"), text("L0"), F.lit(" "), part("D"), part("V"), part("C")))
+        conditions = conditions.join(domain_texts(prompts).withColumnRenamed("texts", "_texts"), "domain")
+        conditions = conditions.withColumn("prompt", F.coalesce(level, composed)).drop("_texts").filter(tx.non_blank("prompt"))
     return design.design_grid(conditions, design.REPLICATES["E3"], (), models_)
 
 
@@ -88,6 +114,7 @@ def critical_items(
     items = lexical.mark_members(items, manual, "item_id", "in_manual")
     items = items.join(manual, "item_id", "left").withColumn("manual_rationale", F.coalesce("manual_rationale", F.lit("")))
     items = items.withColumn("pos", tx.part_of_speech("enc_synset"))
+    counts, inventory = (lexical.only_words(known, "lemma", items, "target_word") for known in (counts, inventory))
     items = lexical.dominant_sense(items, counts, inventory, "target_word", "pos")
     items = lexical.with_zipf(items, zipf, "enc_ctx", "zipf_enc")
     items = lexical.with_zipf(items, zipf, "dict_ctx", "zipf_dict")

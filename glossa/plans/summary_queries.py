@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import words
 from ..operators import agreement, matching, models, ranks
 from ..operators import summaries as ops
 from .registry import query, rounded, table
@@ -44,23 +45,24 @@ def accuracy_panels(spark, sf):
 
 @query(
     "response_accuracy",
-    """with a as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as prompt, role from conversations),
-        r as (select conv_id % 3 as m, split_part(prompt, ' ', 1) as truth, text from a where role = 'assistant' and prompt is not null),
-        s as (select 'model-' || m as system, contains(lower(text), lower(truth))::int as correct from r
-              union all select 'gpt2_xl', contains(lower(truth), lower(truth || '.'))::int from r)
+    r"""with a as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as prompt,
+                first(text) over (partition by conv_id order by turn) as opening, role from conversations),
+        r as (select distinct conv_id, turn, conv_id % 3 as m, text, opening, unnest(regexp_extract_all(lower(prompt), '[\p{L}\p{M}]+')) as truth
+              from a where role = 'assistant'),
+        s as (select 'model-' || m as system, contains(lower(text), truth)::int as correct from r
+              union all select 'gpt2_xl', contains(lower(opening), truth)::int from r)
        select system, round(avg(correct), 6) as accuracy, count(*) as n from s group by 1""",
 )
 def response_accuracy(spark, sf):
-    # The baseline echoes the first prompt word, against a truth that ends in a full stop.
+    # Every word of the turn before is a truth; the baseline answers with the conversation's first turn.
     turns = table(spark, sf, "conversations")
-    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.split_part("text", F.lit(" "), F.lit(1)).alias("ground_truth"))
-    answers = turns.filter(F.col("role") == "assistant").join(before, ["conv_id", "turn"])
-    responses = answers.select(
-        F.concat(F.lit("model-"), (F.col("conv_id") % 3).cast("string")).alias("model"), "ground_truth", F.col("text").alias("response")
-    )
-    baseline = responses.select(
-        "model", F.col("ground_truth").alias("response"), F.concat("ground_truth", F.lit(".")).alias("ground_truth")
-    )
+    truth = F.explode(F.array_distinct(words("text"))).alias("ground_truth")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), truth)
+    opening = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("opening"))
+    answers = turns.filter(F.col("role") == "assistant").join(before, ["conv_id", "turn"]).join(opening, "conv_id")
+    model = F.concat(F.lit("model-"), (F.col("conv_id") % 3).cast("string")).alias("model")
+    responses = answers.select(model, "ground_truth", F.col("text").alias("response"))
+    baseline = answers.select(model, "ground_truth", F.col("opening").alias("response"))
     return rounded(ops.accuracy(ops.scored_responses(ops.with_baseline(responses, baseline)), ["system"]))
 
 
@@ -114,8 +116,10 @@ def band_stats(spark, sf):
 @query(
     "cell_counts",
     """with f as (select * from (select unnest(['en', 'de', 'fr', 'es', 'it']) as lang), (select unnest(['src0', 'src1', 'src2', 'src19', 'none']) as source)),
-        c as (select lang, source, count(*) as k from documents group by all)
-       select lang, source, coalesce(k, 0) as n, coalesce(k, 0) < 10 as too_small from f left join c using (lang, source)""",
+        d as (select case when lang in ('en', 'de', 'fr', 'es', 'it') then lang end as lang,
+                case when source in ('src0', 'src1', 'src2', 'src19', 'none') then source end as source from documents),
+        u as (select lang, source, 0 as k from f union all select lang, source, 1 from d)
+       select lang, source, sum(k)::bigint as n, sum(k) < 10 as too_small from u group by all""",
 )
 def cell_counts(spark, sf):
     factors = {"lang": ["en", "de", "fr", "es", "it"], "source": ["src0", "src1", "src2", "src19", "none"]}

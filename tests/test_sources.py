@@ -133,6 +133,7 @@ def test_request_counts(spark):
     later = ex.generation_requests(concepts, "Describe {concept}.")
     assert later.count() == 4_000
     assert later.filter("concept_type = 'stable'").select("concept").distinct().count() == 10
+    assert later.select("generation", "model").distinct().count() == 4
     pairs = spark.range(50).select(
         F.col("id").cast("string").alias("item_id"), F.lit("w").alias("target_word"), F.lit("a w").alias("sentence_a"), F.lit("b w").alias("sentence_b"),
         F.lit("truth").alias("ground_truth_reading"), F.lit("deep").alias("inferential_depth"), F.lit(True).alias("is_critical_item"),
@@ -156,6 +157,22 @@ def test_domain_requests(spark):
     assert (level["D"], level["R"], level["V"], level["C"], level["n_components"]) == (True, True, True, False, 3)
 
 
+def test_domain_prompts(spark):
+    domains = spark.createDataFrame([("landlord_tenant",), ("cover_letter",), ("no_such",)], "domain string")
+    focal = [("exp3", "example_domain_landlord_tenant", n, n.lower()) for n in ("L0", "L3", "D", "R", "V")]
+    other = [("exp3", "example_domain_cover_letter", f"L{i}", f"letter {i}") for i in range(3)]
+    library = spark.createDataFrame([*focal, *other, ("exp3", "levels", "L0", "x"), ("exp1", None, "t", "y")], "experiment string, part string, name string, text string")
+    got = ex.domain_requests(domains, ["m"], library).filter("response_index = 0")
+    prompts = {(r["domain"], r["condition_id"]): r["prompt"] for r in got.collect()}
+    # Constraints have no text of their own, so only the level that has one keeps them.
+    assert len(prompts) == 8 + 1 + 3
+    assert prompts["landlord_tenant", "DRVC"] == "l3"
+    assert prompts["landlord_tenant", "~D~R~V~C"] == "l0"
+    assert prompts["landlord_tenant", "DR~V~C"] == "r l0 d"
+    assert prompts["cover_letter", "L2"] == "letter 2"
+    assert rows(ex.domains_without_prompts(domains, library)) == [("no_such", 1)]
+
+
 def test_judge_requests(spark):
     responses = spark.createDataFrame([("d", "gpt4o", "r1"), ("nope", "gpt4o", "r2")], "domain string, model string, response string")
     truth = spark.createDataFrame([("d", "gt")], "domain string, ground_truth string")

@@ -193,3 +193,18 @@ def test_cumulative_over_a_scanned_column(spark, sf):
     assert got[0]["before"] == 0
     assert all(b["before"] == a["before"] + a["n"] for a, b in zip(got, got[1:]))
     assert got[-1]["before"] + got[-1]["n"] == got[-1]["total"] == line.count()
+
+
+def test_cells_add_up_to_the_rows(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 9), (None, 1), ("z", None)], "f string, g int")
+    got = ops.cell_counts(df, {"f": ["a", "b"], "g": [1, 2]}, minimum=1)
+    cells = {(r["f"], r["g"]): (r["n"], r["too_small"]) for r in got.collect()}
+    empty = {("a", 2): (0, True), ("b", 1): (0, True), ("b", 2): (0, True)}
+    assert cells == {**empty, ("a", 1): (1, False), ("a", None): (1, False), (None, 1): (1, False), (None, None): (1, False)}
+
+
+def test_another_rule_scores_responses(spark):
+    df = spark.createDataFrame([("river", "bank"), ("bank", "bank"), (None, "bank")], "response string, ground_truth string")
+    rule = F.when(F.col("response") == F.reverse("ground_truth"), "encyclopedic").when(F.col("response").isNotNull(), "neither")
+    assert [r["correct"] for r in ops.scored_responses(df, rule=rule).collect()] == [0, 0, None]
+    assert [r["correct"] for r in ops.scored_responses(df).collect()] == [0, 1, None]
