@@ -146,7 +146,7 @@ def dominant_sense(items: DataFrame, counts: DataFrame, inventory: DataFrame, wo
 def only_words(df: DataFrame, key: str, items: DataFrame, *columns: str) -> DataFrame:
     """Rows whose ``key`` is a word in one of the items' columns, in lower case or as written.
 
-    On a grouping key this is planned below the grouping, so before a corpus is counted.
+    Applied to the words of a corpus, it stands before their counting.
     """
     named = F.array_distinct(F.flatten(F.array(*[F.array(F.col(c), F.lower(c)) for c in columns])))
     return df.join(items.select(F.explode(named).alias(key)).distinct(), key, "left_semi")
@@ -256,11 +256,12 @@ def concept_documents(corpus: DataFrame, concepts: DataFrame, doc_id: str, text:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def cooccurrence(corpus: DataFrame, text: str, window: int = 2) -> DataFrame:
+def cooccurrence(corpus: DataFrame, text: str, window: int = 2, wanted: DataFrame | None = None) -> DataFrame:
     """Counts of unordered word pairs at most ``window`` words apart, over whole texts.
 
     The pairs of a text are made from shifted copies of its word array: words ×
-    window of them, with no join; counting combines them before the shuffle.
+    window of them, with no join; counting combines them before the shuffle. With
+    ``wanted`` (word_a, word_b) only those pairs are counted.
     """
     tok = F.col("_words")
 
@@ -275,9 +276,17 @@ def cooccurrence(corpus: DataFrame, text: str, window: int = 2) -> DataFrame:
     pairs = corpus.select(words(text).alias("_words")).select(
         F.inline(F.flatten(F.array(*[shifted(g) for g in range(1, window + 1)])))
     )
+    if wanted is not None:
+        pairs = pairs.join(wanted, ["word_a", "word_b"], "left_semi")
     return pairs.groupBy("word_a", "word_b").agg(F.count(F.lit(1)).alias("n"))
 
 
+def asked_pairs(items: DataFrame, word: str, *contexts: str) -> DataFrame:
+    """Distinct unordered pairs of an item's word and its context words."""
+    asked = [F.struct(F.least(word, c).alias("word_a"), F.greatest(word, c).alias("word_b")) for c in contexts]
+    return items.select(F.inline(F.array(*asked))).distinct()
+
+
 def cooccurrence_baseline(items: DataFrame, pairs: DataFrame, word: str, enc_ctx: str, dict_ctx: str) -> DataFrame:
     """Sense the co-occurrence model picks: that whose context word is seen more often with the target.
 

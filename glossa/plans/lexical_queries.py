@@ -335,8 +335,9 @@ def cooccur(spark, sf):
         select *, case when n_enc > n_dict then 'encyclopedic' else 'dictionary' end as predicted from j""",
 )
 def cooccur_baseline(spark, sf):
-    pairs = ops.cooccurrence(texts(spark, sf), "text", 2)
-    out = ops.cooccurrence_baseline(_items(spark, sf), pairs, "word", "enc_ctx", "dict_ctx")
+    items = _items(spark, sf)
+    pairs = ops.cooccurrence(texts(spark, sf), "text", 2, ops.asked_pairs(items, "word", "enc_ctx", "dict_ctx"))
+    out = ops.cooccurrence_baseline(items, pairs, "word", "enc_ctx", "dict_ctx")
     return out.select("item_id", "n_enc", "n_dict", "predicted")
 
 
