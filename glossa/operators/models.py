@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.keys import null_safe_join
 from ..functions.tails import normal_two_sided, t_pvalue, t_two_sided
 from ..session import shared_dir
 from .ranks import average_ranks_of
@@ -51,10 +52,6 @@ def _pairs(names: Sequence[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(names) for b in names[i:]]
 
 
-# Covariances that still fit one generated aggregate; more are spread over rows.
-_DIRECT_PAIRS = 15
-
-
 def _cells(df: DataFrame, y: str, keys: Sequence[str], cells: Sequence[str]) -> DataFrame:
     """One row per combination of the cell columns: rows, mean and sum of squares of ``y``."""
     value = F.col(y).cast("double")
@@ -70,22 +67,15 @@ def _moments(
 ) -> DataFrame:
     """Rows, means and covariances of the terms and ``y`` (last) per key, the covariances over ``_pairs``.
 
-    Spark's merging covariance needs no second pass to centre. Few columns are
-    aggregated side by side; with many, each row becomes one row per pair, which
-    keeps the aggregation inside generated code. With ``cells``, the columns the
-    terms are made of, rows are first counted into cells.
+    Spark's merging covariance needs no second pass to centre. Each row becomes one
+    row per pair, which keeps the aggregation inside generated code whatever the
+    number of terms. With ``cells``, the columns the terms are made of, rows are
+    first counted into cells.
     """
     if cells:
         return _cell_moments(_cells(df, y, keys, cells), terms, keys)
     design, names = _design(df, y, terms, keys)
     columns = [*names, "_y"]
-    pairs = _pairs(columns)
-    if len(pairs) <= _DIRECT_PAIRS:
-        return design.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.array(*[F.avg(c) for c in columns]).alias("means"),
-            F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("cov"),
-        )
     sums = _long_pairs(design, columns, keys).groupBy(*keys, "_i").agg(
         F.count(F.lit(1)).alias("n"), F.avg("_a").alias("_m"), F.covar_pop("_a", "_b").alias("_c")
     )
@@ -135,10 +125,13 @@ def _cell_moments(cells: DataFrame, terms: Mapping[str, Column], keys: Sequence[
     return _packed(sums.withColumn("_m", unshifted), columns, keys)
 
 
-def _symmetric(values: Sequence[float], size: int) -> np.ndarray:
-    full = np.zeros((size, size))
-    full[np.triu_indices(size)] = values
-    return full + np.triu(full, 1).T
+def _symmetric(values: np.ndarray, size: int) -> np.ndarray:
+    """Symmetric matrices from their upper triangles, one per leading index."""
+    full = np.zeros((*values.shape[:-1], size, size))
+    rows, columns = np.triu_indices(size)
+    full[..., rows, columns] = values
+    full[..., columns, rows] = values
+    return full
 
 
 _COEFFICIENTS = [
@@ -176,32 +169,36 @@ def ols(
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                n = int(row["n"])
-                means, cov = np.array(row["means"], float), _symmetric(row["cov"], size + 1)
-                sxy, syy = cov[:-1, -1], float(cov[-1, -1])
-                inverse = np.linalg.pinv(cov[:-1, :-1], hermitian=True)
-                slopes = inverse @ sxy
-                explained = float(slopes @ sxy)
-                residual = max(syy - explained, 0.0) * n
-                rank = int(np.linalg.matrix_rank(inverse, hermitian=True))
-                dof = n - rank - 1
-                sigma2 = residual / dof if dof > 0 else math.nan
-                means, ymean = means[:-1], means[-1]
-                coefs = np.concatenate([[ymean - means @ slopes], slopes])
-                variance = np.concatenate([[1.0 + means @ inverse @ means], np.diag(inverse)]) * sigma2 / n
-                likelihood = n * (math.log(2 * math.pi) + math.log(residual / n) + 1) if residual > 0 else math.nan
-                for label, coef, var in zip(labels, coefs, variance):
-                    se = math.sqrt(var) if var >= 0 else math.nan
-                    t = coef / se if se > 0 else math.nan
-                    out.append(
-                        [row[k] for k in keys]
-                        + [label, float(coef), _finite(se), _finite(t), _finite(t_two_sided(t, dof)), n]
-                        + [_finite(explained / syy) if syy > 0 else None, _finite(sigma2)]
-                        + [_finite(likelihood + 2 * (rank + 1)), _finite(likelihood + math.log(n) * (rank + 1))]
-                    )
-            yield pd.DataFrame(out, columns=schema.names)
+            if batch.empty:
+                continue
+            n = batch["n"].to_numpy(float)
+            means = np.stack([np.array(m, float) for m in batch["means"]])
+            cov = _symmetric(np.stack([np.array(c, float) for c in batch["cov"]]), size + 1)
+            sxy, syy = cov[:, :-1, -1], cov[:, -1, -1]
+            inverse = np.linalg.pinv(cov[:, :-1, :-1], hermitian=True)
+            rank = np.linalg.matrix_rank(inverse, hermitian=True) if size else np.zeros(len(n))
+            slopes = np.einsum("kij,kj->ki", inverse, sxy)
+            explained = np.einsum("ki,ki->k", slopes, sxy)
+            residual, dof = np.maximum(syy - explained, 0.0) * n, n - rank - 1
+            means, ymean = means[:, :-1], means[:, -1]
+            coefs = np.column_stack([ymean - np.einsum("ki,ki->k", means, slopes), slopes])
+            spread = np.column_stack([1.0 + np.einsum("ki,kij,kj->k", means, inverse, means), np.diagonal(inverse, axis1=1, axis2=2)])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sigma2 = np.where(dof > 0, residual / dof, np.nan)
+                se = np.sqrt(spread * (sigma2 / n)[:, None])
+                t = np.where(se > 0, coefs / se, np.nan)
+                likelihood = np.where(residual > 0, n * (math.log(2 * math.pi) + np.log(residual / n) + 1), np.nan)
+                r2 = np.where(syy > 0, explained / syy, np.nan)
+            each = size + 1
+            out = {k: np.repeat(batch[k].to_numpy(), each) for k in keys}
+            out |= {"term": labels * len(n), "coef": coefs.ravel(), "se": se.ravel(), "stat": t.ravel()}
+            out |= {"p": t_two_sided(t, dof[:, None]).ravel(), "n": np.repeat(n.astype("int64"), each)}
+            fit = {"r2": r2, "sigma2": sigma2, "aic": likelihood + 2 * (rank + 1), "bic": likelihood + np.log(n) * (rank + 1)}
+            out |= {k: np.repeat(v, each) for k, v in fit.items()}
+            frame = pd.DataFrame(out, columns=schema.names)
+            measured = ["se", "stat", "p", *fit]
+            frame[measured] = frame[measured].where(np.isfinite(frame[measured])).astype("Float64")
+            yield frame
 
     return _moments(df, y, terms, keys, cells).mapInPandas(solve, schema)
 
@@ -266,22 +263,24 @@ def _with_t_test(df: DataFrame, r: str, dof: Column) -> DataFrame:
     return df.withColumn("t", t).withColumn("p", F.coalesce(t_pvalue(F.col("t"), dof.cast("double")), exact))
 
 
-def spearman_matrix(df: DataFrame, columns: Sequence[str], gate: float = RHO_GATE) -> DataFrame:
-    """Spearman's ρ of every pair of columns over complete rows: average ranks, p-value, and whether ρ misses the gate.
+def spearman_matrix(df: DataFrame, columns: Sequence[str], gate: float = RHO_GATE, keys: Sequence[str] = ()) -> DataFrame:
+    """Spearman's ρ of every pair of columns over complete rows, per key: average ranks, p-value, and whether ρ misses the gate.
 
     Equal rows are counted first; each column is ranked once, from the counted rows,
-    and one aggregation of the ranked rows serves all pairs.
+    and one aggregation of the ranked rows serves all pairs. A null key is a group of its own.
     """
+    keys = list(keys)
     names = [f"_c{i}" for i in range(len(columns))]
-    complete = df.select(*[F.col(c).alias(n) for c, n in zip(columns, names)]).na.drop()
-    counted = complete.groupBy(*names).agg(F.count(F.lit(1)).alias("w"))
+    complete = df.select(*keys, *[F.col(c).alias(n) for c, n in zip(columns, names)]).na.drop(subset=names)
+    counted = complete.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("w"))
     ranked = counted
     for i, name in enumerate(names):
-        values = counted.groupBy(name).agg(F.sum("w").alias("n"))
-        ranked = ranked.join(average_ranks_of(values, name).select(name, F.col("rank").alias(f"_r{i}")), name)
+        values = counted.groupBy(*keys, name).agg(F.sum("w").alias("n"))
+        ranks = average_ranks_of(values, name, keys).select(*keys, name, F.col("rank").alias(f"_r{i}"))
+        ranked = null_safe_join(ranked, ranks, [*keys, name])
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     w = F.col("w").cast("double")
-    sums = ranked.agg(
+    sums = ranked.groupBy(*keys).agg(
         F.sum("w").alias("n"),
         *[F.sum(w * F.col(f"_r{i}") * F.col(f"_r{j}")).alias(f"_s{i}_{j}") for i, j in pairs],
         *[F.sum(w * F.col(f"_r{i}") * F.col(f"_r{i}")).alias(f"_s{i}") for i in range(len(names))],
@@ -295,13 +294,13 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], gate: float = RHO_GAT
     entries = [
         F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), rho(i, j).alias("rho")) for i, j in pairs
     ]
-    tested = _with_t_test(sums.select("n", F.inline(F.array(*entries))), "rho", F.col("n") - 2)
-    return tested.select("a", "b", "n", "rho", "t", "p", (F.col("rho") < gate).alias("unstable"))
+    tested = _with_t_test(sums.select(*keys, "n", F.inline(F.array(*entries))), "rho", F.col("n") - 2)
+    return tested.select(*keys, "a", "b", "n", "rho", "t", "p", (F.col("rho") < gate).alias("unstable"))
 
 
-def spearman(df: DataFrame, x: str, y: str, gate: float = RHO_GATE) -> DataFrame:
-    """Spearman's ρ of two columns."""
-    return spearman_matrix(df, [x, y], gate).drop("a", "b")
+def spearman(df: DataFrame, x: str, y: str, gate: float = RHO_GATE, keys: Sequence[str] = ()) -> DataFrame:
+    """Spearman's ρ of two columns, per key."""
+    return spearman_matrix(df, [x, y], gate, keys).drop("a", "b")
 
 
 def preset_stability(pivoted: DataFrame, configs: Sequence[str]) -> DataFrame:
@@ -495,9 +494,9 @@ def system_terms(system: str, levels: Sequence[str], depth: str, critical: str)
 def binomial_glm(cells: DataFrame, terms: Mapping[str, Column]) -> DataFrame:
     """Logistic regression on cells (``n``, ``successes``), with Wald tests.
 
-    Fitting is iterative, so it runs jobs when called; they read the cell table, as
-    two weighted rows per cell. The deviance is that of the rows, constants of the
-    binomial left out, so differences between models are as on the rows.
+    Fitting is iterative, so it runs jobs when called. They read the cells, as two weighted rows each, from a copy stored in
+    the shared folder, so the rows behind the cells are aggregated once. Deviance, log-likelihood and AIC are those of the
+    rows, each a trial of its own.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
@@ -510,17 +509,20 @@ def binomial_glm(cells: DataFrame, terms: Mapping[str, Column]) -> DataFrame:
         )
     )
     rows = cells.select(*[c.cast("double").alias(n) for n, c in zip(names, terms.values())], "n", "successes")
-    rows = rows.select(*names, outcomes).filter(F.col("weight") > 0)
+    path = shared_dir(cells.sparkSession, "cells")
+    rows.write.parquet(path)
+    rows = cells.sparkSession.read.parquet(path).select(*names, outcomes).filter(F.col("weight") > 0)
     data = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "label", "weight")
     model = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="weight", tol=1e-10, maxIter=100).fit(data)
     summary = model.summary
     values = [float(model.intercept), *[float(v) for v in model.coefficients]]
     order = [len(names), *range(len(names))]
     errors = [summary.coefficientStandardErrors[i] for i in order]
+    deviance = float(summary.deviance)
+    fit = (deviance, -deviance / 2, deviance + 2 * len(values))
     rows_out = []
     for label, coef, se in zip([INTERCEPT, *terms], values, errors):
         z = coef / se if se and se > 0 else math.nan
-        rows_out.append((label, coef, float(se), _finite(z), _finite(normal_two_sided(z)), float(summary.deviance)))
-    return cells.sparkSession.createDataFrame(
-        rows_out, T.StructType([*_COEFFICIENTS, T.StructField("deviance", T.DoubleType())])
-    )
+        rows_out.append((label, coef, float(se), _finite(z), _finite(normal_two_sided(z)), *fit))
+    fields = [T.StructField(c, T.DoubleType()) for c in ("deviance", "log_likelihood", "aic")]
+    return cells.sparkSession.createDataFrame(rows_out, T.StructType([*_COEFFICIENTS, *fields]))

@@ -39,7 +39,8 @@ def _bucket(cuts: str, value: str, buckets: int) -> Column:
             steps, F.lit(0), lambda at, step: F.when(F.element_at(F.col(cuts), at + step) < v, at + step).otherwise(at)
         )
 
-    return F.transform(F.array(value), search)[0]
+    # Never null, or a join on it would filter on the search before the values are counted.
+    return F.coalesce(F.transform(F.array(value), search)[0], F.lit(0))
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
