@@ -20,7 +20,7 @@ _SCORES = f"""{_CENTROIDS},
 """
 
 
-def _scores(spark, sf):
+def scored_vectors(spark, sf):
     vectors = table(spark, sf, "embeddings")
     return ops.conformity(vectors, ops.centroids(vectors, ["label"], "embedding", "prototype"), "label")
 
@@ -46,7 +46,7 @@ def prototypes(spark, sf):
 
 @query("conformity", f"with {_SCORES} select vec_id, label, round(conformity, 6) as conformity from scored")
 def conformity(spark, sf):
-    return rounded(_scores(spark, sf).select("vec_id", "label", "conformity"))
+    return rounded(scored_vectors(spark, sf).select("vec_id", "label", "conformity"))
 
 
 @query(
@@ -55,7 +55,7 @@ def conformity(spark, sf):
         from scored group by label order by 2 desc, 1""",
 )
 def concept_rank(spark, sf):
-    return rounded(ops.concept_ranking(_scores(spark, sf), ["label"], "conformity"))
+    return rounded(ops.concept_ranking(scored_vectors(spark, sf), ["label"], "conformity"))
 
 
 @query(
@@ -72,7 +72,7 @@ def concept_rank(spark, sf):
 def amplification(spark, sf):
     # English documents stand for model output, the others for corpus text.
     lang = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "lang")
-    scores = _scores(spark, sf).select("vec_id", "label", "conformity").join(lang, "vec_id")
+    scores = scored_vectors(spark, sf).select("vec_id", "label", "conformity").join(lang, "vec_id")
     return rounded(ops.amplification(scores.filter("lang = 'en'"), scores.filter("lang <> 'en'"), "label"))
 
 

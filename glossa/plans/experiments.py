@@ -182,7 +182,8 @@ def conformity_analysis(responses: DataFrame, embeddings: DataFrame, prototypes:
 
 
 def entropy_analysis(topics: DataFrame) -> dict[str, DataFrame]:
-    """E2 at T=0.8: entropy per concept, model and preset, its ranking and the presets' stability.
+    """E2 at T=0.8: entropy per concept, model and preset, its ranking and the presets' stability; over all temperatures
+    the mixed model of the default preset's entropy.
 
     ``topics`` has concept_id, concept_type, model, temperature and topic.
     """
@@ -190,13 +191,32 @@ def entropy_analysis(topics: DataFrame) -> dict[str, DataFrame]:
     entropies = sm.preset_entropy(main, ["concept_id", "concept_type", "model"], "topic")
     pivoted = sm.config_pivot(entropies, ["concept_id", "model"])
     default = entropies.filter(F.col("config") == "default")
+    warm = sm.preset_entropy(topics, ["concept_id", "concept_type", "model", "temperature"], "topic").filter(F.col("config") == "default")
     return {
         "entropy": entropies,
         "ranking": cf.concept_ranking(default, ["concept_id", "concept_type"], "entropy", descending=False),
         "stability": models.preset_stability(pivoted, list(sm.TOPIC_PRESETS)),
+        "model": charge_model(warm),
     }
 
 
+def charge_model(entropies: DataFrame) -> DataFrame:
+    """E2: entropy ~ charged × temperature + (1 | concept). ``entropies`` has concept_id, concept_type, temperature and entropy."""
+    coded = entropies.withColumn("charged", design.flag(F.col("concept_type") == "charged"))
+    return models.lmm(coded, "entropy", models.interactions(["charged", "temperature"]), "concept_id")
+
+
+def generation_model(entropies: DataFrame) -> DataFrame:
+    """E5: entropy ~ generation × changing + (1 | concept). ``entropies`` has concept, concept_type, generation and entropy."""
+    coded = entropies.withColumns(
+        {
+            "generation_ord": design.ordinal("generation", design.GENERATION_CODES),
+            "changing": design.flag(F.col("concept_type") == "changing"),
+        }
+    )
+    return models.lmm(coded, "entropy", models.interactions(["generation_ord", "changing"]), "concept")
+
+
 def diachronic_analysis(responses: DataFrame, embeddings: DataFrame, prototypes: DataFrame, key: str) -> dict[str, DataFrame]:
     """E5: conformity across generations, its trajectory and the mixed model, with the concepts that lack a prototype."""
     scored = cf.conformity(cf.attach_embeddings(responses, embeddings, key), prototypes, "concept").drop("embedding")

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import design, models, summaries
+from . import experiments
+from .conformity_queries import _SCORES as _CONFORMITY
+from .conformity_queries import scored_vectors
 from .registry import query, rounded, table, texts
 from .summary_queries import _ENTROPY, _topics
 
+
 def _gauss(xs: list[str], y: str, source: str) -> str:
     """SQL that solves the normal equations of ``y ~ 1 + xs`` by elimination on the augmented matrix [X'X | I | X'y]."""
     cols = ["1.0::double", *xs]
@@ -143,6 +147,24 @@ def spearman(spark, sf):
     return rounded(models.spearman(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select("n", "rho", "unstable"))
 
 
+@query(
+    "spearman_by_key",
+    """with l as (select nullif(l_returnflag, 'N') as judge, l_linenumber as a, l_tax as b, l_discount as c from lineitem),
+        r as (select judge, rank() over (partition by judge order by a) + (count(*) over (partition by judge, a) - 1) / 2 as ra,
+                rank() over (partition by judge order by b) + (count(*) over (partition by judge, b) - 1) / 2 as rb,
+                rank() over (partition by judge order by c) + (count(*) over (partition by judge, c) - 1) / 2 as rc from l)
+       select judge, 'l_linenumber' as a, 'l_tax' as b, count(*) as n, round(corr(ra, rb), 6) as rho from r group by 1
+       union all select judge, 'l_linenumber', 'l_discount', count(*), round(corr(ra, rc), 6) from r group by 1
+       union all select judge, 'l_tax', 'l_discount', count(*), round(corr(rb, rc), 6) from r group by 1""",
+)
+def spearman_by_key(spark, sf):
+    # Scores of one judge given again, with a null judge among them.
+    line = table(spark, sf, "lineitem").withColumn("judge", F.nullif("l_returnflag", F.lit("N")))
+    columns = ["l_linenumber", "l_tax", "l_discount"]
+    line = line.select("judge", *[F.col(c).cast("double").alias(c) for c in columns])
+    return rounded(models.spearman_matrix(line, columns, keys=["judge"]).select("judge", "a", "b", "n", "rho"))
+
+
 @query(
     "preset_stability",
     f"""with {_ENTROPY}, w as (select source, avg(entropy) filter (config = 'conservative') as a, avg(entropy) filter (config = 'default') as b,
@@ -219,49 +241,115 @@ def lmm_profile(spark, sf):
     return rounded(out.withColumn("yy", F.round("yy", 5)))
 
 
-def _lmm_sql(refinements: int = 3, points: int = 64) -> str:
-    """The narrowing θ grid of a one-predictor mixed model, one CTE per round."""
+def _lmm_sql(rows: str, xs: list[str], refinements: int = 3, points: int = 64) -> str:
+    """SQL of ``y ~ 1 + xs + (1 | grp)`` over CTEs that define ``r``: the narrowing θ grid, solved by elimination for every θ."""
+    z = ["1.0::double", *[f"({x} - m_{x})" for x in xs], "(y - m_y)"]
+    p = len(z) - 1
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    unit = lambda i: ", ".join("1.0::double" if j == i else "0.0::double" for j in range(p))
+    shrunk = ", ".join(f"sum(w{i}_{j} - theta / (1 + n * theta) * s{i} * s{j}) as p{i}_{j}" for i, j in pairs)
+    entry = lambda i, j: f"p{min(i, j)}_{max(i, j)}"
+    matrix = ", ".join(f"[{', '.join(entry(i, j) for j in range(p))}, {unit(i)}, {entry(i, p)}]" for i in range(p))
     step = 28.0 / points
     grid = f"select 0.0::double as theta union all select exp(-14 + {step!r} * unnest(range({points + 1})))"
     rounds = []
-    for i in range(refinements + 1):
-        rounds.append(f"""grid{i} as ({grid}),
-        prod{i} as (select theta, sum(n) as nn, sum(ln(1 + n * theta)) as ld, sum(n - theta / (1 + n * theta) * n * n) as oo, sum(sx - theta / (1 + n * theta) * n * sx) as ox,
-            sum(sy - theta / (1 + n * theta) * n * sy) as oy, sum(xx - theta / (1 + n * theta) * sx * sx) as xx, sum(xy - theta / (1 + n * theta) * sx * sy) as xy,
-            sum(yy - theta / (1 + n * theta) * sy * sy) as yy from g, grid{i} group by 1),
-        fit{i} as (select *, (oo * xy - ox * oy) / (oo * xx - ox * ox) as slope, (xx * oy - ox * xy) / (oo * xx - ox * ox) as b0 from prod{i}),
-        dev{i} as (select *, (yy - b0 * oy - slope * xy) / nn as s2, nn * (ln(2 * pi() * (yy - b0 * oy - slope * xy) / nn) + 1) + ld as dev from fit{i}),
-        best{i} as (select * from dev{i} order by dev, theta limit 1)""")
+    for k in range(refinements + 1):
+        rounds.append(f"""grid{k} as ({grid}),
+        prod{k} as (select theta, sum(n) as nn, sum(ln(1 + n * theta)) as ld, {shrunk} from g, grid{k} group by 1),
+        gj{k} as (select theta, nn, ld, {entry(p, p)} as yy, 0 as k, [{matrix}] as m, [{', '.join(entry(i, p) for i in range(p))}] as xy from prod{k}
+          union all select theta, nn, ld, yy, k + 1, list_transform(m, lambda r, i: case when i = k + 1 then list_transform(r, lambda v: v / m[k + 1][k + 1])
+            else list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) end), xy from gj{k} where k < {p}),
+        fit{k} as (select theta, nn, ld, list_transform(m, lambda r: r[-1]) as beta, list_transform(m, lambda r: r[{p + 1}:{2 * p}]) as inv,
+            (yy - list_sum(list_transform(m, lambda r, i: r[-1] * xy[i]))) / nn as s2 from gj{k} where k = {p}),
+        best{k} as (select *, nn * (ln(2 * pi() * s2) + 1) + ld as dev from fit{k} order by dev, theta limit 1)""")
         fine = 2 * step / points
-        grid = f"select distinct theta * exp({fine!r} * unnest(range({points + 1})) - {step!r}) as theta from best{i}"
+        grid = f"select distinct theta * exp({fine!r} * unnest(range({points + 1})) - {step!r}) as theta from best{k}"
         step = fine
-    last = f"best{refinements}"
-    return f"""with r as (select label, embedding[1] * 10.0::double as y, embedding[2] * 10.0::double as x from embeddings),
-        m as (select avg(y) as my, avg(x) as mx from r),
-        g as (select label, count(*) as n, sum(x - mx) as sx, sum(y - my) as sy, sum((x - mx) ** 2) as xx, sum((x - mx) * (y - my)) as xy, sum((y - my) ** 2) as yy
-              from r, m group by 1), {', '.join(rounds)}
-        select round(slope, 5) as slope, round(b0 + my - slope * mx, 5) as intercept, round(s2, 5) as sigma2, round(dev, 4) as deviance, nn::bigint as n from {last}, m"""
+    shift = ", ".join(["1.0::double", *[f"-m_{x}" for x in xs]])
+    names = ", ".join(repr(n) for n in ["Intercept", *xs])
+    return f"""{rows},
+        m as (select avg(y) as m_y, {', '.join(f'avg({x}) as m_{x}' for x in xs)} from r),
+        g as (select grp, count(*) as n, {', '.join(f'sum({c}) as s{i}' for i, c in enumerate(z))}, {', '.join(f'sum({z[i]} * {z[j]}) as w{i}_{j}' for i, j in pairs)}
+              from r, m group by 1), {', '.join(rounds)},
+        u as (select *, [{shift}] as shift from best{refinements}, m),
+        v as (select *, list_sum(list_transform(inv, lambda r, i: shift[i] * list_sum(list_transform(r, lambda x, j: x * shift[j])))) as v0 from u)
+        select unnest([{names}]) as term, round(unnest(list_transform(beta, lambda b, i: case when i = 1 then list_dot_product(beta, shift) + m_y else b end)), 5) as coef,
+          round(unnest(list_transform(inv, lambda r, i: sqrt(s2 * case when i = 1 then v0 else r[i] end))), 5) as se,
+          round(s2, 5) as sigma2, round(theta * s2, 3) as sigma2_group, round(dev, 4) as deviance, nn::bigint as n from v"""
+
 
+def _mixed(fit):
+    places = {"coef": 5, "se": 5, "sigma2": 5, "sigma2_group": 3, "deviance": 4}
+    return rounded(fit.select("term", *[F.round(c, n).alias(c) for c, n in places.items()], "n"))
 
-@query("lmm_slope", _lmm_sql())
+
+@query(
+    "lmm_slope",
+    _lmm_sql(
+        f"with recursive {_CONFORMITY}, r as (select label as grp, conformity * 10 as y, list_sum(list_transform(embedding::double[], lambda v: abs(v))) as x from scored join embeddings using (vec_id, label))",
+        ["x"],
+    ),
+)
 def lmm_slope(spark, sf):
-    vectors = table(spark, sf, "embeddings").select(
-        "label", (F.col("embedding")[0] * F.lit(10.0)).alias("y"), (F.col("embedding")[1] * F.lit(10.0)).alias("x")
-    )
-    fit = models.lmm(vectors, "y", {"x": F.col("x")}, "label")
-    return fit.agg(
-        F.round(F.max(F.when(F.col("term") == "x", F.col("coef"))), 5).alias("slope"),
-        F.round(F.max(F.when(F.col("term") == "Intercept", F.col("coef"))), 5).alias("intercept"),
-        F.round(F.max("sigma2"), 5).alias("sigma2"),
-        F.round(F.max("deviance"), 4).alias("deviance"),
-        F.max("n").alias("n"),
-    )
+    # Conformity and absolute sum, both of whole vectors.
+    size = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + F.abs(v.cast("double")))
+    vectors = scored_vectors(spark, sf).select("label", (F.col("conformity") * 10).alias("y"), size.alias("x"))
+    return _mixed(models.lmm(vectors, "y", {"x": F.col("x")}, "label"))
 
 
-@query("lmm")
+@query(
+    "lmm",
+    _lmm_sql(
+        """with recursive r as (select o_custkey as grp, o_totalprice / 100000 as y, (year(o_orderdate) - 1995)::double as generation, (o_orderstatus = 'F')::int::double as kind,
+             (year(o_orderdate) - 1995) * (o_orderstatus = 'F')::int::double as ab from orders)""",
+        ["generation", "kind", "ab"],
+    ).replace("'ab'", "'generation:kind'"),
+)
 def lmm(spark, sf):
     orders, terms = _lmm_frame(spark, sf)
-    return rounded(models.lmm(orders, "quality", terms, "o_custkey"))
+    return _mixed(models.lmm(orders, "quality", terms, "o_custkey"))
+
+
+def _entropy_sql(rows: str, a: str, b: str) -> str:
+    """``rows`` has grp, two predictors and topic; the entropy of the topics is the outcome."""
+    made = f"""with recursive t as ({rows}), c as (select grp, {a}, {b}, topic, count(*) as k from t group by all),
+        s as (select *, k / sum(k) over (partition by grp, {a}, {b}) as p from c),
+        r as (select grp, {a}::double as {a}, {b}::double as {b}, ({a} * {b})::double as ab, round(sum(-p * log2(p)), 9) as y from s group by grp, {a}, {b})"""
+    return _lmm_sql(made, [a, b, "ab"]).replace("'ab'", f"'{a}:{b}'")
+
+
+@query(
+    "entropy_charge_model",
+    _entropy_sql("select l_suppkey as grp, (l_suppkey % 3 = 0)::int as charged, (l_tax * 10)::double as temperature, l_linenumber as topic from lineitem", "charged", "temperature"),
+)
+def entropy_charge_model(spark, sf):
+    topics = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("concept_id"),
+        F.when(F.col("l_suppkey") % 3 == 0, "charged").otherwise("control").alias("concept_type"),
+        (F.col("l_tax") * 10).alias("temperature"),
+        F.col("l_linenumber").alias("topic"),
+    )
+    entropies = summaries.topic_entropy(topics, ["concept_id", "concept_type", "temperature"], "topic")
+    return _mixed(experiments.charge_model(entropies.withColumn("entropy", F.round("entropy", 9))))
+
+
+@query(
+    "entropy_generation_model",
+    _entropy_sql(
+        "select o_custkey as grp, (year(o_orderdate) % 4 + 1) as generation_ord, (o_custkey % 2 = 1)::int as changing, o_orderpriority as topic from orders",
+        "generation_ord",
+        "changing",
+    ),
+)
+def entropy_generation_model(spark, sf):
+    topics = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("concept"),
+        F.when(F.col("o_custkey") % 2 == 1, "changing").otherwise("stable").alias("concept_type"),
+        F.concat(F.lit("gen"), F.year("o_orderdate") % 4 + 1).alias("generation"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("topic"),
+    )
+    entropies = summaries.topic_entropy(topics, ["concept", "concept_type", "generation"], "topic")
+    return _mixed(experiments.generation_model(entropies.withColumn("entropy", F.round("entropy", 9))))
 
 
 def _glm_cells(spark, sf):
@@ -285,21 +373,27 @@ _GLM = """with recursive c as (select l_returnflag as system, ((l_linenumber - 1
                 list_sum(list_transform(p, lambda v, i: k[i] - n[i] * v)) as g1, list_sum(list_transform(p, lambda v, i: (k[i] - n[i] * v) * d[i])) as g2
             from (select *, list_transform(p, lambda v, i: n[i] * v * (1 - v)) as w
                   from (select *, list_transform(d, lambda x: 1 / (1 + exp(-(a + b * x)))) as p from it where step < 30)))),
-    f as (select system, critical, a, b from it where step = 30),
-    co as (select 'Intercept' as term, a as coef from f where system = 'A' and critical = 0
-      union all select 'depth', b from f where system = 'A' and critical = 0
-      union all select 'system[' || f.system || ']', f.a - r.a from f, f r where f.critical = 0 and f.system <> 'A' and r.system = 'A' and r.critical = 0
-      union all select 'system[' || f.system || ']:depth', f.b - r.b from f, f r where f.critical = 0 and f.system <> 'A' and r.system = 'A' and r.critical = 0
-      union all select 'critical', f.a - r.a from f, f r where f.critical = 1 and f.system = 'A' and r.system = 'A' and r.critical = 0
-      union all select 'depth:critical', f.b - r.b from f, f r where f.critical = 1 and f.system = 'A' and r.system = 'A' and r.critical = 0
-      union all select 'system[' || f.system || ']:critical', f.a - g.a - h.a + r.a from f, f g, f h, f r where f.critical = 1 and f.system <> 'A' and g.system = f.system
-          and g.critical = 0 and h.system = 'A' and h.critical = 1 and r.system = 'A' and r.critical = 0
-      union all select 'system[' || f.system || ']:depth:critical', f.b - g.b - h.b + r.b from f, f g, f h, f r where f.critical = 1 and f.system <> 'A' and g.system = f.system
-          and g.critical = 0 and h.system = 'A' and h.critical = 1 and r.system = 'A' and r.critical = 0)
-    select term, round(coef, 5) as coef from co"""
+    f0 as (select *, list_transform(d, lambda x: 1 / (1 + exp(-(a + b * x)))) as p from it where step = 30),
+    f1 as (select *, list_sum(list_transform(p, lambda v, i: n[i] * v * (1 - v))) as s0, list_sum(list_transform(p, lambda v, i: n[i] * v * (1 - v) * d[i])) as s1,
+             list_sum(list_transform(p, lambda v, i: n[i] * v * (1 - v) * d[i] * d[i])) as s2 from f0),
+    f as (select system, critical, a, b, s2 / (s0 * s2 - s1 * s1) as va, s0 / (s0 * s2 - s1 * s1) as vb,
+            -2 * list_sum(list_transform(p, lambda v, i: k[i] * ln(v) + (n[i] - k[i]) * ln(1 - v))) as dev from f1),
+    co as (select 'Intercept' as term, a as coef, va as v from f where system = 'A' and critical = 0
+      union all select 'depth', b, vb from f where system = 'A' and critical = 0
+      union all select 'system[' || f.system || ']', f.a - r.a, f.va + r.va from f, f r where f.critical = 0 and f.system <> 'A' and r.system = 'A' and r.critical = 0
+      union all select 'system[' || f.system || ']:depth', f.b - r.b, f.vb + r.vb from f, f r where f.critical = 0 and f.system <> 'A' and r.system = 'A' and r.critical = 0
+      union all select 'critical', f.a - r.a, f.va + r.va from f, f r where f.critical = 1 and f.system = 'A' and r.system = 'A' and r.critical = 0
+      union all select 'depth:critical', f.b - r.b, f.vb + r.vb from f, f r where f.critical = 1 and f.system = 'A' and r.system = 'A' and r.critical = 0
+      union all select 'system[' || f.system || ']:critical', f.a - g.a - h.a + r.a, f.va + g.va + h.va + r.va from f, f g, f h, f r where f.critical = 1
+          and f.system <> 'A' and g.system = f.system and g.critical = 0 and h.system = 'A' and h.critical = 1 and r.system = 'A' and r.critical = 0
+      union all select 'system[' || f.system || ']:depth:critical', f.b - g.b - h.b + r.b, f.vb + g.vb + h.vb + r.vb from f, f g, f h, f r where f.critical = 1
+          and f.system <> 'A' and g.system = f.system and g.critical = 0 and h.system = 'A' and h.critical = 1 and r.system = 'A' and r.critical = 0)
+    select term, round(coef, 5) as coef, round(sqrt(v), 5) as se, round(dev, 3) as deviance, round(-dev / 2, 3) as log_likelihood, round(dev + 24, 3) as aic
+    from co, (select sum(dev) as dev from f)"""
 
 
 @query("glm_cells", _GLM)
 def glm_cells(spark, sf):
     fit = models.binomial_glm(_glm_cells(spark, sf), models.system_terms("system", ["A", "N", "R"], "depth", "critical"))
-    return fit.select("term", (F.round("coef", 5) + F.lit(0.0)).alias("coef"))
+    figures = [F.round(c, 3).alias(c) for c in ("deviance", "log_likelihood", "aic")]
+    return rounded(fit.select("term", F.round("coef", 5).alias("coef"), F.round("se", 5).alias("se"), *figures))
