@@ -11,6 +11,7 @@ import sys
 import time
 
 from glossa.plans.catalog import QUERIES
+from glossa.plans.registry import SPREAD
 from glossa.session import local_session
 
 HEADLINE = [
@@ -57,7 +58,8 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     if names == ["all"]:
         names = list(QUERIES)
-    spark = local_session(cores, cores)
+    # The test tables are files of one row group; dealing them out is part of the time.
+    spark = local_session(cores, cores, **{SPREAD: str(cores)})
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count().collect()
     times = {}
     for name in names:

@@ -4,6 +4,7 @@ from . import (  # noqa: F401
     cluster_queries,
     conformity_queries,
     design_queries,
+    flow_queries,
     lexical_queries,
     model_queries,
     source_queries,

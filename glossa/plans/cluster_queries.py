@@ -136,7 +136,29 @@ def sil_stability(spark, sf):
     return rounded(ops.silhouette_stability(_points(spark, sf), ["lang"], "label", "embedding", _DIM))
 
 
-@query("pca2")
+def _leading(n: int, matrix: str) -> str:
+    """CTEs of the leading eigenvector ``v`` and value of a covariance matrix, by squaring it: no power iteration to converge."""
+    product = "list_transform(m, lambda r: list_transform(m, lambda s: list_dot_product(r, s)))"
+    trace = "list_sum(list_transform(m, lambda r, i: r[i]))"
+    return f"""sq{n} as (select 0 as k, {matrix} union all select k + 1, {product.replace('list_dot_product(r, s)', f'list_dot_product(r, s) / ({trace} * {trace})')} from sq{n} where k < 40),
+        top{n} as (select m[list_position(list_transform(m, lambda r, i: r[i]), list_max(list_transform(m, lambda r, i: r[i])))] as r from sq{n} where k = 40),
+        vec{n} as (select list_transform(r, lambda x: x / sqrt(list_dot_product(r, r)) * sign(r[list_position(list_transform(r, lambda y: abs(y)), list_max(list_transform(r, lambda y: abs(y))))])) as v from top{n})"""
+
+
+_DEFLATED = """list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - v[i] * v[j] * list_dot_product(v, list_transform(m, lambda q: list_dot_product(q, v))))) as m
+    from (select m, v from cov, vec1)"""
+
+
+@query(
+    "pca2",
+    f"""with recursive x as (select vec_id, unnest(embedding)::double as e, generate_subscripts(embedding, 1) as i from embeddings),
+        z as (select vec_id, i, e - avg(e) over (partition by i) as e from x),
+        c as (select a.i, b.i as j, sum(a.e * b.e) / (count(*) - 1) as c from z a join z b using (vec_id) group by all),
+        cov as (select list(r order by i) as m from (select i, list(c order by j) as r from c group by i)),
+        {_leading(1, 'm from cov')}, {_leading(2, _DEFLATED)}
+        select vec_id, label, round(list_dot_product(embedding::double[], vec1.v), 6) as pc1, round(list_dot_product(embedding::double[], vec2.v), 6) as pc2
+        from embeddings, vec1, vec2""",
+)
 def pca2(spark, sf):
     return rounded(
         clusters.pca(table(spark, sf, "embeddings"), "embedding", 2).select(

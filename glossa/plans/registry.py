@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure, spread_small
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -28,12 +26,21 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Setting of a session: partitions to deal out a table into before its texts are taken apart.
+SPREAD = "spark.glossa.textPartitions"
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table whose texts are about to be taken apart, spread over the cores if it is small."""
-    return spread_small(table(spark, sf_dir, name))
+    """A table whose texts are about to be taken apart.
+
+    It stays as the scan cuts it, unless the session sets ``SPREAD``: a file of one row group, such as a test table, is one
+    task otherwise.
+    """
+    rows, wanted = table(spark, sf_dir, name), spark.conf.get(SPREAD, None)
+    return rows if wanted is None else rows.repartition(int(wanted))
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:

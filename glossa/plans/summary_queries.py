@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 from ..operators import agreement, matching, models, ranks
 from ..operators import summaries as ops
+from .conformity_queries import _SCORES as _CONFORMITY
+from .conformity_queries import scored_vectors
 from .registry import query, rounded, table
 
 _CHARGED = "('PROMO', 'ECONOMY', 'SMALL')"
@@ -186,16 +188,16 @@ def adjudication(spark, sf):
 
 @query(
     "overcoding_verdict",
-    """with c as (select label, avg(embedding[1]) as m from embeddings group by 1),
+    f"""with {_CONFORMITY}, c as (select label, avg(conformity) as m from scored group by 1),
         e as (select e.label, count(distinct d.source) as k from embeddings e join documents d on d.doc_id = e.vec_id group by 1)
-       select label, case when m > 0 then 'confirmed' when k <= 18 then 'anomalous' else 'disconfirmed' end as verdict from c join e using (label)""",
+       select label, case when m > 0.5 then 'confirmed' when k <= 18 then 'anomalous' else 'disconfirmed' end as verdict from c join e using (label)""",
 )
 def overcoding_verdict(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    means = vectors.groupBy("label").agg(F.avg(F.col("embedding")[0]).alias("m"))
+    means = scored_vectors(spark, sf).groupBy("label").agg(F.avg("conformity").alias("m"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "source")
     spread = vectors.select("vec_id", "label").join(docs, "vec_id").groupBy("label").agg(F.count_distinct("source").alias("k"))
-    return means.join(spread, "label").select("label", ops.overcoding_verdict(F.col("m") > 0, F.col("k") > 18).alias("verdict"))
+    return means.join(spread, "label").select("label", ops.overcoding_verdict(F.col("m") > 0.5, F.col("k") > 18).alias("verdict"))
 
 
 # --- topics -----------------------------------------------------------------

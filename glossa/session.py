@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 _local_base: str | None = None
 
@@ -29,8 +29,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
     return spark
 
 
-# Runtime options the operators rely on: joins on a hot key are split, also where
-# that costs one more shuffle.
+# Runtime options that serve the operators best, for whoever makes the session: joins on a hot key are split, also
+# where that costs one more shuffle.
 ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -38,14 +38,6 @@ ADAPTIVE = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Set those options on a session that was made elsewhere."""
-    for key, value in ADAPTIVE.items():
-        if spark.conf.get(key, None) != value:
-            spark.conf.set(key, value)
-    return spark
-
-
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's ``spark.checkpoint.dir``.
 
@@ -61,22 +53,3 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             _local_base = tempfile.mkdtemp(prefix="glossa-")
         base = _local_base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a table smaller than one scan split over the session's cores.
-
-    Such a table is read by a single task, which then does all row-local work. A
-    larger one is cut into splits by the scan and is left alone.
-    """
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")):
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism)
-
-
-def _bytes(text: str) -> int:
-    digits = text.lower().rstrip("ib")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    return int(digits[:-1]) * units[digits[-1]] if digits[-1] in units else int(digits)

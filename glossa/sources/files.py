@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from ..functions.text import col, strip
 from ..operators.design import pending
 
-# Shortest paragraph kept, and paragraphs kept per page.
+# Length that a kept paragraph exceeds, and paragraphs kept per page, unless the caller says otherwise.
 MIN_PARAGRAPH, MAX_PARAGRAPHS = 80, 50
 
 _CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "comment": "#"}
@@ -138,15 +138,15 @@ def split_scores(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, parsed.filter("bad_reply").drop("bad_reply")
 
 
-def kept_paragraphs(text: str | Column) -> Column:
-    """Trimmed lines longer than the minimum, the first so many of them."""
+def kept_paragraphs(text: str | Column, minimum: int = MIN_PARAGRAPH, most: int = MAX_PARAGRAPHS) -> Column:
+    """Trimmed lines of more than ``minimum`` characters, the first ``most`` of them."""
     lines = F.transform(F.split(col(text), "\n"), strip)
-    return F.slice(F.filter(lines, lambda p: F.length(p) > MIN_PARAGRAPH), 1, MAX_PARAGRAPHS)
+    return F.slice(F.filter(lines, lambda p: F.length(p) > minimum), 1, most)
 
 
-def paragraphs(df: DataFrame, text: str, *keep: str) -> DataFrame:
+def paragraphs(df: DataFrame, text: str, *keep: str, minimum: int = MIN_PARAGRAPH, most: int = MAX_PARAGRAPHS) -> DataFrame:
     """One row per kept paragraph, numbered after filtering. Row-local: a page is its own group."""
-    return df.select(*keep, F.posexplode(kept_paragraphs(text)).alias("para_index", "paragraph"))
+    return df.select(*keep, F.posexplode(kept_paragraphs(text, minimum, most)).alias("para_index", "paragraph"))
 
 
 def stored_pages(df: DataFrame, reply: str, schema: str, *keep: str) -> DataFrame:
@@ -167,6 +167,3 @@ def page_measures(pages: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def rename_by(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(dict(names))
-

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from glossa import session
 from glossa.plans import experiments as ex
+from glossa.plans import registry
 from glossa.sources import files, schemas
 from glossa.streaming import calls as st
 
@@ -107,15 +108,14 @@ def test_shared_folder_comes_from_the_session(spark, tmp_path):
     assert session.shared_dir(spark, "x") != session.shared_dir(spark, "x")
 
 
-def test_only_small_tables_are_spread(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert "RoundRobin" in session.spread_small(docs)._jdf.queryExecution().executedPlan().toString()
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+def test_texts_are_dealt_out_on_request_only(spark, sf):
+    plan = lambda: registry.texts(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan()
+    spark.conf.set(registry.SPREAD, "3")
     try:
-        assert session.spread_small(docs) is docs
+        assert "RoundRobinPartitioning(3)" in plan()
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset(registry.SPREAD)
 
 
 # --- request tables ---------------------------------------------------------

@@ -1,5 +1,8 @@
+import math
+
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +72,12 @@ def test_normal_tail():
 
 def test_rows_helper_sorts_nulls_last(spark):
     assert rows(spark.createDataFrame([(None,), (1,)], "v int")) == [(1,), (None,)]
+
+
+def test_t_tail_has_one_form_for_all_degrees_of_freedom():
+    assert float(tails.t_two_sided(3.0, 1)) == pytest.approx(1 - 2 / math.pi * math.atan(3.0), rel=1e-13)
+    assert float(tails.t_two_sided(3.0, 2)) == pytest.approx(1 - 3 / math.sqrt(11), rel=1e-13)
+    assert float(tails.t_two_sided(1.5, 1e12)) == pytest.approx(tails.normal_two_sided(1.5), rel=1e-11)
+    around = tails.t_two_sided(0.01, np.array([990_000, 1_000_000, 1_000_001, 2_000_000]))
+    assert list(around) == sorted(around, reverse=True) and np.ptp(around) < 1e-8
+    assert np.isnan(tails.t_two_sided(np.array([math.nan, 1.0]), np.array([3.0, 0.0]))).all()
