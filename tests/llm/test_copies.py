@@ -1,0 +1,68 @@
+import random
+
+from glossa.llm import copies
+from glossa.llm.simhash import representatives
+
+
+def plain_representatives(rows):
+    """Kept ids of (id, text) by comparing every pair."""
+    sets = [set(copies.shingles(t).tolist()) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if not sets[i] and not sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * max(1, len(sets[i] | sets[j])):
+                up[root(i)] = root(j)
+    groups = {}
+    for i, (ident, _) in enumerate(rows):
+        groups.setdefault(root(i), []).append((ident is None, ident or 0))
+    return sorted(min(g) for g in groups.values())
+
+
+def ids(df):
+    return sorted((r.doc_id is None, r.doc_id or 0) for r in df.select("doc_id").collect())
+
+
+def family(seed):
+    """A text of 300 words, copies with one to four words changed, and one too different to be a copy."""
+    draw = random.Random(seed)
+    base = [f"w{seed}x{draw.randrange(10**6)}" for _ in range(300)]
+    out = [base]
+    for changed in (1, 2, 3, 4, 5, 60):
+        text = list(base)
+        for i in draw.sample(range(300), changed):
+            text[i] = f"other{seed}x{i}x{changed}"
+        out.append(text)
+    return [" ".join(t) for t in out]
+
+
+def test_copies_of_similarity_080_go_and_only_those(spark):
+    texts = [t for seed in range(30) for t in family(seed)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain_representatives(list(enumerate(texts)))
+    assert len(want) == 60
+    assert ids(copies.representatives(df)) == want
+    assert ids(representatives(df)) != want
+
+
+def test_copies_of_documents(docs, nasty, empty):
+    for df in (docs, nasty):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        got = copies.representatives(df)
+        assert got.columns == df.columns
+        assert ids(got) == plain_representatives(rows)
+    assert copies.representatives(empty).count() == 0
+
+
+def test_many_unlike_sets_under_one_key(spark):
+    texts = [t for seed in range(6) for t in family(seed)[:3]]
+    sets = [copies.shingles(t) for t in texts]
+    marks = spark.createDataFrame([(str(i), len(s), [0]) for i, s in enumerate(sets)], "mark string, n long, keys array<long>")
+    rows = spark.createDataFrame([(str(i), s.view(copies.np.int64).tolist()) for i, s in enumerate(sets)], "mark string, hashes array<long>")
+    found = copies.links(marks, rows)
+    assert found.count() == 12 and found.select("root").distinct().count() == 6
