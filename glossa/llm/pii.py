@@ -3,11 +3,12 @@
 Patterns find e-mail addresses, IP addresses, card and phone numbers. The values that recur are the protected entities.
 Corpus co-occurrence then says how strongly a term reveals an entity: PMI(entity; term), in units of the entity's own
 information, so 1 means that who sees the term knows the entity. Document counts are of distinct texts over the whole corpus;
-a term and an entity co-occur where the term stands within ``CONTEXT`` code points of the entity. Terms at or above
+a term and an entity co-occur in the texts that hold both, wherever they stand. Terms at or above
 ``GENERALISE`` are replaced by their kind in the texts that hold the entity, those at or above ``REMOVE`` are removed.
 
-Only built-in functions. Pairs are formed only around entities that enough texts hold (a rarer one cannot reach the
-support that a pair needs), so their number is linear in the text. Texts are never shuffled to be counted.
+Only built-in functions. Pairs are formed only of entities and terms that enough texts hold, and only of terms rare enough
+to reach ``GENERALISE``. Only texts that hold entities are taken apart for pairs. A term's texts are its rows less the
+repeated ones, which the texts with copies tell, so only those are moved to be counted.
 """
 
 from __future__ import annotations
@@ -29,8 +30,6 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 WORD = r"[\p{L}\p{N}]+"
-# Code points on either side of an entity in which a term co-occurs with it.
-CONTEXT = 100
 # Distinct texts in which an entity and a term must meet; disclosures from which a term is generalised and removed.
 SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.9
 
@@ -64,13 +63,9 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def context(text: Column, span: Column) -> Column:
-    """Lower-case words within ``CONTEXT`` code points of a span, without those that touch the far edge."""
-    left = F.substring(text, F.greatest(span["s"] - CONTEXT, F.lit(0)) + 1, F.least(span["s"], F.lit(CONTEXT)))
-    left = F.when(span["s"] > CONTEXT, F.regexp_replace(left, f"^{WORD}", "")).otherwise(left)
-    right = F.substring(text, span["e"] + 1, F.lit(CONTEXT))
-    right = F.when(F.length(text) > span["e"] + CONTEXT, F.regexp_replace(right, r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++$", "")).otherwise(right)
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", left, right)), F.lit(WORD), F.lit(0)))
+def words_of(text: Column) -> Column:
+    """Distinct lower-case words."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
 def disclosing_terms(texts: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
@@ -79,23 +74,33 @@ def disclosing_terms(texts: DataFrame, support: int = SUPPORT, least: float = GE
     ``texts`` has ``mark`` (hash of the text), ``text`` and ``base`` (array of spans). An entity that every text holds has no
     information to give away and no disclosing terms.
     """
-    around = F.transform("base", lambda x: F.struct(F.lower(x["v"]).alias("entity"), context(F.col("text"), x).alias("words")))
-    near = texts.where(F.size("base") > 0).select("mark", F.explode(around).alias("x")).select("mark", "x.entity", "x.words")
-    near = stored(near, "contexts")
-    held = near.groupBy("mark", "entity").agg(F.lit(1).alias("one"))
-    entities = held.groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= support)
-    pairs = near.join(entities, "entity").select("mark", "entity", "with_entity", F.explode("words").alias("term"))
-    meets = pairs.groupBy("entity", "with_entity", "term", "mark").agg(F.lit(1).alias("one"))
-    both = meets.groupBy("entity", "with_entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    entity = F.transform("base", lambda x: F.lower(x["v"]))
+    near = texts.where(F.size("base") > 0).select("mark", F.array_distinct(entity).alias("entities"), words_of(F.col("text")).alias("words"))
+    near = stored(near, "near")
+    held = near.select("mark", F.explode("entities").alias("entity")).groupBy("mark", "entity").agg(F.lit(1).alias("one"))
+    copies = stored(texts.groupBy("mark").agg(F.count("*").alias("n")), "copies")
+    total = copies.count()
+    entities = held.groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity").between(support, total - 1))
+    held = stored(held.join(entities, "entity").select("mark", "entity", "with_entity"), "held")
+    marks = held.select("mark").distinct()
+    words = near.select("mark", F.explode("words").alias("term")).join(marks, "mark", "left_semi").groupBy("mark", "term").agg(F.lit(1).alias("one"))
+    words = stored(words.select("mark", "term"), "words")
+    usable = stored(words.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("term"), "usable")
+
+    term = F.explode(words_of(F.col("text"))).alias("term")
+    rows = texts.select(term).groupBy("term").agg(F.count("*").alias("rows"))
+    again = texts.select("mark", "text").join(copies.where("n > 1"), "mark").groupBy("mark", "n").agg(F.first("text").alias("text"))
+    again = again.select("n", term).groupBy("term").agg(F.sum(F.col("n") - 1).alias("again"))
+    terms = usable.join(rows, "term").join(again, "term", "left").select("term", (F.col("rows") - F.coalesce("again", F.lit(0))).alias("with_term"))
+    terms = stored(terms, "terms")
+    # both * total / (with_entity * with_term) must reach this; rounding may not rule out a pair.
+    needed = F.pow(F.lit(float(total)) / F.col("with_entity"), F.lit(least)) * (1 - 1e-9)
+    pairs = words.join(terms, "term").join(held, "mark").where(F.col("with_term") * needed <= float(total))
+    both = pairs.groupBy("entity", "with_entity", "term", "with_term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
     both = stored(both, "meetings")
-    words = texts.select("mark", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    wanted = words.join(both.select("term").distinct(), "term", "left_semi")
-    with_term = wanted.groupBy("term", "mark").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("with_term"))
-    total = texts.groupBy("mark").agg(F.lit(1).alias("one")).agg(F.count("*").alias("n"))
-    total = total.first()["n"]
     own = F.log2(F.lit(float(total)) / F.col("with_entity"))
     pmi = F.log2(F.col("both") * float(total) / (F.col("with_entity") * F.col("with_term")))
-    scored = both.join(with_term, "term").where(F.col("with_entity") < total).withColumn("disclosure", pmi / own)
+    scored = both.withColumn("disclosure", pmi / own)
     return scored.where(F.col("disclosure") >= least).select("entity", "term", "disclosure"), held.select("mark", "entity")
 
 
