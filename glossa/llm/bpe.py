@@ -1,9 +1,7 @@
 """Byte-pair encoding with a segment tree over the ranks of adjacent pairs, and its decoding.
 
-A pre-token is a row of symbols. Leaf ``i`` of the tree holds the rank of the pair that symbol ``i`` forms with its right
-neighbour, together with ``i``, so the root is the leftmost pair of the lowest rank. A merge changes at most three leaves;
-each change walks from its leaf to the root. A pre-token of n symbols therefore costs O(n log n), also where one
-pre-token is a whole text.
+A pre-token is a row of byte symbols. The root of its tree is the leftmost pair of the lowest rank (``merges``); pairs merge until
+none is left. The pre-tokens of a slice of texts that are not yet known are merged together, each once.
 
 Encoding is row-local: no shuffle, and memory is bounded by one Arrow batch and a word memo of fixed size.
 """
@@ -12,7 +10,8 @@ from __future__ import annotations
 
 import itertools
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
+from .merges import Merges
 
 # Fixed value: the public pre-token pattern of the byte-level vocabulary.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Pre-tokens that a worker remembers; the memo is emptied when full, which changes no result.
-MEMO = 1 << 18
+ANY = regex.compile(PRETOKEN).findall
+# The same language on ASCII, where letters and digits are ranges.
+ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
+# Pre-tokens that a worker remembers; of more the older half goes, which changes no result.
+MEMO = 1 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -36,103 +39,64 @@ def byte_letters() -> dict[int, str]:
     return letters | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class PairTree:
-    """Segment tree of the pair ranks in one row of symbols."""
-
-    def __init__(self, symbols: list[int], pairs: dict[int, tuple[int, int]]):
-        n = len(symbols)
-        self.symbols, self.pairs = symbols, pairs
-        self.right = [*range(1, n), -1]
-        self.left = [*range(-1, n - 1)]
-        self.base = base = 1 << max(0, n - 1).bit_length()
-        self.none = none = base << 40
-        self.tree = tree = [none] * (2 * base)
-        for i in range(n - 1):
-            tree[base + i] = self._leaf(i)
-        for node in range(base - 1, 0, -1):
-            tree[node] = min(tree[2 * node], tree[2 * node + 1])
-
-    def _leaf(self, i: int) -> int:
-        j = self.right[i]
-        found = self.pairs.get(self.symbols[i] << 32 | self.symbols[j]) if j >= 0 else None
-        return self.none if found is None else found[0] * self.base + i
-
-    def _set(self, i: int, value: int) -> None:
-        tree, node = self.tree, self.base + i
-        tree[node] = value
-        while node > 1:
-            node >>= 1
-            least = min(tree[2 * node], tree[2 * node + 1])
-            if tree[node] == least:
-                return
-            tree[node] = least
-
-    def merge(self) -> list[int]:
-        symbols, right, left = self.symbols, self.right, self.left
-        while (root := self.tree[1]) < self.none:
-            i = root % self.base
-            j = right[i]
-            symbols[i] = self.pairs[symbols[i] << 32 | symbols[j]][1]
-            right[i] = after = right[j]
-            if after >= 0:
-                left[after] = i
-            self._set(j, self.none)
-            self._set(i, self._leaf(i))
-            if left[i] >= 0:
-                self._set(left[i], self._leaf(left[i]))
-        out, i = [], 0
-        while i >= 0:
-            out.append(symbols[i])
-            i = right[i]
-        return out
-
-
-class Codec(dict):
-    """Encoder and decoder of one vocabulary. As a dict it maps a pre-token to its packed ids."""
+class Codec:
+    """Encoder and decoder of one vocabulary; ``memo`` maps a pre-token to its packed ids."""
 
     def __init__(self, spec: dict):
-        super().__init__()
+        self.memo: dict[str, bytes] = {}
         letters = byte_letters()
         raw = {c: b for b, c in letters.items()}
         vocab = spec["vocab"]
-        self.first = [vocab[letters[b]] for b in range(256)]
-        self.pairs = {}
+        self.first = np.array([vocab[letters[b]] for b in range(256)], np.int64)
+        pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(spec["merges"]):
-            self.pairs.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
+            pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        self.merges = Merges(pairs)
         self.added = dict(spec["added"])
         named = {i: bytes(raw[c] for c in token) for token, i in vocab.items()}
         named |= {i: token.encode() for token, i in self.added.items()}
         self.pieces = pa.array([named.get(i, b"") for i in range(max(named) + 1)], pa.large_binary())
-        self.find = regex.compile(PRETOKEN).findall
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if self.added else None
+        self.ids = {token: np.int32(i).tobytes() for token, i in self.added.items()}
 
-    def __missing__(self, token: str) -> bytes:
-        data = token.encode()
-        ids = PairTree([self.first[b] for b in data], self.pairs).merge()
-        packed = np.array(ids, np.int32).tobytes()
-        if len(self) >= MEMO:
-            self.clear()
-        if len(token) <= 64:
-            self[token] = packed
-        return packed
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text, packed as 32-bit integers."""
-        look = self.__getitem__
+    def pretokens(self, text: str) -> list[str]:
+        """Pre-tokens of a text; added tokens stand for themselves."""
+        find = ASCII if text.isascii() else ANY
         if self.cut is None or not any(t in text for t in self.added):
-            return b"".join(map(look, self.find(text)))
-        parts = (
-            np.int32(self.added[part]).tobytes() if part in self.added else b"".join(map(look, self.find(part)))
-            for part in self.cut(text)
-        )
-        return b"".join(parts)
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of a row of ids: the taken pieces lie side by side."""
+            return find(text)
+        return [x for i, part in enumerate(self.cut(text)) for x in ([part] if i % 2 else find(part))]
+
+    def learn(self, tokens: Iterable[str]) -> None:
+        """Add the ids of pre-tokens, all merged together."""
+        new = [t for t in tokens if t not in self.ids]
+        self.memo.update((t, self.ids[t]) for t in tokens if t in self.ids)
+        if not new:
+            return
+        data = list(map(str.encode, new))
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        flat, sizes = self.merges.merge(self.first[np.frombuffer(b"".join(data), np.uint8)], sizes)
+        packed, ends = flat.astype(np.int32).tobytes(), 4 * np.cumsum(sizes)
+        self.memo.update(zip(new, (packed[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist()))))
+
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of each text, packed as 32-bit integers. Pre-tokens that are new are merged together, each once."""
+        memo = self.memo
+        if len(memo) > MEMO:
+            for token in list(itertools.islice(memo, len(memo) - MEMO // 2)):
+                del memo[token]
+        found = list(map(self.pretokens, texts))
+        self.learn(set().union(*found).difference(memo))
+        return [b"".join(map(memo.__getitem__, tokens)) for tokens in found]
+
+    def decode(self, ids: np.ndarray, offsets: Sequence[int]) -> list[bytes]:
+        """Bytes of rows of ids that lie one after another: the taken pieces lie side by side, and one take serves all rows."""
+        if not len(ids):
+            return [b""] * (len(offsets) - 1)
         taken = self.pieces.take(pa.array(ids))
-        offsets = np.frombuffer(taken.buffers()[1], np.int64)
-        return taken.buffers()[2].to_pybytes()[offsets[0] : offsets[len(ids)]] if len(ids) else b""
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(ids) + 1]
+        data = taken.buffers()[2].to_pybytes()
+        return [data[a:b] for a, b in itertools.pairwise(ends[np.asarray(offsets)].tolist())]
 
 
 _codecs: dict[str, Codec] = {}
@@ -167,11 +131,11 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(spec.value)
         for part in slices(batches):
-            packed = [codec.encode(t) for t in part.column(1).to_pylist()]
+            packed = codec.encode(part.column(1).to_pylist())
             offsets = [0, *itertools.accumulate(len(p) // 4 for p in packed)]
             flat = np.frombuffer(b"".join(packed), np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            texts = [codec.decode(flat[a:b]).decode("utf-8", "replace") for a, b in itertools.pairwise(offsets)]
+            texts = [data.decode("utf-8", "replace") for data in codec.decode(flat, offsets)]
             yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(texts, pa.string())], [key, "ids", "decoded"])
 
     kind = dict(rows.dtypes)[key]

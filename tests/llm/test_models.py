@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glossa.llm import ann, bpe, langid, mixing, simhash, urls, warc
+from glossa.llm import ann, bpe, langid, merges, mixing, simhash, urls, warc
 from glossa.llm.queries import URL_RULES, vocabulary
 
 
@@ -124,18 +124,51 @@ def test_bpe_digests(docs):
     assert row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
-def test_pair_tree_takes_leftmost_lowest():
-    pairs = {1 << 32 | 1: (5, 2), 2 << 32 | 2: (1, 3), 2 << 32 | 1: (0, 4)}
-    assert bpe.PairTree([1, 1, 1], pairs).merge() == [4]
-    assert bpe.PairTree([1] * 4, pairs).merge() == [4, 1]
-    assert bpe.PairTree([7], pairs).merge() == [7]
+def plain_merges(symbols, pairs):
+    symbols = list(symbols)
+    while True:
+        found = [(pairs[p][0], i) for i, p in enumerate(zip(symbols, symbols[1:])) if p in pairs]
+        if not found:
+            return symbols
+        rank, i = min(found)
+        symbols[i : i + 2] = [pairs[symbols[i], symbols[i + 1]][1]]
+
+
+def test_merges_take_leftmost_lowest():
+    """Rows of every length beside one another, against merging one pair at a time."""
+    random = np.random.default_rng(5)
+    pairs = {(1, 1): (5, 2), (2, 2): (1, 3), (2, 1): (0, 4)}
+    drawn = {(int(a), int(b)): (int(r), int(c)) for a, b, r, c in zip(*random.integers(0, 12, (2, 60)), random.permutation(60) + 6, random.integers(0, 12, 60))}
+    for table in (pairs, drawn, {}):
+        rows = [random.integers(0, 12, n).tolist() for n in [*range(1, 70), 1, 300, 1000]] + [[1, 1, 1], [1] * 4, [7], [1] * 33]
+        flat, sizes = merges.Merges(table).merge(np.concatenate(rows), np.array(list(map(len, rows))))
+        ends = np.cumsum(sizes)
+        assert [flat[e - n : e].tolist() for e, n in zip(ends, sizes)] == [plain_merges(r, table) for r in rows]
+
+
+def test_small_memo(docs, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 100)
+    codec, lib = bpe.Codec(bpe.load(vocabulary())), Tokenizer.from_file(vocabulary())
+    texts = [r.text or "" for r in docs.collect()]
+    for start in range(0, len(texts), 20):
+        part = texts[start : start + 20]
+        got = [np.frombuffer(x, np.int32).tolist() for x in codec.encode(part)]
+        assert got == [lib.encode(x, add_special_tokens=False).ids for x in part]
+
+
+def test_pretokens_of_ascii():
+    """The two spellings of the pattern cut alike: each pair of characters, among letters and blanks."""
+    for a in map(chr, range(128)):
+        for b in map(chr, range(128)):
+            for text in (a + b, f"x{a}{b}1", f" {a}{b} "):
+                assert bpe.ASCII(text) == bpe.ANY(text)
 
 
 def test_invalid_ids_decode_with_replacement():
     codec = bpe.Codec(bpe.load(vocabulary()))
     lib = Tokenizer.from_file(vocabulary())
     ids = lib.encode("é汉", add_special_tokens=False).ids[1:]
-    assert codec.decode(np.array(ids, np.int32)).decode("utf-8", "replace") == lib.decode(ids, skip_special_tokens=False)
+    assert codec.decode(np.array(ids, np.int32), [0, len(ids)])[0].decode("utf-8", "replace") == lib.decode(ids, skip_special_tokens=False)
 
 
 def test_language(docs, nasty, empty):
