@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,29 +29,36 @@ SEQUENCE = 40
 LEXICON, LEXICON_DOCS = 2000, 3
 # Words that one step of forward-backward takes together.
 BLOCK = 64
-# Words whose scores a worker remembers; the memo is emptied when full.
-MEMO = 1 << 18
-# Characters of a word that its features look at from either end; longer words have no n-grams between.
-EDGE = 24
+# Characters of the texts that are predicted together.
+CHARS = 1 << 20
+# Words whose scores a worker remembers, and their longest; the memo is emptied when full.
+MEMO, LONGEST = 1 << 20, 64
 
-WORDS = re.compile(r"[^\W\d_]+").findall
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+ASCII = re.compile(r"[A-Za-z]+").findall
+
+
+def words_of(text: str | None) -> list[str]:
+    """Lower-case words of a text: runs of letters with their marks. Numerals are no letters."""
+    if not text:
+        return []
+    return ASCII(text.lower()) if text.isascii() else list(map(str.lower, LETTERS(text)))
 
 
 def features(word: str) -> list[str]:
-    """Names of a word's affix and n-gram features."""
-    if len(word) > 2 * EDGE:
-        return [*features(word[:EDGE]), *features(word[-EDGE:])]
+    """Names of a word's affix and n-gram features; every character of a word counts, however long it is."""
     w = f"^{word}$"
     grams = [w[i : i + 3] for i in range(len(w) - 2)]
     return [*grams, *word, "p" + word[:2], "q" + word[:3], "s" + word[-2:], "t" + word[-3:], "u" + word[-4:]]
 
 
-class Field(dict):
-    """A fitted field. As a dict it maps a lower-case word to its emission scores."""
+class Field:
+    """A fitted field; ``memo`` maps a lower-case word to its row in ``scores``, the emission scores."""
 
     def __init__(self, languages: list[str], names: dict[str, int], weights: np.ndarray, moves: np.ndarray, lexicon: dict[str, int]):
-        super().__init__()
         self.languages, self.names, self.weights, self.moves, self.lexicon = languages, names, weights, moves, lexicon
+        self.memo: dict[str, int] = {}
+        self.scores = np.zeros((0, len(languages)), np.float32)
 
     def __reduce__(self):
         return Field, (self.languages, self.names, self.weights, self.moves, self.lexicon)
@@ -61,24 +69,40 @@ class Field(dict):
             found.append(self.names[f"lexicon {self.lexicon[word]}"])
         return found
 
-    def __missing__(self, word: str) -> np.ndarray:
-        score = self.weights[self.rows(word)].sum(0)
-        if len(self) >= MEMO:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = score
-        return score
+    def learn(self, words: list[str]) -> None:
+        """Score words that are not yet known, all at once."""
+        rows = [self.rows(w) for w in words]
+        # Each word also takes the last weight, which is zero, so that none has no feature.
+        flat = np.fromiter((i for row in rows for i in (*row, len(self.weights))), np.int64)
+        starts = np.cumsum([0, *(len(row) + 1 for row in rows[:-1])])
+        padded = np.vstack([self.weights, np.zeros_like(self.weights[:1])])
+        first = len(self.memo)
+        fresh = np.add.reduceat(padded[flat], starts, axis=0)
+        if first + len(words) > len(self.scores):
+            self.scores = np.vstack([self.scores[:first], np.zeros((first + 2 * len(words) + 1024, len(self.languages)), np.float32)])
+        self.scores[first : first + len(words)] = fresh
+        self.memo.update(zip(words, range(first, first + len(words))))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str | None, float]]:
         """Language and score of each text; ``(None, 0.0)`` for a text without letters."""
-        found = [list(map(str.lower, WORDS(t or ""))) for t in texts]
+        found = list(map(words_of, texts))
         out: list[tuple[str | None, float]] = [(None, 0.0)] * len(texts)
         some = [i for i, words in enumerate(found) if words]
         if not some:
             return out
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        new = sorted(set().union(*found).difference(self.memo), key=len)
+        if new:
+            self.learn(new)
         sizes = np.array([len(found[i]) for i in some])
-        scores = np.array([self[w] for i in some for w in found[i]])
-        sums = marginal_sums(scores, self.moves, sizes)
+        at = np.fromiter((r for i in some for r in map(self.memo.__getitem__, found[i])), np.int64, int(sizes.sum()))
+        sums = marginal_sums(self.scores[at], self.moves, sizes)
+        # Long words are the newest and the last ones of them; their rows are free again.
+        for word in reversed(new):
+            if len(word) <= LONGEST:
+                break
+            del self.memo[word]
         share = sums / sizes[:, None]
         best = share.argmax(1)
         for i, k, row in zip(some, best.tolist(), share):
@@ -179,7 +203,7 @@ def train(rows: list[tuple[str, str]], rounds: int = 6, rate: float = 0.3, decay
     language switches. The result depends on the set of rows only, not their order. Without rows there is no language.
     """
     random = np.random.default_rng(seed)
-    texts = [(list(map(str.lower, WORDS(t))), lang) for t, lang in sorted(set(rows))]
+    texts = [(words_of(t), lang) for t, lang in sorted(set(rows))]
     texts = [(words, lang) for words, lang in texts if words]
     languages = sorted({lang for _, lang in texts})
     if not texts:
@@ -268,6 +292,20 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return train([(r[0], r[1]) for r in sample.collect()])
 
 
+def portions(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts that are predicted together: up to ``CHARS`` characters, or one text that has more."""
+    part, held = [], 0
+    for text in texts:
+        size = len(text or "")
+        if part and held + size > CHARS:
+            yield part
+            part, held = [], 0
+        part.append(text)
+        held += size
+    if part:
+        yield part
+
+
 def identify(docs: DataFrame, field: Field, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """All columns of ``docs`` with a predicted language and score of each whole text, row by row.
 
@@ -282,10 +320,10 @@ def identify(docs: DataFrame, field: Field, text: str = "text", lang: str = "lan
         for texts in batches:
             out = []
             values = texts.tolist()
-            for start in range(0, len(values), 64):
-                part = values[start : start + 64]
+            for part in portions(values):
                 out += model.predict(part) if model.languages else [(None, 0.0)] * len(part)
             yield pd.DataFrame({"lang": [x or "und" for x, _ in out], "score": [s for _, s in out]})
 
-    found = docs.withColumn("_named", named(F.col(text)))
-    return found.withColumn(lang, F.col("_named.lang")).withColumn(score, F.col("_named.score")).drop("_named")
+    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), named(F.col(f"`{text}`")).alias("named"))
+    rows = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in (lang, score)]
+    return told.select(*rows, F.col("named.lang").alias(lang), F.col("named.score").alias(score))

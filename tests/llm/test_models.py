@@ -187,6 +187,24 @@ def test_language(docs, nasty, empty):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_letters_and_long_words(docs, spark, monkeypatch):
+    """Numerals are no letters, marks belong to their word, and the middle of a long word counts."""
+    assert langid.words_of("\u00bd \u00b2\u2167 12_3") == [] and langid.words_of("\u0939\u093f\u0928\u094d\u0926\u0940 \u00c9t\u00e9, e\u0301t\u00e92x") == ["\u0939\u093f\u0928\u094d\u0926\u0940", "\u00e9t\u00e9", "e\u0301t\u00e9", "x"]
+    assert set(langid.features("a" * 60 + "xyz" + "a" * 60)) - set(langid.features("a" * 123))
+    field = langid.fit(docs)
+    told = field.predict(["\u00bd \u00b2", "\u2167", None, "", "12", "the" * 4000, "und " * 40 + "the " * 41])
+    assert [x for x, _ in told[:5]] == [None] * 5 and told[5][0] == "en" and told[6][0] is not None
+    texts = [r.text for r in docs.collect()]
+    whole = field.predict(texts)
+    monkeypatch.setattr(langid, "MEMO", 50)
+    again = [x for i in range(0, len(texts), 9) for x in field.predict(texts[i : i + 9])]
+    assert [a for a, _ in whole] == [a for a, _ in again] and np.allclose([a for _, a in whole], [a for _, a in again])
+    assert all(len(w) <= langid.LONGEST for w in field.memo)
+    clash = docs.limit(5).selectExpr("doc_id", "text", "1 as row", "2 as named", "3 as `_named`", "'x' as score")
+    found = langid.identify(clash, field)
+    assert found.columns == ["doc_id", "text", "row", "named", "_named", "lang_pred", "score"] and found.first()["_named"] == 3
+
+
 def test_marginals_are_exact(monkeypatch):
     """Blocked forward-backward against the sum over all labellings."""
     import itertools
@@ -214,7 +232,7 @@ def test_code_switching(docs):
     field = langid.fit(docs)
     one = {r.lang: r.text.split()[:200] for r in docs.where("n_chars > 3000").collect()}
     a, b = sorted(one)[:2]
-    words = [w.lower() for w in langid.WORDS(" ".join(one[a] + one[b]))]
+    words = langid.words_of(" ".join(one[a] + one[b]))
     scores = np.array([field[w] for w in words])
     share = langid.marginal_sums(scores, field.moves, np.array([len(words)]))[0] / len(words)
     assert share[field.languages.index(a)] > 0.3 and share[field.languages.index(b)] > 0.3
