@@ -68,14 +68,16 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
-def disclosing_terms(texts: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
+def disclosing_terms(held: DataFrame, free: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
     """(entity, term, disclosure) of the terms that reveal an entity, and (mark, entity) of the entities' texts.
 
-    ``texts`` has ``mark`` (hash of the text), ``text`` and ``base`` (array of spans). An entity that every text holds has no
+    ``held`` has ``mark`` (hash of the text), ``text`` and ``base`` (array of spans, not empty); ``free`` has mark and text of
+    the texts without entities. An entity that every text holds has no
     information to give away and no disclosing terms.
     """
     entity = F.transform("base", lambda x: F.lower(x["v"]))
-    near = texts.where(F.size("base") > 0).select("mark", F.array_distinct(entity).alias("entities"), words_of(F.col("text")).alias("words"))
+    texts = held.select("mark", "text").union(free)
+    near = held.select("mark", F.array_distinct(entity).alias("entities"), words_of(F.col("text")).alias("words"))
     near = stored(near, "near")
     held = near.select("mark", F.explode("entities").alias("entity")).groupBy("mark", "entity").agg(F.lit(1).alias("one"))
     copies = stored(texts.groupBy("mark").agg(F.count("*").alias("n")), "copies")
@@ -89,7 +91,8 @@ def disclosing_terms(texts: DataFrame, support: int = SUPPORT, least: float = GE
 
     term = F.explode(words_of(F.col("text"))).alias("term")
     rows = texts.select(term).groupBy("term").agg(F.count("*").alias("rows"))
-    again = texts.select("mark", "text").join(copies.where("n > 1"), "mark").groupBy("mark", "n").agg(F.first("text").alias("text"))
+    # A table of its own: without copies it is small, and no text is moved to meet it.
+    again = texts.select("mark", "text").join(stored(copies.where("n > 1"), "again"), "mark").groupBy("mark", "n").agg(F.first("text").alias("text"))
     again = again.select("n", term).groupBy("term").agg(F.sum(F.col("n") - 1).alias("again"))
     terms = usable.join(rows, "term").join(again, "term", "left").select("term", (F.col("rows") - F.coalesce("again", F.lit(0))).alias("with_term"))
     terms = stored(terms, "terms")
@@ -115,21 +118,25 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, genera
     rows = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = base_spans(F.col("text"))
     rows = rows.select("*", F.xxhash64("text").alias("mark"), F.concat(*[named(k, i, spans[k]) for i, k in enumerate(KINDS)]).alias("base"))
-    terms, held = disclosing_terms(rows.select("mark", "text", "base"), support, generalise)
+    # Only texts with entities can hold disclosing terms; the others are never moved.
+    free = rows.where(F.size("base") == 0)
+    rows = stored(rows.where(F.size("base") > 0), "entities")
+    terms, held = disclosing_terms(rows.select("mark", "text", "base"), free.select("mark", "text"), support, generalise)
     told = held.join(terms, "entity").groupBy("mark", "term").agg(F.max("disclosure").alias("disclosure"))
     told = told.groupBy("mark").agg(F.collect_list(F.struct("term", "disclosure")).alias("terms"))
     rows = rows.join(told, "mark", "left").withColumn("names", F.transform("terms", lambda x: x["term"]))
     hits = found(F.col("text"), WORD, lambda v: F.array_contains("names", F.lower(v)))
     hits = F.when(F.col("names").isNull(), none()).otherwise(hits).cast(SPAN)
-    free = F.filter(hits, lambda x: ~F.exists("base", lambda b: (x["s"] < b["e"]) & (x["e"] > b["s"])))
-    rows = rows.withColumn("spans", F.concat("base", named(TERM, len(KINDS), free)))
+    clear = F.filter(hits, lambda x: ~F.exists("base", lambda b: (x["s"] < b["e"]) & (x["e"] > b["s"])))
+    rows = rows.withColumn("spans", F.concat("base", named(TERM, len(KINDS), clear)))
 
     def shown(x: Column) -> Column:
         strength = F.filter("terms", lambda t: t["term"] == F.lower(x["v"]))[0]["disclosure"]
         kind = F.when(x["v"].rlike(r"\p{N}"), "<number>").when(x["v"].rlike(r"^\p{Lu}"), "<name>").otherwise("<word>")
         return F.when(x["kind"] != TERM, F.concat(F.lit("<"), x["kind"], F.lit(">"))).when(strength >= remove, "").otherwise(kind)
 
-    return rows.select("row", "text", "base", "spans", replaced(F.col("text"), F.array_sort("spans"), shown).alias("clean_text"))
+    told = rows.select("row", "text", "base", "spans", replaced(F.col("text"), F.array_sort("spans"), shown).alias("clean_text"))
+    return told.union(free.select("row", "text", "base", F.col("base").alias("spans"), F.col("text").alias("clean_text")))
 
 
 def digest(rows: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -237,17 +237,22 @@ def hex_mark(c: str | Column) -> Column:
 def representatives(docs: DataFrame, reach: int = 4, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest key (then fingerprint), once.
 
-    Null keys come last. Of rows that share key and fingerprint one stays.
+    Null keys come last. Of rows that share key and fingerprint one stays. Fingerprints and keys decide; whole rows are moved once, to
+    meet the kept keys. Only rows that share a key are fingerprinted again, to tell them apart.
     """
-    columns = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    marked = stored(with_fingerprint(packed, "text", width).select("row", "key", "fp"), "marked")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    packed = docs.select(F.struct(*columns).alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    marked = stored(with_fingerprint(packed.select("key", "text"), "text", width).select("key", "fp"), "marked")
     order = F.struct(F.col("key").isNull().alias("late"), F.col("key"), F.col("fp"))
     marks = stored(marked.groupBy("fp").agg(F.min(order).alias("least")), "marks")
     roots = components(links(marks, reach))
     rooted = marks.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("least", F.coalesce("root", "fp").alias("root"))
-    firsts = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.late", "least.key", "least.fp"), "firsts")
-    asked = marked.withColumn("late", F.col("key").isNull()).withColumn("key_", F.coalesce(F.col("key").cast("string"), F.lit("")))
-    firsts = firsts.select("late", "fp", F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key_"))
-    kept = asked.join(firsts, ["late", "key_", "fp"], "left_semi")
-    return kept.groupBy("late", "key_", "fp").agg(F.first("row").alias("row")).select("row.*")
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("one"), F.col("least.fp").alias("mark"))
+    counts = marked.groupBy("key").agg(F.count("*").alias("n"))
+    firsts = stored(firsts.join(counts, F.col("one").eqNullSafe(F.col("key"))).select("one", "mark", "n"), "firsts")
+    alone, shared = firsts.where("n = 1").select("one"), firsts.where("n > 1")
+    kept = packed.join(alone, F.col("key").eqNullSafe(F.col("one")), "left_semi").select("row")
+    again = packed.join(stored(shared.select("one").distinct(), "shared"), F.col("key").eqNullSafe(F.col("one")), "left_semi")
+    again = with_fingerprint(again, "text", width).join(shared, F.col("key").eqNullSafe(F.col("one")) & (F.col("fp") == F.col("mark")), "left_semi")
+    again = again.groupBy("key", "fp").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.union(again.select("row")).select("row.*")
