@@ -9,24 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import bpe, copies, langid, mixing, pii
+from glossa.llm import bpe, langid, mixing, pii, simhash
 from glossa.llm.common import stored, table
 from glossa.llm.queries import vocabulary
 
-# Mean marginal that a document's language needs; an even split between three languages has less.
-LEAST_SCORE = 0.4
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are written in a language. The field learns from this stage's own labelled input."""
-    found = langid.identify(docs, langid.fit(docs), lang="_lang", score="_score")
-    return found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).drop("_lang", "_score")
+    """Documents that are written in a language, mixed ones too. The field learns from this stage's own labelled input."""
+    told = "lang_pred"
+    while told in docs.columns:
+        told += "_"
+    found = langid.identify(docs, langid.fit(docs), lang=told, score=f"{told}score")
+    return found.where(F.col(told) != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): that with the smallest id, once."""
-    return copies.representatives(docs)
+    """One document of each group of linked fingerprints (four-word shingles, four bits): that with the smallest id, once."""
+    return simhash.representatives(docs)
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +53,7 @@ STAGES = [
     ("mixture", mixed),
     ("tokens", encoded),
 ]
-# Fitting, star contraction and encoding are not SQL; tests compare the rows with a brute-force pipeline.
+# Fitting, star contraction and encoding are not SQL; tests/llm/test_pipeline.py compares the rows with a brute-force pipeline.
 ORACLE_SQL = None
 
 
