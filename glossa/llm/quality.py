@@ -2,10 +2,10 @@
 
 Lines are normalised and hashed; the distinct documents that hold a line are counted per host. Lines of more than ``limit``
 documents are removed, and a document that keeps less than ``least_left`` of its line characters is depleted. Exact
-copies count as one document, so that a text is not removed for having copies (that is deduplication's task).
+copies count as the documents they are.
 
-Only built-in functions. Counting combines before its shuffle and shuffles hashes, never texts; a line that a third of a
-host's documents hold is spread by document first.
+Only built-in functions. Counting combines before its shuffle and shuffles hashes, never texts: the copies of a text are one row
+with their number, and a line's documents are the sum of those.
 """
 
 from __future__ import annotations
@@ -77,13 +77,17 @@ def marked_lines(text: Column) -> Column:
 def frequent_lines(rows: DataFrame, limit: int = LINE_DOCS) -> DataFrame:
     """``host, mark, removed, lines`` of every text (by its hash) that holds lines of more than ``limit`` documents.
 
-    ``rows`` has ``host`` and ``text``. ``removed`` is in characters of the text's distinct lines; ``lines`` are the marks, at most as
+    ``rows`` has ``host`` and ``text``; each row is a document, repeated rows too. ``removed`` is in characters of the text's distinct lines; ``lines`` are the marks, at most as
     many as the text has lines.
     """
-    cut = rows.select("host", F.xxhash64("text").alias("mark"), F.explode(marked_lines(F.col("text"))).alias("x"))
+    marked = rows.select("host", F.xxhash64("text").alias("mark"), F.array_sort(marked_lines(F.col("text"))).alias("m"))
+    # Of the lines of one text with one mark the longest stands for all, so that a row counts once.
+    last = lambda x, i: ~F.coalesce(F.get("m", i + 1)["line"] == x["line"], F.lit(False))
+    cut = marked.select("host", "mark", F.explode(F.filter("m", last)).alias("x"))
     # Copies of a text collapse here, before anything is joined.
-    lines = stored(cut.groupBy("host", "mark", F.col("x.line").alias("line")).agg(F.max("x.chars").alias("chars")), "lines")
-    shared = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > limit)
+    lines = cut.groupBy("host", "mark", F.col("x.line").alias("line")).agg(F.max("x.chars").alias("chars"), F.count("*").alias("copies"))
+    lines = stored(lines, "lines")
+    shared = lines.groupBy("host", "line").agg(F.sum("copies").alias("docs")).where(F.col("docs") > limit)
     hits = lines.join(shared, ["host", "line"])
     return hits.groupBy("host", "mark").agg(F.sum("chars").alias("removed"), F.collect_set("line").alias("lines"))
 

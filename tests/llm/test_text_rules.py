@@ -40,10 +40,10 @@ def line_key(line):
 def judged(rows, limit, least_left):
     """(doc_id, text, host) rows with counts and verdicts."""
     holders = defaultdict(set)
-    for _, text, host in rows:
+    for place, (_, text, host) in enumerate(rows):
         for line in (text or "").split("\n"):
             if WORD.search(line):
-                holders[host, line_key(line)].add(text or "")
+                holders[host, line_key(line)].add(place)
     out = []
     for ident, text, host in rows:
         counts = base_counts(text)
@@ -78,9 +78,13 @@ def test_clean_text(spark):
     assert got[2][1] < 0.6
 
 
-def test_copies_are_one_document(spark):
-    df = spark.createDataFrame([(i, "w " * 60, "h") for i in range(30)], "doc_id long, text string, source string")
-    assert {r.left_share for r in quality.quality(df, limit=1).collect()} == {1.0}
+def test_copies_are_documents(spark):
+    """Copies count as often as they are, but a line that a text repeats counts once."""
+    rows = [(i, "w " * 60, "h") for i in range(30)] + [(99, "\n".join(["v " * 60, "v 1 " * 60, "v 22 " * 60] * 20), "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    told = lambda limit: {r.row.doc_id: r.left_share for r in quality.quality(df, limit=limit).collect()}
+    assert set(told(30).values()) == {1.0}
+    assert {k for k, v in told(29).items() if v == 0.0} == set(range(30)) and told(1)[99] == 1.0
 
 
 def luhn(v):
