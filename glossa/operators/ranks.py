@@ -130,6 +130,44 @@ def box_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
+# Values that are drawn to cut an order into buckets, on average.
+CUTS = 1024
+
+
+def running_totals(counts: DataFrame, order: str, n: str = "n") -> DataFrame:
+    """Add ``before``, the sum of ``n`` over the rows whose ``order`` is smaller; ``order`` is distinct and of any type with an order.
+
+    A prefix sum without a window over the whole table: values drawn by their hash, about ``CUTS`` of them, cut the order into
+    buckets; each bucket adds up its own rows, and the buckets' totals, one array of bounded size, carry the sums over. The null
+    value comes first. How the draw falls changes how even the buckets are, never the sums.
+    """
+    value = F.col(f"`{order}`")
+    rows = counts.agg(F.count(F.lit(1))).scalar()
+    drawn = counts.where(F.pmod(F.xxhash64(value), F.greatest(F.lit(1), F.floor(rows / CUTS))) == 0)
+    cuts = drawn.agg(F.array_sort(F.collect_set(value))).scalar()
+    placed = counts.withColumn("_cuts", cuts).withColumn("_bucket", _below("_cuts", order)).drop("_cuts")
+    inside = Window.partitionBy("_bucket").orderBy(F.asc_nulls_first(value)).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_bucket").agg(F.sum(n).alias("_sum"))
+    carried = sums.agg(F.array_sort(F.collect_list(F.struct("_bucket", "_sum")))).scalar()
+    numbered = placed.withColumn("_inside", F.coalesce(F.sum(n).over(inside), F.lit(0))).withColumn("_carried", carried)
+    earlier = lambda at: F.aggregate(
+        F.filter("_carried", lambda x: x["_bucket"] < at), F.lit(0).cast("long"), lambda a, x: a + x["_sum"]
+    )
+    offset = F.transform(F.array("_bucket"), earlier)[0]
+    return numbered.select(*[F.col(f"`{c}`") for c in counts.columns], (F.col("_inside") + offset).alias("before"))
+
+
+def _below(cuts: str, value: str) -> Column:
+    """Number of sorted cuts below the value, by halving steps; a null value has none."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(4 + CUTS.bit_length()))])
+    get = lambda at: F.get(F.col(cuts), at - 1)
+
+    def search(v: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(get(at + step) < v, at + step).otherwise(at))
+
+    return F.coalesce(F.transform(F.array(F.col(f"`{value}`")), search)[0], F.lit(0))
+
+
 def item_ids(df: DataFrame, stratum_order: Column, order: str, prefix: str, digits: int = 3) -> DataFrame:
     """Number rows by stratum and then by the numeric column ``order``: ``prefix_001``, ``prefix_002``, …
 
@@ -139,8 +177,7 @@ def item_ids(df: DataFrame, stratum_order: Column, order: str, prefix: str, digi
     keyed = df.withColumn("_stratum", stratum_order)
     numbered = cumulative(value_counts(keyed, ["_stratum"], order), ["_stratum"], order)
     sizes = keyed.groupBy("_stratum").agg(F.count(order).alias("_size"))
-    earlier = Window.orderBy("_stratum").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_stratum", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    starts = running_totals(sizes, "_stratum", "_size").select("_stratum", F.col("before").alias("_start"))
     position = (F.col("_start") + F.col("before") + 1).alias("_position")
     ids = null_safe_join(numbered, starts, ["_stratum"]).select("_stratum", order, position)
     tied = Window.partitionBy("_stratum", order).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))

@@ -361,6 +361,36 @@ def control_search(spark, sf):
     return matching.control_search(charged, concepts.filter(~is_charged), "p_partkey", "zipf", "p_size")
 
 
+def _concepts(spark, sf):
+    concepts = table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("price"), "p_size", "p_type")
+    is_charged = F.col("p_type").isin("PROMO", "ECONOMY", "SMALL")
+    return concepts.filter(is_charged).drop("p_type"), concepts.filter(~is_charged)
+
+
+@query(
+    "control_counts",
+    f"""with c as (select p_partkey, p_retailprice as price, p_size, p_type in {_CHARGED} as charged from part),
+        f as (select a.p_partkey, count(*) as n from c a join c b
+              on a.charged and not b.charged and abs(a.price - b.price) / a.price <= 0.15 and abs(a.p_size - b.p_size) / a.p_size <= 0.20 group by 1)
+        select p_partkey, price, p_size, coalesce(n, 0) as n_controls from c left join f using (p_partkey) where charged""",
+)
+def control_counts(spark, sf):
+    charged, controls = _concepts(spark, sf)
+    return matching.control_counts(charged, controls, "price", "p_size")
+
+
+@query(
+    "control_candidates",
+    f"""with c as (select p_partkey, p_retailprice as price, p_size, p_type in {_CHARGED} as charged from part)
+        select a.p_partkey as charged_id, b.p_partkey as control_id, round(abs(a.price - b.price) / a.price, 6) as frequency_gap,
+          round(abs(a.p_size - b.p_size) / a.p_size, 6) as length_gap
+        from c a join c b on a.charged and not b.charged and abs(a.price - b.price) / a.price <= 0.15 and abs(a.p_size - b.p_size) / a.p_size <= 0.20""",
+)
+def control_candidates(spark, sf):
+    charged, controls = _concepts(spark, sf)
+    return rounded(matching.control_candidates(charged, controls, "p_partkey", "price", "p_size"))
+
+
 @query(
     "kappa",
     """with r as (select case l_returnflag when 'A' then 'F' when 'R' then 'F' else 'O' end as a, l_linestatus as b from lineitem),

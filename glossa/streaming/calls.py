@@ -52,21 +52,84 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+# Folders of one tier that are merged into one of the next.
+FAN = 8
+MANIFEST = "version long, folder string, first long, last long, tier int"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def manifests(spark: SparkSession, path: str) -> dict[int, list[tuple[str, int, int, int]]]:
+    """(folder, first batch, last batch, tier) by version, in order of batches. A version is there as a whole or not at all."""
+    if not _exists(spark, f"{path}/manifest"):
+        return {}
+    out: dict[int, list] = {}
+    for r in spark.read.schema(MANIFEST).json(f"{path}/manifest/*.done").collect():
+        out.setdefault(r.version, []).append((r.folder, r.first, r.last, r.tier))
+    return {v: sorted(entries, key=lambda e: e[1]) for v, entries in out.items()}
+
+
 def batch_writer(path: str, keys: Sequence[str], value: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function that stores a batch's sums and counts under its batch id.
+    """``foreachBatch`` function that stores a batch's sums and counts, and keeps the number of folders small.
 
-    A replayed batch overwrites its own folder, so nothing is counted twice.
+    A batch is written to a folder of its own; ``FAN`` folders of one tier are added up into one of the next, so after n batches
+    there are FAN folders a tier at most and log n tiers. What counts is named in a manifest. It is written aside and renamed, which is
+    one step: before it the old folders count, after it the new one. A replayed batch that stands alone is written again to the
+    same folder; one that is part of a merged folder has been counted and is left. Folders go one version after they were last named.
     """
 
+    def total(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        partial = batch.groupBy(*keys).agg(
-            F.sum(F.col(value).cast("double")).alias("total"), F.count(value).alias("n")
-        )
+        spark = batch.sparkSession
+        versions = manifests(spark, path)
+        now = max(versions, default=-1)
+        entries = versions.get(now, [])
+        if any(first <= batch_id <= last and tier for _, first, last, tier in entries):
+            return
+        partial = batch.groupBy(*keys).agg(F.sum(F.col(value).cast("double")).alias("total"), F.count(value).alias("n"))
         partial.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if any(first == batch_id for _, first, _, _ in entries):
+            return
+        entries = sorted([*entries, (f"batch_id={batch_id}", batch_id, batch_id, 0)], key=lambda e: e[1])
+        while True:
+            tier = entries[-1][3]
+            same = [e for e in entries if e[3] == tier]
+            if len(same) < FAN:
+                break
+            first, last = same[0][1], same[-1][2]
+            folder = f"merged-{first}-{last}"
+            total(spark.read.parquet(*[f"{path}/{e[0]}" for e in same])).write.mode("overwrite").parquet(f"{path}/{folder}")
+            entries = [*(e for e in entries if e[3] != tier), (folder, first, last, tier + 1)]
+        _publish(spark, path, now + 1, entries)
+        named = {e[0] for v in (versions.get(now, []), entries) for e in v}
+        for old, gone in versions.items():
+            if old < now:
+                for folder in {e[0] for e in gone} - named:
+                    _remove(spark, f"{path}/{folder}")
+                _remove(spark, f"{path}/manifest/{old}.done")
 
     return write
 
 
+def _publish(spark: SparkSession, path: str, version: int, entries: Sequence[tuple[str, int, int, int]]) -> None:
+    aside, done = f"{path}/manifest/{version}.part", f"{path}/manifest/{version}.done"
+    rows = spark.createDataFrame([(version, *e) for e in entries], MANIFEST)
+    rows.coalesce(1).write.mode("overwrite").json(aside)
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (aside, done))
+    if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target):
+        raise OSError(f"manifest {version} could not be put in place")
+
+
 def accumulate(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], value: str) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(batch_writer(path, keys, value))
@@ -77,6 +140,8 @@ def accumulate(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str
 
 
 def accumulated_means(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Mean and count per cell over all batches stored so far."""
-    stored = spark.read.parquet(path)
+    """Mean and count per cell over all batches stored so far: the folders that the newest manifest names, few as they are."""
+    versions = manifests(spark, path)
+    folders = [f"{path}/{e[0]}" for e in versions[max(versions)]]
+    stored = spark.read.parquet(*folders)
     return stored.groupBy(*keys).agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))

@@ -334,3 +334,35 @@ def test_replayed_batch_counts_once(spark, tmp_path):
         write(batch, number)
     got = rows(st.accumulated_means(spark, path, ["model"]), "model")
     assert got == [("a", 6.0, 2), ("b", None, 0)]
+
+
+def test_compaction_keeps_means_and_few_folders(spark, tmp_path, monkeypatch):
+    """Replays and a crash between merging and the manifest change nothing; folders grow with the logarithm of the batches."""
+    monkeypatch.setattr(st, "FAN", 3)
+    path = str(tmp_path / "sums")
+    write = st.batch_writer(path, ["model"], "tokens")
+    batch = lambda i: spark.createDataFrame([(at(i), "ab"[i % 2], i, "h", 0.0, i)], CALLS).coalesce(1)
+    publish = st._publish
+
+    def crash(*args):
+        raise OSError("lost")
+
+    for i in range(14):
+        if i in (2, 8, 11):
+            monkeypatch.setattr(st, "_publish", crash)
+            with pytest.raises(OSError):
+                write(batch(i), i)
+            monkeypatch.setattr(st, "_publish", publish)
+        write(batch(i), i)
+        if i in (5, 8):
+            for again in (0, i - 1, i):
+                write(batch(again), again)
+        got = rows(st.accumulated_means(spark, path, ["model"]), "model")
+        want = {m: [j for j in range(i + 1) if "ab"[j % 2] == m] for m in "ab"}
+        assert got == [(m, sum(x) / len(x), len(x)) for m, x in want.items() if x]
+    newest = st.manifests(spark, path)
+    assert len(newest) <= 2
+    entries = newest[max(newest)]
+    assert [(first, last) for _, first, last, _ in entries] == [(0, 8), (9, 11), (12, 12), (13, 13)]
+    kept = [p.name for p in (tmp_path / "sums").iterdir() if p.is_dir() and p.name != "manifest"]
+    assert {e[0] for e in entries} <= set(kept) and len(kept) <= 2 * 3 + 3

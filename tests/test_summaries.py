@@ -1,5 +1,7 @@
 import math
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +210,65 @@ def test_another_rule_scores_responses(spark):
     rule = F.when(F.col("response") == F.reverse("ground_truth"), "encyclopedic").when(F.col("response").isNotNull(), "neither")
     assert [r["correct"] for r in ops.scored_responses(df, rule=rule).collect()] == [0, 0, None]
     assert [r["correct"] for r in ops.scored_responses(df).collect()] == [0, 1, None]
+
+
+def plain_fits(charged, controls):
+    out = []
+    for i, f, n in charged:
+        for j, g, m in controls:
+            if None not in (f, n, g, m) and min(f, n, g, m) > 0 and abs(f - g) / f <= 0.15 and abs(n - m) / n <= 0.20:
+                out.append((i, j))
+    return out
+
+
+@pytest.mark.parametrize("places", [4096, 3])
+def test_all_controls_within_the_tolerances(spark, places, monkeypatch):
+    """Continuous values, values on the bounds, copies, nulls and zeros; counts and the explicit table against all pairs."""
+    monkeypatch.setattr(matching, "PLACES", places)
+    random = np.random.default_rng(8)
+    make = lambda start, n: [(start + i, float(random.uniform(1, 3)), int(random.integers(5, 60))) for i in range(n)]
+    grid = lambda start: [(start + i, round(0.05 * (i % 40 + 1), 2), i % 30 + 1) for i in range(120)]
+    odd = [(1, None, 3), (2, 0.0, 3), (3, 2.0, None), (4, -1.0, 5), (5, 2.0, 0)]
+    charged = make(100, 60) + grid(300) + odd
+    controls = make(1000, 90) + grid(2000) + [(3000, 1.0, 10)] * 4 + odd
+    names = "id long, zipf double, len long"
+    a, b = spark.createDataFrame(charged, names).repartition(3), spark.createDataFrame(controls, names).repartition(3)
+    want = plain_fits(charged, controls)
+    table = matching.control_candidates(a, b, "id", "zipf", "len")
+    assert sorted((r.charged_id, r.control_id) for r in table.collect()) == sorted(want)
+    counts = {r.id: r.n_controls for r in matching.control_counts(a, b, "zipf", "len").collect()}
+    assert counts == {i: sum(x == i for x, _ in want) for i, _, _ in charged}
+    none = b.where("false")
+    assert {r.n_controls for r in matching.control_counts(a, none, "zipf", "len").collect()} == {0}
+    assert matching.control_counts(none, b, "zipf", "len").count() == matching.control_candidates(a, none, "id", "zipf", "len").count() == 0
+
+
+def window_partitions(df):
+    """Whether every window of the executed plan has a partition: its definition begins with one, not with an order."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "windowspecdefinition(" in plan and not re.search(r"windowspecdefinition\([^,]*? (ASC|DESC)", plan)
+
+
+def test_running_totals(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "CUTS", 8)
+    for kind in ("long", "string"):
+        rows = [(None, 7), *((i if kind == "long" else f"{i:x}\u00e9", i % 5) for i in range(300))]
+        df = spark.createDataFrame(rows, f"v {kind}, n long").repartition(5)
+        got = {r.v: r.before for r in ranks.running_totals(df, "v").collect()}
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0 if kind == "long" else (r[0] or "").encode()))
+        total, want = 0, {}
+        for v, n in order:
+            want[v], total = total, total + n
+        assert got == want
+    assert ranks.running_totals(df.where("false"), "v").count() == 0
+
+
+def test_many_strata(spark):
+    """A hundred thousand strata of two rows: numbers without gaps, and no window over all strata."""
+    df = spark.range(200_000).select(F.format_string("s%06d", F.col("id") % 100_000).alias("s"), "id")
+    got = ranks.item_ids(df, F.col("s"), "id", "E4", 6)
+    assert window_partitions(got)
+    number = F.substring("item_id", 4, 9).cast("long")
+    row = got.agg(F.count_distinct(number).alias("n"), F.min(number).alias("low"), F.max(number).alias("high")).first()
+    assert tuple(row) == (200_000, 1, 200_000)
+    assert got.where((number - 1) != (F.col("id") % 100_000) * 2 + F.floor(F.col("id") / 100_000)).count() == 0
