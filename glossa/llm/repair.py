@@ -5,7 +5,7 @@ most, then user and assistant in turn. A depth-first search tries the edits in A
 least cost it was cut off at; what a place in the conversation could not reach with how much left is kept in a table of failed
 states. The first accepting path is the cheapest, and of those the least in ASCII order.
 
-Rows beyond ``PIECE`` are cut into pieces. A piece is searched for each state it can be entered and left in; the results of
+Conversations of more than ``WHOLE`` rows are cut into pieces of ``PIECE``. A piece is searched for each state it can be entered and left in; the results of
 neighbouring pieces join by the cheapest state between them, so long conversations cost no more a row. Every piece ends with an edit
 of a row, so no audit is the beginning of another and the least of a whole is made of the least of its parts.
 
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, slices, stored
 
-# Rows searched together; rows and characters of a conversation that one task may hold, and of a stretch of a longer one.
-PIECE, LONG, LONG_CHARS = 32, 512, 1 << 22
+# Rows of a conversation that is searched as one, and of a piece of a longer one.
+WHOLE, PIECE = 16, 4
+# Rows and characters of a conversation that one task may hold, and of a stretch of a longer one.
+LONG, LONG_CHARS = 512, 1 << 22
 # Costs of the edits and of a truncated row that stays, edits, roles and ends of sentences.
 REROLE, DELETE, INSERT, CUT = 3, 4, 3, 3
 ROLES, ENDS = ("user", "assistant"), ".!?"
@@ -147,7 +149,7 @@ def joined(one: Matrix, two: Matrix) -> Matrix:
 
 def solve(codes: str) -> tuple[int, str]:
     """Cost and audit of a conversation."""
-    if len(codes) <= PIECE:
+    if len(codes) <= WHOLE:
         return cheapest(codes, START, None)
     ends = matrix(codes).items()
     return min((cost + INSERT * len(TRAIL[r]), audit + TRAIL[r]) for (q, r), (cost, audit) in ends if q == START)

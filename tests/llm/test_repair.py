@@ -90,6 +90,7 @@ def drawn(seed, convs, most):
 def test_against_all_edits(spark, long, piece, monkeypatch):
     monkeypatch.setattr(repair, "LONG", long)
     monkeypatch.setattr(repair, "PIECE", piece)
+    monkeypatch.setattr(repair, "WHOLE", piece)
     repair.cheapest.cache_clear()
     rows = drawn(1, 60, 12) + drawn(2, 3, 60)
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
