@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .spans import SPAN, found, joined, named, none, replaced
+from .spans import apart, before, found, joined, let, named, none, replaced
 
 # The kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -68,6 +68,36 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
+def with_disclosure(spans: Column, disclosure: Column) -> Column:
+    """Spans with one more field, ``d``."""
+    fields = ("s", "k", "e", "kind", "v")
+    return F.transform(spans, lambda x: F.struct(*[x[f].alias(f) for f in fields], disclosure.alias("d")))
+
+
+def term_spans(text: Column, terms: Column) -> Column:
+    """The places of ``terms`` (array of term, disclosure) in a text, in no order.
+
+    Words and terms are sorted into one list, a term before the words that equal it, so each word is held against one term.
+    """
+    item = lambda w, s, e, v, d: F.struct(w.alias("w"), s.alias("s"), e.alias("e"), v.alias("v"), d.alias("d"))
+    no_place, no_value = F.lit(-1), F.lit(None).cast("double")
+    words = F.transform(found(text, WORD), lambda x: item(F.lower(x["v"]), x["s"], x["e"], x["v"], no_value))
+    marks = F.transform(terms, lambda t: item(t["term"], no_place, no_place, F.lit(""), t["disclosure"]))
+
+    term = F.struct(F.lit(None).cast("string").alias("w"), no_value.alias("d"))
+    latest = lambda a, x: F.when(x["w"].isNull(), a).otherwise(x)
+
+    def span(x: Column, t: Column) -> Column:
+        kind, k = F.lit(TERM).alias("kind"), F.lit(len(KINDS)).alias("k")
+        return F.when((x["s"] >= 0) & (x["w"] == t["w"]), F.struct(x["s"].alias("s"), k, x["e"].alias("e"), kind, x["v"].alias("v"), t["d"].alias("d")))
+
+    def placed(xs: Column) -> Column:
+        own = F.transform(xs, lambda x: F.struct(F.when(x["s"] < 0, x["w"]).alias("w"), F.when(x["s"] < 0, x["d"]).alias("d")))
+        return F.zip_with(xs, before(own, term, latest, "struct<w:string,d:double>"), span)
+
+    return F.filter(let(F.sort_array(F.concat(marks, words)), placed), lambda x: x.isNotNull())
+
+
 def disclosing_terms(held: DataFrame, free: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
     """(entity, term, disclosure) of the terms that reveal an entity, and (mark, entity) of the entities' texts.
 
@@ -124,18 +154,21 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, genera
     terms, held = disclosing_terms(rows.select("mark", "text", "base"), free.select("mark", "text"), support, generalise)
     told = held.join(terms, "entity").groupBy("mark", "term").agg(F.max("disclosure").alias("disclosure"))
     told = told.groupBy("mark").agg(F.collect_list(F.struct("term", "disclosure")).alias("terms"))
-    rows = rows.join(told, "mark", "left").withColumn("names", F.transform("terms", lambda x: x["term"]))
-    hits = found(F.col("text"), WORD, lambda v: F.array_contains("names", F.lower(v)))
-    hits = F.when(F.col("names").isNull(), none()).otherwise(hits).cast(SPAN)
-    clear = F.filter(hits, lambda x: ~F.exists("base", lambda b: (x["s"] < b["e"]) & (x["e"] > b["s"])))
-    rows = rows.withColumn("spans", F.concat("base", named(TERM, len(KINDS), clear)))
+    rows = rows.join(told, "mark", "left")
+    base = with_disclosure(F.col("base"), F.lit(None).cast("double"))
+    # A column for each step: nested in one expression they are more than the analyzer's rounds resolve.
+    rows = rows.withColumn("hits", F.when(F.col("terms").isNotNull(), term_spans(F.col("text"), F.col("terms"))))
+    rows = rows.withColumn("both", F.sort_array(F.concat(base, "hits")))
+    rows = rows.withColumn("clear", F.when(F.col("terms").isNotNull(), apart(F.col("both"), len(KINDS))))
+    rows = rows.withColumn("spans", F.when(F.col("terms").isNull(), base).otherwise(F.concat(base, "clear")))
+    rows = rows.withColumn("order", F.sort_array("spans"))
 
     def shown(x: Column) -> Column:
-        strength = F.filter("terms", lambda t: t["term"] == F.lower(x["v"]))[0]["disclosure"]
         kind = F.when(x["v"].rlike(r"\p{N}"), "<number>").when(x["v"].rlike(r"^\p{Lu}"), "<name>").otherwise("<word>")
-        return F.when(x["kind"] != TERM, F.concat(F.lit("<"), x["kind"], F.lit(">"))).when(strength >= remove, "").otherwise(kind)
+        return F.when(x["kind"] != TERM, F.concat(F.lit("<"), x["kind"], F.lit(">"))).when(x["d"] >= remove, "").otherwise(kind)
 
-    told = rows.select("row", "text", "base", "spans", replaced(F.col("text"), F.array_sort("spans"), shown).alias("clean_text"))
+    told = rows.select("row", "text", "base", "spans", replaced(F.col("text"), F.col("order"), shown).alias("clean_text"))
+    told = told.withColumn("spans", F.transform("spans", lambda x: x.dropFields("d")))
     return told.union(free.select("row", "text", "base", F.col("base").alias("spans"), F.col("text").alias("clean_text")))
 
 

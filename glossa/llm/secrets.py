@@ -140,7 +140,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = (*BASE, *MORE), text: str =
             hits = F.when(F.array_contains("rules", rule.kind), hits).otherwise(none())
         return named(rule.kind, order, hits)
 
-    return rows.select("row", F.array_sort(F.concat(*[spans(i, r) for i, r in enumerate(rules)])).alias("spans"))
+    return rows.select("row", F.sort_array(F.concat(*[spans(i, r) for i, r in enumerate(rules)])).alias("spans"))
 
 
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
