@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.keys import null_safe_join
 from ..functions.tails import normal_two_sided, t_pvalue, t_two_sided
-from ..session import shared_dir
+from ..session import kept, shared_dir
 from .ranks import average_ranks_of
 
 INTERCEPT = "Intercept"
@@ -494,35 +494,152 @@ def system_terms(system: str, levels: Sequence[str], depth: str, critical: str)
 def binomial_glm(cells: DataFrame, terms: Mapping[str, Column]) -> DataFrame:
     """Logistic regression on cells (``n``, ``successes``), with Wald tests.
 
-    Fitting is iterative, so it runs jobs when called. They read the cells, as two weighted rows each, from a copy stored in
-    the shared folder, so the rows behind the cells are aggregated once. Deviance, log-likelihood and AIC are those of the
-    rows, each a trial of its own.
+    Fitting is iterative, so it runs jobs when called. They read the cells from a copy stored in the shared folder, so the rows
+    behind the cells are aggregated once. A cell enters as its share of successes with its trials as weight: as separate
+    successes and failures, heavy cells would start the iteration far out and send it astray. Deviance, log-likelihood and AIC
+    are those of the rows, each a trial of its own. ``status`` is ``unconverged`` when the rounds were used up, as for
+    outcomes told apart without error; ``binomial_glm_by_key`` names the reason.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     names = [f"_x{i}" for i in range(len(terms))]
-    outcomes = F.inline(
-        F.array(
-            F.struct(F.lit(1.0).alias("label"), F.col("successes").cast("double").alias("weight")),
-            F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("successes")).cast("double").alias("weight")),
-        )
-    )
-    rows = cells.select(*[c.cast("double").alias(n) for n, c in zip(names, terms.values())], "n", "successes")
-    path = shared_dir(cells.sparkSession, "cells")
-    rows.write.parquet(path)
-    rows = cells.sparkSession.read.parquet(path).select(*names, outcomes).filter(F.col("weight") > 0)
+    n, k = F.col("n").cast("double"), F.col("successes").cast("double")
+    rows = cells.select(*[c.cast("double").alias(x) for x, c in zip(names, terms.values())], n.alias("weight"), (k / n).alias("label"))
+    rows = kept(rows.filter("weight > 0"), "cells")
     data = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "label", "weight")
-    model = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="weight", tol=1e-10, maxIter=100).fit(data)
+    rounds = 100
+    model = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="weight", tol=1e-10, maxIter=rounds).fit(data)
     summary = model.summary
     values = [float(model.intercept), *[float(v) for v in model.coefficients]]
     order = [len(names), *range(len(names))]
     errors = [summary.coefficientStandardErrors[i] for i in order]
-    deviance = float(summary.deviance)
-    fit = (deviance, -deviance / 2, deviance + 2 * len(values))
+    # The summary's deviance is from the cells' own shares; theirs from the rows is added.
+    label = F.col("label")
+    entropy = F.when(label.between(1e-300, 1 - 1e-16), label * F.ln(label) + (1 - label) * F.ln(1 - label)).otherwise(0.0)
+    within = rows.agg(F.sum(F.col("weight") * entropy)).first()[0] or 0.0
+    deviance = float(summary.deviance) - 2 * within
+    status = "converged" if summary.numIterations < rounds else "unconverged"
+    fit = (deviance, -deviance / 2, deviance + 2 * len(values), status)
     rows_out = []
-    for label, coef, se in zip([INTERCEPT, *terms], values, errors):
+    for term, coef, se in zip([INTERCEPT, *terms], values, errors):
         z = coef / se if se and se > 0 else math.nan
-        rows_out.append((label, coef, float(se), _finite(z), _finite(normal_two_sided(z)), *fit))
+        rows_out.append((term, coef, float(se), _finite(z), _finite(normal_two_sided(z)), *fit))
     fields = [T.StructField(c, T.DoubleType()) for c in ("deviance", "log_likelihood", "aic")]
-    return cells.sparkSession.createDataFrame(rows_out, T.StructType([*_COEFFICIENTS, *fields]))
+    schema = T.StructType([*_COEFFICIENTS, *fields, T.StructField("status", T.StringType())])
+    return cells.sparkSession.createDataFrame(rows_out, schema)
+
+
+# A fit whose linear predictor has passed FAR and still moves by more than MOVING a round has no finite optimum; one that moves
+# by less than STILL has arrived. Below RANK (smallest eigenvalue of the scaled information at zero) the terms are collinear.
+FAR, MOVING, STILL, RANK = 25.0, 0.1, 1e-8, 1e-10
+_STEP = "coef array<double>, step array<double>, deviance double, se array<double>, stat array<double>, p array<double>, status string"
+
+
+def _newton_step(size: int, start: bool):
+    """Next step of every key in a batch from its packed sums: information, gradient, deviance, reach of the predictor and of the step."""
+
+    @F.pandas_udf(_STEP)
+    def solve(sums: pd.Series, tops: pd.Series, coefs: pd.Series, steps: pd.Series, before: pd.Series) -> pd.DataFrame:
+        values = np.stack(sums.to_list())
+        # the packed sums end with the gradient and the deviance
+        info, gradient, deviance = _symmetric(values[:, : -size - 1], size), values[:, -size - 1 : -1], values[:, -1]
+        reach, moved = np.stack(tops.to_list()).T
+        coef, step, before = np.stack(coefs.to_list()), np.stack(steps.to_list()), before.to_numpy(float)
+        scale = np.sqrt(np.maximum(np.diagonal(info, axis1=1, axis2=2), np.finfo(float).tiny))
+        scaled = info / scale[:, :, None] / scale[:, None, :]
+        inverse = np.linalg.pinv(scaled, rcond=1e-15, hermitian=True) / scale[:, :, None] / scale[:, None, :]
+        worse = ~np.isnan(before) & (deviance > before + 1e-9 * (1 + np.abs(before)))
+        status = np.full(len(values), None, object)
+        if start:
+            status[np.linalg.eigvalsh(scaled)[:, 0] < RANK] = "singular"
+        else:
+            status[~worse & (moved <= STILL)] = "converged"
+            status[(reach > FAR) & (moved > MOVING)] = "separated"
+        se = np.sqrt(np.maximum(np.diagonal(inverse, axis1=1, axis2=2), 0.0))
+        stat = np.divide(coef, se, out=np.full_like(coef, np.nan), where=se > 0)
+        p = np.vectorize(normal_two_sided, otypes=[float])(stat)
+        # A step that made the fit worse is halved, any other is followed by the next.
+        following = np.where(worse[:, None], -step / 2, np.einsum("kij,kj->ki", inverse, gradient))
+        open_ = np.array([v is None for v in status])
+        coef = np.where(open_[:, None], coef + following, coef)
+        step = np.where(worse[:, None], step / 2, following)
+        columns = (list(coef), list(step), np.where(worse, before, deviance), list(se), list(stat), list(p), status)
+        return pd.DataFrame(dict(zip(("coef", "step", "deviance", "se", "stat", "p", "status"), columns)))
+
+    return solve
+
+
+def binomial_glm_by_key(cells: DataFrame, terms: Mapping[str, Column], keys: Sequence[str], rounds: int = 40) -> DataFrame:
+    """Logistic regression on cells (``n``, ``successes``), one fit per key, with Wald tests and a ``status``.
+
+    All keys take their Newton step together: a round is one aggregation of the stored cells of the keys that are still open,
+    combined before the shuffle, and one row per key goes into the solve. Rounds run jobs when called and are written to the
+    shared folder. ``converged`` fits carry figures; ``separated`` (no finite optimum: some outcome is told apart without
+    error), ``singular`` (collinear terms, or one cell only) and ``unconverged`` fits (``rounds`` used up) have null figures.
+    Cells with a null term or count, or without trials, are left out; a key without any other cell has no rows. A null key is
+    a group of its own.
+    """
+    keys, labels = list(keys), [INTERCEPT, *terms]
+    names = [f"_x{i}" for i in range(len(labels))]
+    size = len(labels)
+    columns = [F.lit(1.0).alias(names[0]), *[c.cast("double").alias(n) for n, c in zip(names[1:], terms.values())]]
+    counts = [F.col("n").cast("double").alias("_n"), F.col("successes").cast("double").alias("_k")]
+    rows = kept(cells.select(*keys, *columns, *counts).na.drop(subset=[*names, "_n", "_k"]).filter("_n > 0"), "key-cells")
+    zeros = F.array(*[F.lit(0.0)] * size)
+    state = rows.groupBy(*keys).agg(F.sum("_n").cast("bigint").alias("trials"))
+    state = state.select(*keys, "trials", zeros.alias("coef"), zeros.alias("step"), F.lit(None).cast("double").alias("deviance"))
+
+    def along(weights: str) -> Column:
+        return sum((F.col(n) * F.col(weights)[i] for i, n in enumerate(names[1:], 1)), F.col(weights)[0])
+
+    def advance(state: DataFrame, start: bool) -> DataFrame:
+        placed = null_safe_join(rows, state.select(*keys, "coef", "step"), keys)
+        placed = placed.select(*keys, *names, "_n", "_k", along("coef").alias("_eta"), F.abs(along("step")).alias("_moved"))
+        fails = F.log1p(F.exp(-F.abs("_eta")))
+        placed = placed.withColumns(
+            {
+                "_p": 1 / (1 + F.exp(-F.col("_eta"))),
+                "_q": 1 / (1 + F.exp("_eta")),
+                "_cost": 2 * (F.col("_n") * fails + F.col("_k") * F.greatest(-F.col("_eta"), F.lit(0.0))
+                              + (F.col("_n") - F.col("_k")) * F.greatest("_eta", F.lit(0.0))),
+            }
+        )
+        weight = F.col("_n") * F.col("_p") * F.col("_q")
+        residual = F.col("_k") * F.col("_q") - (F.col("_n") - F.col("_k")) * F.col("_p")
+        values = [weight * F.col(a) * F.col(b) for a, b in _pairs(names)] + [residual * F.col(n) for n in names] + [F.col("_cost")]
+        tops = [F.abs("_eta"), F.col("_moved")]
+        entries = [F.struct(F.lit(i).alias("_i"), v.alias("_v")) for i, v in enumerate([*values, *tops])]
+        entry = placed.select(*keys, F.inline(F.array(*entries)))
+        folded = entry.groupBy(*keys, "_i").agg(F.sum("_v").alias("_s"), F.max("_v").alias("_m"))
+        packed = folded.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_s", "_m"))).alias("_all"))
+        sums = F.transform(F.slice("_all", 1, len(values)), lambda e: e["_s"])
+        largest = F.transform(F.slice("_all", len(values) + 1, len(tops)), lambda e: e["_m"])
+        joined = null_safe_join(state, packed, keys)
+        fit = _newton_step(size, start)(sums, largest, F.col("coef"), F.col("step"), F.col("deviance"))
+        return joined.select(*keys, "trials", fit.alias("_fit")).select(*keys, "trials", "_fit.*")
+
+    finished = []
+    for turn in range(rounds):
+        after = kept(advance(state, turn == 0), "key-fits")
+        finished.append(after.filter(F.col("status").isNotNull()))
+        state = after.filter(F.col("status").isNull())
+        if state.isEmpty():
+            break
+    else:
+        finished.append(state.withColumn("status", F.lit("unconverged")))
+    fits = finished[0]
+    for more in finished[1:]:
+        fits = fits.unionByName(more)
+    good = F.col("status") == "converged"
+    per_term = F.inline(
+        F.array(
+            *[
+                F.struct(F.lit(label).alias("term"), *[F.when(good, F.col(c)[i]).alias(c) for c in ("coef", "se", "stat", "p")])
+                for i, label in enumerate(labels)
+            ]
+        )
+    )
+    deviance = F.when(good, F.col("deviance"))
+    figures = [deviance.alias("deviance"), (-deviance / 2).alias("log_likelihood"), (deviance + 2 * size).alias("aic")]
+    return fits.select(*keys, per_term, *figures, F.col("trials").alias("n"), "status")

@@ -397,3 +397,35 @@ def glm_cells(spark, sf):
     fit = models.binomial_glm(_glm_cells(spark, sf), models.system_terms("system", ["A", "N", "R"], "depth", "critical"))
     figures = [F.round(c, 3).alias(c) for c in ("deviance", "log_likelihood", "aic")]
     return rounded(fit.select("term", F.round("coef", 5).alias("coef"), F.round("se", 5).alias("se"), *figures))
+
+
+_GLM_BY_KEY = """with recursive c as (select l_suppkey, ((l_linenumber - 1) % 3 + 1) as depth, count(*)::double as n,
+        sum((l_quantity + 4 * l_linenumber > 36)::int)::double as k from lineitem group by all),
+    grp as (select l_suppkey, list(depth::double) as d, list(n) as n, list(k) as k from c group by all),
+    it as (select l_suppkey, d, n, k, 0 as step, 0.0::double as a, 0.0::double as b from grp
+      union all
+      select l_suppkey, d, n, k, step + 1, a + (s2 * g1 - s1 * g2) / (s0 * s2 - s1 * s1), b + (s0 * g2 - s1 * g1) / (s0 * s2 - s1 * s1)
+      from (select *, list_sum(w) as s0, list_sum(list_transform(w, lambda v, i: v * d[i])) as s1, list_sum(list_transform(w, lambda v, i: v * d[i] * d[i])) as s2,
+                list_sum(list_transform(p, lambda v, i: k[i] - n[i] * v)) as g1, list_sum(list_transform(p, lambda v, i: (k[i] - n[i] * v) * d[i])) as g2
+            from (select *, list_transform(p, lambda v, i: n[i] * v * (1 - v)) as w
+                  from (select *, list_transform(d, lambda x: 1 / (1 + exp(-(a + b * x)))) as p from it where step < 15)))),
+    f0 as (select *, list_transform(d, lambda x: 1 / (1 + exp(-(a + b * x)))) as p from it where step = 15),
+    f1 as (select *, list_sum(list_transform(p, lambda v, i: n[i] * v * (1 - v))) as s0, list_sum(list_transform(p, lambda v, i: n[i] * v * (1 - v) * d[i])) as s1,
+             list_sum(list_transform(p, lambda v, i: n[i] * v * (1 - v) * d[i] * d[i])) as s2 from f0),
+    f as (select l_suppkey, a, b, s2 / (s0 * s2 - s1 * s1) as va, s0 / (s0 * s2 - s1 * s1) as vb, list_sum(n)::bigint as n,
+            -2 * list_sum(list_transform(p, lambda v, i: k[i] * ln(v) + (n[i] - k[i]) * ln(1 - v))) as dev from f1),
+    co as (select l_suppkey, 'Intercept' as term, a as coef, va as v, dev, n from f union all select l_suppkey, 'depth', b, vb, dev, n from f)
+    select l_suppkey, term, round(coef, 5) as coef, round(sqrt(v), 5) as se, round(dev, 3) as deviance, n, 'converged' as status from co"""
+
+
+@query("glm_by_key", _GLM_BY_KEY)
+def glm_by_key(spark, sf):
+    line = table(spark, sf, "lineitem").select(
+        "l_suppkey",
+        ((F.col("l_linenumber") - 1) % 3 + 1).alias("depth"),
+        design.flag(F.col("l_quantity") + 4 * F.col("l_linenumber") > 36).alias("correct"),
+    )
+    cells = models.binomial_cells(line, "correct", ["l_suppkey", "depth"])
+    fit = models.binomial_glm_by_key(cells, {"depth": F.col("depth")}, ["l_suppkey"])
+    figures = [F.round("coef", 5).alias("coef"), F.round("se", 5).alias("se"), F.round("deviance", 3).alias("deviance")]
+    return rounded(fit.select("l_suppkey", "term", *figures, "n", "status"))

@@ -143,6 +143,45 @@ def test_glm_cells_against_rows(spark):
         assert fit[name]["se"] == pytest.approx(se[i], rel=1e-5)
 
 
+def test_glm_by_key_marks_what_has_no_fit(spark):
+    """Ordinary keys (a null one too) equal the fit of one key; separated, collinear and short runs are marked, not guessed."""
+    schema = "key string, x double, n long, successes long"
+    plain = [(0.0, 40, 12), (1.0, 35, 15), (2.0, 50, 31), (5.0, 3, 3)]
+    rows_in = [(k, x, n * m, s * m) for k, m in (("a", 1), (None, 1000)) for x, n, s in plain]
+    rows_in += [("split", 0.0, 10, 0), ("split", 1.0, 10, 10), ("half", 0.0, 10, 4), ("half", 1.0, 10, 10)]
+    rows_in += [("all", 0.0, 5, 5), ("all", 1.0, 6, 6), ("flat", 2.0, 9, 3), ("none", 1.0, 0, 0), ("a", None, 7, 7), ("a", 1.0, None, 2)]
+    cells = spark.createDataFrame(rows_in, schema)
+    got = ops.binomial_glm_by_key(cells, {"x": F.col("x")}, ["key"]).collect()
+    status = {r["key"]: r["status"] for r in got}
+    assert status == {"a": "converged", None: "converged", "split": "separated", "half": "separated", "all": "separated", "flat": "singular"}
+    assert len(got) == 12
+    for r in got:
+        if r["status"] != "converged":
+            assert [r[c] for c in ("coef", "se", "stat", "p", "deviance", "log_likelihood", "aic")] == [None] * 7
+    for key, where in (("a", F.col("key") == "a"), (None, F.col("key").isNull())):
+        data = cells.filter(where).na.drop(subset=["x", "n"]).toPandas()
+        X, n, k = np.column_stack([np.ones(len(data)), data["x"]]), data["n"].to_numpy(float), data["successes"].to_numpy(float)
+        beta = np.zeros(2)
+        for _ in range(30):
+            mu = 1 / (1 + np.exp(-X @ beta))
+            info = X.T @ (X * (n * mu * (1 - mu))[:, None])
+            beta = beta + np.linalg.solve(info, X.T @ (k - n * mu))
+        deviance = -2 * float(np.sum(k * np.log(mu) + (n - k) * np.log(1 - mu)))
+        for i, term in enumerate(("Intercept", "x")):
+            fit = next(r for r in got if r["key"] == key and r["term"] == term)
+            assert fit["coef"] == pytest.approx(beta[i], rel=1e-7)
+            assert fit["se"] == pytest.approx(np.sqrt(np.linalg.inv(info)[i, i]), rel=1e-6)
+            assert (fit["deviance"], fit["aic"]) == (pytest.approx(deviance, rel=1e-9), pytest.approx(deviance + 4, rel=1e-9))
+            assert fit["n"] == n.sum()
+        sound = cells.filter(where).na.drop(subset=["x", "n"])
+        alone = by_term(ops.binomial_glm(sound, {"x": F.col("x")}))
+        assert (alone["x"]["status"], alone["x"]["deviance"]) == ("converged", pytest.approx(deviance, rel=1e-9))
+        assert alone["x"]["coef"] == pytest.approx(beta[1], rel=1e-7)
+    short = ops.binomial_glm_by_key(cells.filter("key = 'a'"), {"x": F.col("x")}, ["key"], rounds=2)
+    assert {r["status"] for r in short.collect()} == {"unconverged"}
+    assert ops.binomial_glm_by_key(cells.limit(0), {"x": F.col("x")}, ["key"]).count() == 0
+
+
 def average_ranks(v):
     v = np.asarray(v)
     return np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
