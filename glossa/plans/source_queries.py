@@ -178,6 +178,22 @@ def call_ingest(spark, sf):
     return spark.read.parquet(out).select("prompt_hash", "model", "temperature", "response_index")
 
 
+@query(
+    "call_redelivery",
+    """select substr(md5(event_id || '|' || props), 1, 8) as prompt_hash, event_type as model, value as temperature, event_id as response_index,
+          strftime(ts, '%Y-%m-%d %H:%M:%S') as ts from events""",
+)
+def call_redelivery(spark, sf):
+    # Every event comes again a day later than it was made, to a stream with a checkpoint of its own.
+    out = shared_dir(spark, "redelivery")
+    calls = _calls(_event_stream(spark, sf, "events"))
+    late = _calls(_event_stream(spark, sf, "events")).withColumn("ts", F.col("ts") + F.expr("interval 1 day"))
+    for run, stream in (("first", calls), ("late", late)):
+        st.append_new(stream, out, shared_dir(spark, "redelivery-state"), run).awaitTermination()
+    stored = st.stored_calls(spark, out).select("prompt_hash", "model", "temperature", "response_index", "ts")
+    return _as_text(stored, "ts")
+
+
 @query(
     "running_accuracy",
     """select l_returnflag as system, l_linestatus as depth, round(avg((l_quantity > 25)::int), 6) as mean, count(*) as n from lineitem group by all""",

@@ -7,7 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
+
+from ..functions.keys import null_safe_join
+from ..session import shared_dir
 
 # Window of the monitor and how late a record may come.
 WINDOW, LATENESS = "10 minutes", "1 hour"
@@ -52,6 +55,50 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def _stored_already(calls: DataFrame, path: str, delivery: str, keys: Sequence[str]) -> DataFrame:
+    """Keys of the calls that other deliveries hold."""
+    wanted = calls.select(*keys)
+    schema = StructType([*wanted.schema.fields]).add("delivery", StringType())
+    stored = calls.sparkSession.read.schema(schema).parquet(path).filter(F.col("delivery") != delivery).select(*keys)
+    return null_safe_join(stored, wanted, keys, "left_semi")
+
+
+def new_calls_writer(path: str, run: str, keys: Sequence[str] = CALL_KEY) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that stores the calls whose key no other delivery holds, however late a copy comes.
+
+    The stored calls are the index: only their key columns are read. The batch is written aside first, so Spark knows its size
+    and sends the keys of a small batch to the store, which is then not shuffled. A null in a key equals a null; of copies in one batch any one is kept. Each batch
+    has a folder named by ``run`` and its number, and is compared with all other folders, so a replayed batch writes the same calls
+    to the same folder. ``run`` names the checkpoint: another checkpoint counts its batches anew and needs another name. One
+    writer at a time. ``delivery`` is the name of the folder column, so calls may not have a column of that name.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, delivery, aside = batch.sparkSession, f"{run}-{batch_id}", shared_dir(batch.sparkSession, "delivery")
+        batch.dropDuplicates(list(keys)).write.parquet(aside)
+        calls = spark.read.schema(batch.schema).parquet(aside)
+        if _exists(spark, path):
+            calls = null_safe_join(calls, _stored_already(calls, path, delivery, keys), keys, "left_anti")
+        calls.write.mode("overwrite").parquet(f"{path}/delivery={delivery}")
+        _remove(spark, aside)
+
+    return write
+
+
+def append_new(stream: DataFrame, path: str, checkpoint: str, run: str, keys: Sequence[str] = CALL_KEY) -> StreamingQuery:
+    """Append the calls not stored yet; copies are recognised after any time and after restarts."""
+    return (
+        stream.writeStream.foreachBatch(new_calls_writer(path, run, keys))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def stored_calls(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("delivery")
+
+
 # Folders of one tier that are merged into one of the next.
 FAN = 8
 MANIFEST = "version long, folder string, first long, last long, tier int"

@@ -325,6 +325,32 @@ def test_redelivered_calls_across_batches(spark, tmp_path):
     assert st.drop_redelivered(batch).count() == 5
 
 
+def test_copies_are_recognised_after_a_day_and_after_restarts(spark, tmp_path):
+    """Late copies, restarts from the same and from a lost checkpoint, replays and null keys store each call once."""
+    calls = [(at(i), "a", 1, f"h{i}", 0.0, 0) for i in range(5)] + [(at(0), None, 1, None, None, 0)] * 2
+    day_later = [(at(1440), *c[1:]) for c in calls]
+
+    def go(run):
+        stream = st.read_calls(spark, str(tmp_path / "in"), spark.createDataFrame([], CALLS).schema)
+        st.append_new(stream, str(tmp_path / "out"), str(tmp_path / f"state-{run}"), run).awaitTermination()
+        return sorted((str(r["prompt_hash"]), r["ts"]) for r in st.stored_calls(spark, str(tmp_path / "out")).collect())
+
+    deliver(spark, tmp_path / "in", calls)
+    first = go("one")
+    assert len(first) == 6
+    deliver(spark, tmp_path / "in", day_later + [(at(1441), "a", 1, "new", 0.0, 0)])
+    want = sorted([*first, ("new", at(1441))])
+    assert go("one") == want
+    assert go("two") == want
+    write = st.new_calls_writer(str(tmp_path / "out"), "one")
+    write(spark.createDataFrame(calls, CALLS), 0)
+    write(spark.createDataFrame([], CALLS), 2)
+    one = spark.read.parquet(str(tmp_path / "out" / "delivery=one-1"))
+    plan = st._stored_already(one, str(tmp_path / "out"), "one-1", st.CALL_KEY)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert sorted((str(r["prompt_hash"]), r["ts"]) for r in st.stored_calls(spark, str(tmp_path / "out")).collect()) == want
+
+
 def test_replayed_batch_counts_once(spark, tmp_path):
     path = str(tmp_path / "sums")
     write = st.batch_writer(path, ["model"], "tokens")
