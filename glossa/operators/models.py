@@ -334,9 +334,16 @@ def judge_gate(df: DataFrame, judge: str, expert: str, keys: Sequence[str] = (),
 # --- random-intercept model -------------------------------------------------
 
 
-def _group_moments(df: DataFrame, y: str, terms: Mapping[str, Column], group: str) -> tuple[DataFrame, list[str]]:
+def _group_moments(df: DataFrame, y: str, terms: Mapping[str, Column], group: str, few: bool = False) -> tuple[DataFrame, list[str]]:
+    """Moments per group as columns. ``few`` groups get them from one row per pair, which stays inside generated code; with
+    many groups one wide row of sums per group moves less.
+    """
     design, names = _design(df, y, terms, [group])
     columns = [*names, "_y"]
+    if few:
+        means = [F.col("means")[i].alias(f"m{c}") for i, c in enumerate(columns)]
+        covariances = [F.col("cov")[i].alias(f"c{a}{b}") for i, (a, b) in enumerate(_pairs(columns))]
+        return _moments(df, y, terms, [group]).select(group, "n", *means, *covariances), names
     return (
         design.groupBy(group).agg(
             F.count(F.lit(1)).alias("n"),
@@ -347,7 +354,7 @@ def _group_moments(df: DataFrame, y: str, terms: Mapping[str, Column], group: st
     )
 
 
-def lmm_size_table(df: DataFrame, y: str, terms: Mapping[str, Column], group: str) -> DataFrame:
+def lmm_size_table(df: DataFrame, y: str, terms: Mapping[str, Column], group: str, few: bool = False) -> DataFrame:
     """Sufficient statistics of the random-intercept likelihood, one row per distinct group size.
 
     The likelihood weighs a group by θ/(1+nθ), which depends on its size n alone, so
@@ -357,7 +364,7 @@ def lmm_size_table(df: DataFrame, y: str, terms: Mapping[str, Column], group: st
     ``w`` holds sums of squares and products over rows, ``b`` those of group totals;
     both run over the pairs of (1, terms…, y).
     """
-    groups, names = _group_moments(df, y, terms, group)
+    groups, names = _group_moments(df, y, terms, group, few)
     columns = [*names, "_y"]
     centre = groups.agg(
         F.struct(*[(F.sum(F.col("n") * F.col(f"m{c}")) / F.sum("n")).alias(c) for c in columns])
@@ -407,20 +414,20 @@ WIDEST = 98.0
 
 
 def lmm(
-    df: DataFrame, y: str, terms: Mapping[str, Column], group: str, refinements: int = 3, points: int = 64
+    df: DataFrame, y: str, terms: Mapping[str, Column], group: str, refinements: int = 3, points: int = 64, few: bool = False
 ) -> DataFrame:
     """Linear mixed model with one random intercept, by maximum likelihood.
 
     θ = σ²ᵤ/σ² is found on a logarithmic grid (zero included) that widens until the best
     point lies inside and then narrows around it. Fitting runs jobs when called: the rows are reduced to the
     group-size table, which is stored in the shared folder; each round aggregates
-    that table and brings back one row of cross products per grid point. One row per
-    fixed effect, with the variance components and −2 log-likelihood of the fit.
+    that table and brings back one row of cross products per grid point. ``few`` says that
+    there are many rows to a group, and only a handful of groups. One row per fixed effect, with the variance components and −2 log-likelihood of the fit.
     """
     spark, size, labels = df.sparkSession, len(terms), [INTERCEPT, *terms]
     n_pairs = (size + 2) * (size + 3) // 2
     path = shared_dir(spark, "group-sizes")
-    lmm_size_table(df, y, terms, group).write.parquet(path)
+    lmm_size_table(df, y, terms, group, few).write.parquet(path)
     sizes = spark.read.parquet(path)
 
     def profile(thetas: Sequence[float]) -> list[tuple[float, dict]]:

@@ -252,7 +252,7 @@ def quality_analysis(replies: DataFrame, reply: str = "reply") -> dict[str, Data
         "scores": scored,
         "quarantine": bad,
         "curves": means,
-        "model": models.lmm(scored, "quality", models.interactions(["level", "complex"]), "domain"),
+        "model": models.lmm(scored, "quality", models.interactions(["level", "complex"]), "domain", few=True),
         "monotonicity": models.linear_or_step(means, "level", "mean"),
         "attribution": attribution,
         "component_ranking": models.coefficient_ranking(attribution, list(design.COMPONENTS)),

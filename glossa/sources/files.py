@@ -121,9 +121,10 @@ def parse_scores(df: DataFrame, reply: str, schema: StructType, required: Sequen
     """Parse a judge's JSON reply into columns, with ``bad_reply`` where it cannot be used.
 
     A reply is bad if it is no JSON object or lacks a required score. Bad rows are
-    kept; see ``split_scores``.
+    kept; see ``split_scores``. Taken out of an array, a parsed reply is a row's value from then on: it is not
+    parsed anew for each test and score that is asked of it.
     """
-    parsed = df.withColumn("_reply", F.from_json(F.col(reply), schema))
+    parsed = df.select("*", F.explode(F.array(F.from_json(F.col(reply), schema))).alias("_reply"))
     missing = F.lit(False)
     for name in required:
         missing = missing | F.col("_reply")[name].isNull()
