@@ -107,7 +107,8 @@ def dominant_sense(items: DataFrame, counts: DataFrame, inventory: DataFrame, wo
     The corpus decides when the word has enough tagged occurrences under that part
     of speech; else the first inventory sense of that part of speech, else of any;
     else unknown. Equal counts are settled by synset name. ``only_words`` keeps both
-    tables to the words that items name.
+    tables to the words that items name. What is known of a word is one row of a few
+    entries, looked up once per item.
     """
     first = F.min(F.struct((-F.col("n")).alias("neg"), F.col("synset").alias("synset")))
     corpus = (
@@ -115,7 +116,8 @@ def dominant_sense(items: DataFrame, counts: DataFrame, inventory: DataFrame, wo
         .groupBy(F.col("lemma").alias("_lemma"), "_pos")
         .agg(F.sum("n").alias("_total"), first.alias("_top"))
         .filter(F.col("_total") >= MIN_OCCURRENCES)
-        .select("_lemma", "_pos", F.col("_top.synset").alias("_corpus"), (-F.col("_top.neg")).alias("_n"))
+        .groupBy("_lemma")
+        .agg(F.map_from_entries(F.collect_list(F.struct("_pos", F.struct(F.col("_top.synset").alias("synset"), (-F.col("_top.neg")).alias("n"))))).alias("_by_corpus"))
     )
     # One row per word: its first sense under each part of speech, a handful of entries.
     listed = F.min(F.struct(F.col("sense_rank").alias("rank"), F.col("synset").alias("synset")))
@@ -128,9 +130,12 @@ def dominant_sense(items: DataFrame, counts: DataFrame, inventory: DataFrame, wo
             F.min("_first").alias("_any"),
         )
     )
-    joined = items.join(corpus, (F.col(word) == F.col("_lemma")) & (F.col(pos) == F.col("_pos")), "left").join(
-        senses, F.col(word) == F.col("_word"), "left"
+    # Both sides of a word in one row, so that the items are moved once at most.
+    known = corpus.join(senses, F.col("_lemma") == F.col("_word"), "full").select(
+        F.coalesce("_lemma", "_word").alias("_known"), "_by_corpus", "_by_pos", "_any"
     )
+    joined = items.join(known, F.col(word) == F.col("_known"), "left").withColumn("_seen", F.try_element_at("_by_corpus", F.col(pos)))
+    joined = joined.withColumns({"_corpus": F.col("_seen.synset"), "_n": F.col("_seen.n")})
     fallback = F.coalesce(F.try_element_at("_by_pos", F.col(pos)), F.col("_any"))["synset"]
     return joined.select(
         *items.columns,
@@ -146,7 +151,7 @@ def dominant_sense(items: DataFrame, counts: DataFrame, inventory: DataFrame, wo
 def only_words(df: DataFrame, key: str, items: DataFrame, *columns: str) -> DataFrame:
     """Rows whose ``key`` is a word in one of the items' columns, in lower case or as written.
 
-    Applied to the words of a corpus, it stands before their counting.
+    Applied to counted words, so that the words of a corpus are never moved one by one.
     """
     named = F.array_distinct(F.flatten(F.array(*[F.array(F.col(c), F.lower(c)) for c in columns])))
     return df.join(items.select(F.explode(named).alias(key)).distinct(), key, "left_semi")

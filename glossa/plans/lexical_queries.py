@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import lexical as ops
 from ..operators import ranks
+from ..session import kept
 from .registry import query, rounded, table, texts
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}]+')"
@@ -76,9 +77,8 @@ def _items(spark, sf):
 
 
 def _counted(spark, sf, items, *columns):
-    """Sense counts of the words that items name; asking for n keeps one shuffle for all uses."""
-    tagged = ops.only_words(_tagged(spark, sf), "lemma", items, *columns)
-    return ops.sense_counts(tagged, expand_lemmas=False).filter(F.col("n") > 0)
+    """Sense counts of the words that items name, written down so that all uses know how few they are."""
+    return kept(ops.only_words(ops.sense_counts(_tagged(spark, sf), expand_lemmas=False), "lemma", items, *columns), "senses")
 
 
 def _judged(items, counts):
