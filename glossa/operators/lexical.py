@@ -69,16 +69,18 @@ def with_zipf(df: DataFrame, zipf: DataFrame, word: str, out: str) -> DataFrame:
 def with_phrase_zipf(df: DataFrame, counts: DataFrame, phrase: str, out: str) -> DataFrame:
     """Zipf frequency of a phrase: its words' frequencies combined as 1 / Σ 1/f.
 
-    0 if a word is unseen, null if the phrase has no word. Each distinct phrase is
-    looked up once.
+    0 if a word is unseen, null if the phrase has no word. A phrase's words travel under
+    two hashes of it, never with its text; copies of a phrase add up alike and are divided out.
     """
     total = counts.agg(F.sum("n")).scalar()
     frequency = counts.select("token", (F.col("n") / total).alias("_f"))
-    phrases = df.select(phrase).distinct()
-    parts = phrases.select(phrase, F.explode(words(phrase)).alias("token")).join(frequency, "token", "left")
-    zipf = F.round(F.log10(F.lit(1e9) / F.sum(1 / F.col("_f"))), 2)
-    combined = parts.groupBy(phrase).agg(F.when(F.count_if(F.col("_f").isNull()) == 0, zipf).otherwise(0.0).alias(out))
-    return df.join(combined, phrase, "left")
+    marks = [F.xxhash64(F.lit(i), F.col(phrase)).alias(f"_mark{i}") for i in range(2)]
+    parts = df.select(*marks, F.posexplode(words(phrase)).alias("_at", "token")).join(frequency, "token", "left")
+    copies = F.count_if(F.col("_at") == 0)
+    zipf = F.round(F.log10(F.lit(1e9) / (F.sum(1 / F.col("_f")) / copies)), 2)
+    combined = parts.groupBy("_mark0", "_mark1").agg(F.when(F.count_if(F.col("_f").isNull()) == 0, zipf).otherwise(0.0).alias(out))
+    rest = [c for c in df.columns if c != phrase]
+    return df.select("*", *marks).join(combined, ["_mark0", "_mark1"], "left").select(phrase, *rest, out)
 
 
 def sense_counts(tagged: DataFrame, inventory: DataFrame | None = None, expand_lemmas: bool = True) -> DataFrame:

@@ -115,7 +115,7 @@ def zipf(spark, sf):
 )
 def phrase_zipf(spark, sf):
     phrases = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("phrase"))
-    counts = ops.token_counts(texts(spark, sf), "text")
+    counts = kept(ops.token_counts(texts(spark, sf), "text"), "words")
     return ops.with_phrase_zipf(phrases, counts, "phrase", "zipf").select("conv_id", "turn", "phrase", "zipf")
 
 
