@@ -268,24 +268,17 @@ def cooccurrence(corpus: DataFrame, text: str, window: int = 2, wanted: DataFram
 
     The pairs of a text are made from shifted copies of its word array: words ×
     window of them, with no join; counting combines them before the shuffle. With
-    ``wanted`` (word_a, word_b) only those pairs are counted.
+    ``wanted`` (word_a, word_b) only those pairs are kept: before the counting if they
+    are few enough to be sent to all tasks, else of the counted pairs.
     """
-    tok = F.col("_words")
-
-    def shifted(gap: int) -> Column:
-        length = F.greatest(F.size(tok) - gap, F.lit(0))
-        return F.zip_with(
-            F.slice(tok, F.lit(1), length),
-            F.slice(tok, F.lit(1 + gap), length),
-            lambda a, b: F.struct(F.least(a, b).alias("word_a"), F.greatest(a, b).alias("word_b")),
-        )
-
-    pairs = corpus.select(words(text).alias("_words")).select(
-        F.inline(F.flatten(F.array(*[shifted(g) for g in range(1, window + 1)])))
-    )
-    if wanted is not None:
-        pairs = pairs.join(wanted, ["word_a", "word_b"], "left_semi")
-    return pairs.groupBy("word_a", "word_b").agg(F.count(F.lit(1)).alias("n"))
+    gaps = range(1, window + 1)
+    shifted = [F.slice("_words", F.lit(1 + gap), F.greatest(F.size("_words"), F.lit(0))).alias(f"_w{gap}") for gap in gaps]
+    copies = corpus.select(words(text).alias("_words")).filter(F.size("_words") > 1).select(F.col("_words").alias("_w0"), *shifted)
+    runs = copies.select(F.inline(F.arrays_zip(*[f"_w{gap}" for gap in (0, *gaps)])))
+    ends = [F.struct(F.least("_w0", f"_w{gap}").alias("word_a"), F.greatest("_w0", f"_w{gap}").alias("word_b"), F.col(f"_w{gap}").alias("_end")) for gap in gaps]
+    pairs = runs.select(F.inline(F.array(*ends))).filter(F.col("_end").isNotNull()).drop("_end")
+    counted = pairs.groupBy("word_a", "word_b").agg(F.count(F.lit(1)).alias("n"))
+    return counted if wanted is None else counted.join(wanted, ["word_a", "word_b"], "left_semi")
 
 
 def asked_pairs(items: DataFrame, word: str, *contexts: str) -> DataFrame:

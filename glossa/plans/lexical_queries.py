@@ -336,7 +336,8 @@ def cooccur(spark, sf):
 )
 def cooccur_baseline(spark, sf):
     items = _items(spark, sf)
-    pairs = ops.cooccurrence(texts(spark, sf), "text", 2, ops.asked_pairs(items, "word", "enc_ctx", "dict_ctx"))
+    asked = kept(ops.asked_pairs(items, "word", "enc_ctx", "dict_ctx"), "asked")
+    pairs = kept(ops.cooccurrence(texts(spark, sf), "text", 2, asked), "pairs")
     out = ops.cooccurrence_baseline(items, pairs, "word", "enc_ctx", "dict_ctx")
     return out.select("item_id", "n_enc", "n_dict", "predicted")
 
