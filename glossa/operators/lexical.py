@@ -17,6 +17,7 @@ from ..functions.text import (
     syllable_count,
     words,
 )
+from ..session import kept
 
 # Fewest tagged occurrences for the corpus to decide the dominant sense,
 # and the labels recorded for where that sense came from.
@@ -346,7 +347,7 @@ def containing_passages(
     A passage is looked up by an anchor that any text around it leaves whole: the run of its inner words, ``anchor`` of them
     at most; if it has none, the first ``RUN`` characters of its longest word; if it has no word, its first character.
     Responses offer the hashes of the kinds of anchors that occur, which gives pairs of ids; only those meet the texts.
-    A null or empty passage stands in no response.
+    A null or empty passage stands in no response. The anchors are written to the shared folder when this is called.
     """
     longest = F.array_max(F.transform("_w", lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
     inner, start = F.least(F.size("_w") - 2, F.lit(anchor)), F.least(F.length(longest), F.lit(RUN))
@@ -361,16 +362,21 @@ def containing_passages(
         .otherwise(F.xxhash64(F.array(F.left("_passage", F.lit(1)))))
         .alias("_key"),
     )
+    # Written down, so that Spark knows how few the anchors are and the offers need not be moved to them.
+    keyed = kept(keyed, "anchors")
     kinds = keyed.agg(F.collect_set("_kind")).scalar()
 
     def offer(kind: int) -> Column:
         if kind > 0:
             starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - (kind - 1), F.lit(1)))
             marks = F.transform(starts, lambda at: F.xxhash64(F.slice("_w", at, F.lit(kind))))
+        elif kind:
+            # A run of letters lies in one word, and a text has far fewer different words than characters.
+            long = F.filter(F.array_distinct("_w"), lambda w: F.length(w) >= -kind)
+            each = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + (kind + 1)), lambda at: F.substring(w, at, F.lit(-kind)))
+            marks = F.transform(F.array_distinct(F.flatten(F.transform(long, each))), lambda run: F.xxhash64(F.array(run)))
         else:
-            # Looking ahead finds runs that overlap.
-            runs = rf"(?=([\p{{L}}\p{{M}}]{{{-kind}}}))" if kind else r"([^\p{L}\p{M}])"
-            found = F.regexp_extract_all("_text", F.lit(runs), F.lit(1))
+            found = F.regexp_extract_all("_text", F.lit(r"([^\p{L}\p{M}])"), F.lit(1))
             marks = F.transform(F.array_distinct(found), lambda run: F.xxhash64(F.array(run)))
         return F.when(F.array_contains("_kinds", kind), marks).otherwise(F.array().cast("array<bigint>"))
 
