@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import null_safe_join
 from ..functions.text import words
 from ..functions.vectors import dot, l2_normalize, squared_norm
+from ..session import kept
 from .conformity import centroids
 
 # Seeds of the stability protocol and the deviation that flags a score.
@@ -212,15 +213,18 @@ def union_embedders(results: dict[str, DataFrame]) -> DataFrame:
 def tfidf(corpus: DataFrame, doc_id: str, text: str, *keep: str) -> DataFrame:
     """Unit-length TF-IDF weights, one row per document and word: ``tf · ln((N+1)/(df+1))``.
 
-    ``keep`` names further columns of a document to carry along.
+    ``keep`` names further columns of a document to carry along. Texts are dealt out by document before they are taken
+    apart, so the words of a document are counted and weighed where it lies. Document frequencies are written to the shared
+    folder when this is called: Spark knows their size and sends them to the words if they are small enough.
     """
     from pyspark.sql import Window
 
     keys = [doc_id, *keep]
-    tf = corpus.select(*keys, F.explode(words(text)).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
+    tasks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = corpus.select(*keys, text).repartition(tasks, doc_id)
+    tf = dealt.select(*keys, F.explode(words(text)).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
     total = corpus.agg(F.count(F.lit(1))).scalar()
-    # Asking for tf lets both uses of the counted table share its shuffle.
-    df = tf.filter(F.col("tf") > 0).groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn(
+    df = kept(tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "frequencies").withColumn(
         "idf", F.ln((total + 1) / (F.col("df") + 1))
     )
     weighted = tf.join(df, "token").select(*keys, "token", (F.col("tf") * F.col("idf")).alias("w"))
