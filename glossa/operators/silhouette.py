@@ -250,10 +250,12 @@ def tfidf_silhouette(corpus: DataFrame, doc_id: str, text: str, label: str) -> D
     """
     labels = corpus.filter(F.col(label).isNotNull()).select(doc_id, F.col(label).alias("_label"))
     sizes = labels.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
-    tagged = tfidf(corpus.withColumn("_label", F.col(label)), doc_id, text, "_label")
+    # Weights and means are written down once: weights lie by document then, and the means go to them if they are small enough.
+    tagged = kept(tfidf(corpus.withColumn("_label", F.col(label)), doc_id, text, "_label"), "weights")
     means = tagged.groupBy("_label", "token").agg(F.sum("w").alias("_sum")).join(sizes, "_label").select(
         F.col("_label").alias("_cluster"), "token", (F.col("_sum") / F.col("_n")).alias("mu")
     )
+    means = kept(means, "means")
     dots = tagged.join(means, "token").groupBy(doc_id, "_label", "_cluster").agg(F.sum(F.col("w") * F.col("mu")).alias("dot"))
     same = F.col("_cluster") == F.col("_label")
     nearest = dots.groupBy(doc_id).agg(
