@@ -31,6 +31,19 @@ def test_control_pairs_are_not_shuffled(spark, no_broadcast):
     assert sorted(map(str, want)) == sorted(str((r.charged_id, r.control_id)) for r in table.collect())
 
 
+def test_control_pairs_do_not_pass_the_driver(spark):
+    """What is exploded is larger than Spark reckons, so neither side is broadcast however small it looks, nor while it runs."""
+    a = spark.createDataFrame([(i % 9, 2.0, 10) for i in range(30)] + [(None, 2.0, 10), (40, 5.0, 10), (41, None, 10), (42, 2.0, 0)], "id long, zipf double, len long")
+    b = spark.createDataFrame([(100 + i % 5, 2.0 + i % 4 / 10, 8 + i % 7) for i in range(50)] + [(None, 2.1, 9), (200, 0.0, 10)], "id long, zipf double, len long")
+    table = matching.control_candidates(a, b, "id", "zipf", "len")
+    assert "Broadcast" not in plan(table)
+    got = table.collect()
+    assert "isFinalPlan=true" in plan(table) and "Broadcast" not in plan(table)
+    pairs = [(x, y) for x in a.collect() for y in b.collect() if x.zipf and x.len]
+    want = [(x.id, y.id) for x, y in pairs if abs(x.zipf - y.zipf) / x.zipf <= 0.15 and abs(x.len - y.len) / x.len <= 0.2]
+    assert sorted(map(str, want)) == sorted(str((r.charged_id, r.control_id)) for r in got)
+
+
 def test_replies_are_parsed_once(spark):
     body = '{"factual_accuracy": 1, "practical_actionability": 2, "domain_precision": 3}'
     replies = spark.createDataFrame([(1, body), (2, "no json"), (3, None), (4, '{"factual_accuracy": 1}')], "id long, reply string")
