@@ -69,6 +69,10 @@ class Field:
             found.append(self.names[f"lexicon {self.lexicon[word]}"])
         return found
 
+    def __getitem__(self, word: str) -> np.ndarray:
+        """Emission scores of one lower-case word."""
+        return self.weights[self.rows(word)].sum(0)
+
     def learn(self, words: list[str]) -> None:
         """Score words that are not yet known, all at once."""
         rows = [self.rows(w) for w in words]
